@@ -19,7 +19,13 @@ from packetlog.operators import reports as R
 from packetlog.plans import testdata as TD
 from packetlog.plans.ingest import import_summary, parse_log
 from packetlog.operators.parse import packets
-from packetlog.sources.fixtures import FIXTURE_YEAR
+from packetlog.sources.fixtures import FIXTURE_NOW, FIXTURE_YEAR
+from packetlog.operators import feed as FD
+from packetlog.operators import hosts as H
+from packetlog.operators import render as RT
+from packetlog.plans.store import import_log_to_path
+from packetlog.session import scratch_path
+from packetlog.streaming.follow import follow, read_feed
 
 SF_SMOKE = "/root/testdata/sf0.001"
 REPORT_LIMIT = 1000  # the largest limit the tool accepts: checks whole top lists
@@ -83,6 +89,106 @@ def _trim_host(spark, sf):
                         trim_host("host", 30).alias("host30"), trim_host("host", 12).alias("host12"))
 
 
+def _report_with_hosts(spark, sf):
+    rep = R.denied_sources(TD.fixture_logs(spark, sf), REPORT_LIMIT, numeric_ips=True)
+    named = H.name_report(rep, TD.fixture_hosts(spark, sf), now=FIXTURE_NOW)
+    return named.select("count", long_to_ip("src_ip").alias("src_ip"), "src_ip_name", "src_prt",
+                        long_to_ip("dst_ip").alias("dst_ip"), "dst_ip_name", "dst_prt", "proto", "action")
+
+
+def _feed_with_hosts(max_broadcast):
+    def run(spark, sf):
+        feed = FD.scan_feed(TD.fixture_logs(spark, sf), numeric_ips=True)
+        named = H.name_feed(feed, TD.fixture_hosts(spark, sf), now=FIXTURE_NOW, row_key="packet_no",
+                            max_broadcast=max_broadcast)
+        return named.select("packet_no", "iface", long_to_ip("src_ip").alias("src_ip"), "src_ip_name", "src_prt",
+                            long_to_ip("dst_ip").alias("dst_ip"), "dst_ip_name", "dst_prt", "proto", "action")
+    return run
+
+
+def _hosts_to_resolve(spark, sf):
+    missing = H.hosts_to_resolve(TD.fixture_logs(spark, sf), TD.fixture_hosts(spark, sf), now=FIXTURE_NOW)
+    return missing.select(long_to_ip("ip").alias("ip"))
+
+
+def _test_resolver(addresses):
+    """Caller-side resolver used by the checks: names the 188.126.93.x
+    addresses, fails every other lookup."""
+    return [f"gw{a.rsplit('.', 1)[1]}.example.net" if a.startswith("188.126.93.") else None for a in addresses]
+
+
+def _host_cache_upsert(spark, sf):
+    cache = TD.fixture_hosts(spark, sf)
+    missing = H.hosts_to_resolve(TD.fixture_logs(spark, sf), cache, now=FIXTURE_NOW)
+    new = H.resolve_hosts(missing, _test_resolver, now=FIXTURE_NOW)
+    return H.upsert_hosts(cache, new).select(long_to_ip("ip").alias("ip"), "host", "ttl")
+
+
+def _host_cache_prune(spark, sf):
+    pruned = H.prune_hosts(TD.fixture_hosts(spark, sf), H.PRUNE_MAX_AGE_HOURS, now=FIXTURE_NOW)
+    return pruned.select(long_to_ip("ip").alias("ip"), "host", "ttl")
+
+
+def _host_cache_dump(spark, sf):
+    return H.dump_hosts(TD.fixture_hosts(spark, sf))
+
+
+def _block_list(spark, sf):
+    return FD.block_list(TD.fixture_logs(spark, sf), 23, "TCP")
+
+
+def _scan_feed(spark, sf):
+    return FD.scan_feed(TD.fixture_logs(spark, sf))
+
+
+def _scan_feed_filtered(spark, sf):
+    return FD.scan_feed(TD.fixture_logs(spark, sf), no_lo=True, no_accept=True)
+
+
+def _scan_feed_text(spark, sf):
+    return RT.feed_text(FD.scan_feed(TD.fixture_logs(spark, sf)))
+
+
+def _analysis_text(spark, sf):
+    logs = TD.fixture_logs(spark, sf)
+    parts = []
+    for name, rep in R.analysis(logs, REPORT_LIMIT, with_rank=True).items():
+        parts.append(RT.report_text(rep, name).select(F.lit(name).alias("report"), "rank", "line"))
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _id_summary(df):
+    return df.groupBy("action").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("min_id"),
+                                    F.max("id").alias("max_id"), F.count_distinct("id").alias("distinct_ids"))
+
+
+def _import_append_twice(spark, sf):
+    import uuid
+    path = scratch_path(spark, "imports", uuid.uuid4().hex)
+    lines = TD.fixture_lines(spark, sf)
+    import_log_to_path(spark, lines, path)
+    import_log_to_path(spark, lines, path)
+    return _id_summary(spark.read.parquet(path))
+
+
+def _clear_then_import(spark, sf):
+    import uuid
+    path = scratch_path(spark, "imports", uuid.uuid4().hex)
+    lines = TD.fixture_lines(spark, sf)
+    import_log_to_path(spark, lines, path)
+    import_log_to_path(spark, lines, path)
+    import_log_to_path(spark, lines, path, clear=True)
+    return _id_summary(spark.read.parquet(path))
+
+
+def _follow_feed(spark, sf):
+    from packetlog.sources.fixtures import fixture_log_path
+    query, sink = follow(spark, fixture_log_path(spark, sf), from_start=True, available_now=True)
+    query.awaitTermination()
+    return FD.scan_feed(read_feed(spark, sink).withColumnRenamed("packet_no", "id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "parse_packets": _parse_packets,
@@ -93,6 +199,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "packet_rollup": _packet_rollup,
         "ip_functions": _ip_functions,
         "trim_host": _trim_host,
+        "report_with_hosts": _report_with_hosts,
+        "feed_with_hosts": _feed_with_hosts(H.MAX_BROADCAST_HOSTS),
+        "feed_with_hosts_shuffle": _feed_with_hosts(0),
+        "hosts_to_resolve": _hosts_to_resolve,
+        "host_cache_upsert": _host_cache_upsert,
+        "host_cache_prune": _host_cache_prune,
+        "host_cache_dump": _host_cache_dump,
+        "block_list": _block_list,
+        "scan_feed": _scan_feed,
+        "scan_feed_filtered": _scan_feed_filtered,
+        "scan_feed_text": _scan_feed_text,
+        "analysis_text": _analysis_text,
+        "import_append_twice": _import_append_twice,
+        "clear_then_import": _clear_then_import,
+        "follow_feed": _follow_feed,
     }
     for name in R.REPORT_ORDER:
         q[name] = _report(name)
@@ -152,13 +273,13 @@ _REPORT_SQL = {
 }
 
 
-def _report_body(name: str, limit: int, rank: bool = False) -> str:
+def _report_body(name: str, limit: int, rank: bool = False, numeric: bool = False) -> str:
     where, keys, rep, out = _REPORT_SQL[name]
     reps = "".join(f", arg_min({c}, id) AS {c}" for c in rep)
     order = "count DESC, " + ", ".join(f"{k} ASC NULLS FIRST" for k in keys)
     sel = []
     for c in out:
-        sel.append(f"{_dotted(c)} AS {c}" if c in ("src_ip", "dst_ip") else c)
+        sel.append(f"{_dotted(c)} AS {c}" if c in ("src_ip", "dst_ip") and not numeric else c)
     if rank:
         sel.insert(0, f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank")
     return (f"SELECT {', '.join(sel)} FROM (SELECT {', '.join(keys)}, CAST(count(*) AS BIGINT) AS count{reps} "
@@ -208,6 +329,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for name in R.REPORT_ORDER:
         o[name] = _with(_report_body(name, REPORT_LIMIT))
+    o.update(_more_oracles())
     return o
 
 
@@ -216,3 +338,83 @@ _HOSTS_SQL = ("SELECT CAST(CAST(203 AS BIGINT) * 16777216 + c_custkey AS BIGINT)
               "CAST(c_custkey % 256 AS VARCHAR) ELSE 'host-' || CAST(c_custkey AS VARCHAR) || '.cust.provider.example.org' END AS host, "
               "CAST(TIMESTAMP '2024-01-31 00:00:00' - (c_custkey % 400) * INTERVAL 1 HOUR AS TIMESTAMP) AS ttl "
               "FROM customer")
+
+
+_FRESH = "fresh AS (SELECT ip, host FROM h WHERE ttl > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 300 HOUR)"
+
+
+def _trim(x: str, width: int) -> str:
+    return f"CASE WHEN length({x}) > {width} THEN '*' || right({x}, {width - 1}) ELSE {x} END"
+
+
+def _hosts_with(body: str) -> str:
+    return f"WITH {_PACKETS},\nh AS ({_HOSTS_SQL}),\n{_FRESH}\n{body}"
+
+
+_FEED_COLS = ("id AS packet_no, CASE WHEN if_in <> '' THEN if_in ELSE if_out END AS iface, "
+              "{src} AS src_ip, src_prt, {dst} AS dst_ip, dst_prt, proto, action")
+_FEED_SQL = "SELECT " + _FEED_COLS.format(src=_dotted("src_ip"), dst=_dotted("dst_ip")) + " FROM packets"
+_ID_SUMMARY = ("SELECT action, CAST(count(*) * {k} AS BIGINT) AS count, min(id) AS min_id, "
+               "max(id) + {shift} AS max_id, CAST(count(*) * {k} AS BIGINT) AS distinct_ids FROM packets GROUP BY action")
+
+_REPORT_FMT = {
+    "denied_sources": ("'%6d %-25s %5d %-25s %5d %-6s %-10s'", ["count", "src_ip", "src_prt", "dst_ip", "dst_prt", "proto", "action"]),
+    "icmp_traffic": ("'%6d %-25s %-25s %-10s'", ["count", "src_ip", "dst_ip", "action"]),
+    "denied_ports": ("'%6d    %5d   %-6s   %-10s'", ["count", "dst_prt", "proto", "action"]),
+    "invalid_sources": ("'%6d   %-25s   %5d   %-25s   %5d   %-6s   '", ["count", "src_ip", "src_prt", "dst_ip", "dst_prt", "proto"]),
+    "interface_stats": ("'%6d   %-10s   %-10s   %-6s   '", ["count", "if_in", "action", "proto"]),
+    "inbound_port_actions": ("'%6d   %5d   %-10s   '", ["count", "dst_prt", "action"]),
+}
+
+
+def _analysis_text_sql() -> str:
+    parts = []
+    for name in R.REPORT_ORDER:
+        fmt, cols = _REPORT_FMT[name]
+        parts.append(f"SELECT '{name}' AS report, rank, printf({fmt}, {', '.join(cols)}) AS line "
+                     f"FROM ({_report_body(name, REPORT_LIMIT, rank=True)}) r_{name}")
+    return _with("\nUNION ALL\n".join(parts))
+
+
+def _more_oracles() -> dict[str, str]:
+    feed_named = ("SELECT p.packet_no, p.iface, p.src_ip, coalesce(" + _trim("fs.host", 30) + ", p.src_ip) AS src_ip_name, "
+                  "p.src_prt, p.dst_ip, coalesce(" + _trim("fd.host", 30) + ", p.dst_ip) AS dst_ip_name, p.dst_prt, p.proto, p.action "
+                  "FROM (SELECT " + _FEED_COLS.format(src="src_ip", dst="dst_ip") + " FROM packets) p "
+                  "LEFT JOIN fresh fs ON fs.ip = p.src_ip LEFT JOIN fresh fd ON fd.ip = p.dst_ip")
+    feed_named = feed_named.replace("SELECT p.packet_no, p.iface, p.src_ip,", "SELECT p.packet_no, p.iface, " + _dotted("p.src_ip") + " AS src_ip,")
+    feed_named = feed_named.replace("p.src_prt, p.dst_ip,", "p.src_prt, " + _dotted("p.dst_ip") + " AS dst_ip,")
+    feed_named = feed_named.replace(", p.src_ip) AS src_ip_name", ", " + _dotted("p.src_ip") + ") AS src_ip_name")
+    feed_named = feed_named.replace(", p.dst_ip) AS dst_ip_name", ", " + _dotted("p.dst_ip") + ") AS dst_ip_name")
+    report_named = (
+        "SELECT r.count, " + _dotted("r.src_ip") + " AS src_ip, coalesce(" + _trim("fs.host", 25) + ", " + _dotted("r.src_ip")
+        + ") AS src_ip_name, r.src_prt, " + _dotted("r.dst_ip") + " AS dst_ip, coalesce(" + _trim("fd.host", 25) + ", "
+        + _dotted("r.dst_ip") + ") AS dst_ip_name, r.dst_prt, r.proto, r.action FROM ("
+        + _report_body("denied_sources", REPORT_LIMIT, numeric=True)
+        + ") r LEFT JOIN fresh fs ON fs.ip = r.src_ip LEFT JOIN fresh fd ON fd.ip = r.dst_ip")
+    missing = ("missing AS (SELECT DISTINCT ip FROM (SELECT src_ip AS ip FROM packets UNION ALL SELECT dst_ip FROM packets) a "
+               "WHERE ip IS NOT NULL AND ip NOT IN (SELECT ip FROM fresh))")
+    new = ("new AS (SELECT ip, CASE WHEN ip >> 8 = (CAST(188 AS BIGINT) * 65536 + 126 * 256 + 93) "
+           "THEN 'gw' || CAST(ip & 255 AS VARCHAR) || '.example.net' ELSE " + _dotted("ip") + " END AS host, "
+           "TIMESTAMP '2024-01-31 00:00:00' AS ttl FROM missing)")
+    n_packets = "(SELECT count(*) FROM packets)"
+    return {
+        "report_with_hosts": _hosts_with(report_named),
+        "feed_with_hosts": _hosts_with(feed_named),
+        "feed_with_hosts_shuffle": _hosts_with(feed_named),
+        "hosts_to_resolve": _hosts_with(", " + missing + " SELECT " + _dotted("ip") + " AS ip FROM missing"),
+        "host_cache_upsert": _hosts_with(", " + missing + ", " + new + " SELECT " + _dotted("ip") + " AS ip, host, ttl FROM "
+                                         "(SELECT * FROM h WHERE ip NOT IN (SELECT ip FROM new) UNION ALL SELECT * FROM new) u"),
+        "host_cache_prune": (f"WITH h AS ({_HOSTS_SQL}) SELECT {_dotted('ip')} AS ip, host, ttl FROM h "
+                             "WHERE coalesce(ttl >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 336 HOUR, true)"),
+        "host_cache_dump": f"WITH h AS ({_HOSTS_SQL}) SELECT {_dotted('ip')} AS ip, host FROM h WHERE host <> {_dotted('ip')}",
+        "block_list": _with("SELECT " + _dotted("src_ip") + " AS src_ip, CAST(count(*) AS BIGINT) AS count, min(id) AS first_packet, "
+                            "max(id) AS last_packet FROM packets WHERE dst_prt = 23 AND proto = 'TCP' GROUP BY src_ip"),
+        "scan_feed": _with(_FEED_SQL),
+        "scan_feed_filtered": _with(_FEED_SQL + " WHERE if_in <> 'lo' AND if_out <> 'lo' AND action <> 'ACCEPT'"),
+        "scan_feed_text": _with("SELECT packet_no, printf('%8d %-8s %-30s %5d %-30s %5d %-10s %-10s', packet_no, iface, src_ip, "
+                                "src_prt, dst_ip, dst_prt, proto, action) AS line FROM (" + _FEED_SQL + ") f"),
+        "analysis_text": _analysis_text_sql(),
+        "import_append_twice": _with(_ID_SUMMARY.format(k=2, shift=n_packets)),
+        "clear_then_import": _with(_ID_SUMMARY.format(k=1, shift=0)),
+        "follow_feed": _with(_FEED_SQL),
+    }
