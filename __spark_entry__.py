@@ -70,8 +70,8 @@ def _analysis_all(spark, sf):
 
 def _packet_rollup(spark, sf):
     r = R.packet_rollup(TD.fixture_logs(spark, sf))
-    return r.select(*R.ROLLUP_KEYS, "count", "min_id", F.col("rep.src_prt").alias("rep_src_prt"),
-                    F.col("rep.dst_ip").alias("rep_dst_ip"))
+    return r.select(*R.ROLLUP_KEYS, "count", "min_id", F.col("src_prt").alias("rep_src_prt"),
+                    F.col("dst_ip").alias("rep_dst_ip"))
 
 
 def _ip_functions(spark, sf):

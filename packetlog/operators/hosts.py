@@ -54,15 +54,18 @@ def name_report(report: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"
     (as many) are broadcast back: the host table is scanned once, never
     shuffled, and the report is never shuffled.
     """
+    # The report is bounded by the limit; checkpoint it so the top-N runs once
+    # although it feeds both the address list and the joins.
+    report = report.checkpoint(eager=True)
     fresh = fresh_hosts(cache, now, max_age_hours)
     ips = report.select(F.explode(F.array(*[F.col(c) for c in ip_cols])).alias("ip")).where("ip IS NOT NULL").distinct()
-    names = fresh.join(F.broadcast(ips), "ip", "inner")
+    names = F.broadcast(fresh.join(F.broadcast(ips), "ip", "inner"))
     out = report
     for c in ip_cols:
-        n = names.select(F.col("ip").alias(f"_ip_{c}"), F.col("host").alias(f"_host_{c}"))
-        out = (out.join(F.broadcast(n), out[c] == n[f"_ip_{c}"], "left")
-                  .withColumn(c + suffix, display_name(F.col(f"_host_{c}"), F.col(c), width))
-                  .drop(f"_ip_{c}", f"_host_{c}"))
+        n = names.alias(f"_n_{c}")
+        out = (out.join(n, out[c] == F.col(f"_n_{c}.ip"), "left")
+                  .withColumn(c + suffix, display_name(F.col(f"_n_{c}.host"), out[c], width))
+                  .select(*out.columns, c + suffix))
     return out
 
 
