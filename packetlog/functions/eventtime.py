@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 # Syslog month abbreviations, in calendar order.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-_HEADER = r"^([A-Z][a-z]{2}) +([0-9]{1,2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})(?: |$)"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -26,16 +23,20 @@ def syslog_event_time(line, year) -> Column:
 
     Syslog writes no year, so the caller passes it (an int or a column, e.g.
     derived from the file's modification time). Space-padded days (``May  4``)
-    are accepted. Anything that is not a valid date gives NULL.
+    and unpadded ones are accepted. Anything that is not a valid date gives
+    NULL. Plain string slicing, no regular expression.
     """
     s = _c(line)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(s, _HEADER, 1))
-    day = F.regexp_extract(s, _HEADER, 2).try_cast("int")
-    hh = F.regexp_extract(s, _HEADER, 3).try_cast("int")
-    mm = F.regexp_extract(s, _HEADER, 4).try_cast("int")
-    ss = F.regexp_extract(s, _HEADER, 5).try_cast("int")
-    ts = F.try_make_timestamp_ntz(_lit(year), month.cast("int"), day, hh, mm, ss.cast("decimal(16,6)"))
-    return F.when(month > 0, ts)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(s, 1, 3))
+    after = F.ltrim(F.substring(s, 4, 16))                 # "d HH:MM:SS ..." or "dd HH:MM:SS ..."
+    day_text = F.substring_index(after, " ", 1)
+    clock = F.substring(after, F.length(day_text) + 2, 9)  # "HH:MM:SS" and the next character
+    well_formed = ((F.substring(s, 4, 1) == " ") & (F.substring(clock, 3, 1) == ":")
+                   & (F.substring(clock, 6, 1) == ":") & F.substring(clock, 9, 1).isin("", " "))
+    part = lambda a, n: F.substring(clock, a, n).try_cast("int")
+    ts = F.try_make_timestamp_ntz(_lit(year), month.cast("int"), day_text.try_cast("int"), part(1, 2), part(4, 2),
+                                  part(7, 2).cast("decimal(16,6)"))
+    return F.when((month > 0) & well_formed, ts)
 
 
 def year_before(event_time, reference) -> Column:

@@ -24,8 +24,9 @@ from ..functions.fields import port_number
 from ..functions.eventtime import syslog_event_time
 from ..schema import LOGS_COLUMNS
 
-# First token, then (lazily) the first later token ``IPT:`` followed by the action.
-_MARKED = r"(?s)^ *[^ ]+ (?:.*? )?IPT: +([^ ]+)(.*)$"
+MARKER_TOKEN = "IPT:"
+# First token, then (lazily) the first later token ``IPT:``: tells the two
+# kinds of rejected lines apart.
 _NO_TOKEN = r"(?s)^ *[^ ]+ (?:.*? )?IPT:(?: |$)"
 
 # The recognised keys.
@@ -37,10 +38,21 @@ def _last_value(rest: Column, key: str) -> Column:
     return F.regexp_extract(rest, rf"(?s)^.* {key}=([^ ]*)", 1)
 
 
+def _marker_split(value: Column) -> tuple[Column, Column]:
+    """(action token, text after it). After ``ltrim`` the first token starts
+    the line, so the first ``' IPT: '`` is the first marker token that is not
+    the first token and has something after it; both are '' without one."""
+    line = F.ltrim(value)
+    pos = F.locate(" " + MARKER_TOKEN + " ", line)
+    tail = F.ltrim(F.substring(line, pos + len(MARKER_TOKEN) + 2, 1 << 30))
+    action = F.substring_index(tail, " ", 1)
+    rest = F.substring(tail, F.length(action) + 1, 1 << 30)
+    return F.when(pos > 0, action).otherwise(F.lit("")), F.when(pos > 0, rest).otherwise(F.lit(""))
+
+
 def parse_columns(value: Column) -> dict[str, Column]:
     """Column expressions of one parsed line (strings as in the log)."""
-    action_token = F.regexp_extract(value, _MARKED, 1)
-    rest = F.regexp_extract(value, _MARKED, 2)
+    action_token, rest = _marker_split(value)
     override = F.regexp_extract(rest, r"(?s)^.* (ACTION=[^ ]*)", 1)
     action = F.when(override != "", F.substring(override, 8, 1 << 20)).otherwise(action_token)
     return {
@@ -60,28 +72,39 @@ def parse_columns(value: Column) -> dict[str, Column]:
 def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> DataFrame:
     """Parse marker lines; returns packet-table columns plus ``ok`` (False for
     rejects) and the columns named in ``keep``. ``id`` is kept when present.
-    ``year`` fills ``timestamp`` from the syslog header (NULL when None)."""
+    ``year`` fills ``timestamp`` from the syslog header (NULL when None).
+
+    Three projections: marker split, raw key strings, typed values. Catalyst
+    keeps them apart (a costly expression used several times is not inlined),
+    so every regular expression runs once per line, all in one codegen stage.
+    """
     v = F.col(value)
-    p = parse_columns(v)
+    carry = (["id"] if "id" in lines.columns else []) + [k for k in keep if k != value]
+    action_token, rest = _marker_split(v)
     ts = syslog_event_time(v, year) if year is not None else F.lit(None).cast("timestamp_ntz")
-    cols = []
-    if "id" in lines.columns:
-        cols.append(F.col("id"))
-    cols += [
-        ts.alias("timestamp"),
-        p["if_in"].alias("if_in"),
-        p["if_out"].alias("if_out"),
-        ip_to_long(p["src"]).alias("src_ip"),
-        port_number(p["spt"]).alias("src_prt"),
-        ip_to_long(p["dst"]).alias("dst_ip"),
-        port_number(p["dpt"]).alias("dst_prt"),
-        p["proto"].alias("proto"),
-        p["action"].alias("action"),
-        p["mac"].alias("mac"),
-        p["ok"].alias("ok"),
-    ]
-    cols += [F.col(k) for k in keep]
-    return lines.select(*cols)
+    step1 = lines.select(*carry, v.alias("_value"), ts.alias("timestamp"),
+                         action_token.alias("_action"), rest.alias("_rest"))
+    r = F.col("_rest")
+    override = F.regexp_extract(r, r"(?s)^.* (ACTION=[^ ]*)", 1)
+    step2 = step1.select(
+        *carry, "_value", "timestamp", "_action", override.alias("_override"),
+        *[_last_value(r, k).alias("_" + k.lower()) for k in KEYS if k != "ACTION"])
+    step3 = step2.select(
+        *carry,
+        F.col("timestamp"),
+        F.col("_in").alias("if_in"),
+        F.col("_out").alias("if_out"),
+        ip_to_long("_src").alias("src_ip"),
+        port_number("_spt").alias("src_prt"),
+        ip_to_long("_dst").alias("dst_ip"),
+        port_number("_dpt").alias("dst_prt"),
+        F.col("_proto").alias("proto"),
+        F.when(F.col("_override") != "", F.substring("_override", 8, 1 << 20)).otherwise(F.col("_action")).alias("action"),
+        F.col("_mac").alias("mac"),
+        (F.col("_action") != "").alias("ok"),
+        *([F.col("_value").alias(value)] if value in keep else []),
+    )
+    return step3
 
 
 def packets(parsed: DataFrame) -> DataFrame:

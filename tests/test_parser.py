@@ -93,3 +93,14 @@ def test_event_time(spark, tmpdir_path):
     assert rows[0]["timestamp"] == dt.datetime(2024, 5, 4, 6, 35, 8)
     assert rows[1]["timestamp"] == dt.datetime(2024, 12, 31, 23, 59, 59)
     assert rows[2]["timestamp"] is None
+
+
+def test_event_time_header_forms(spark):
+    import datetime as dt
+    from packetlog.functions import syslog_event_time
+    rows = [("May  4 06:35:08 host k:",), ("May 14 06:35:08 host",), ("May 4 06:35:08",), ("Foo  4 06:35:08 x",),
+            ("May  4 06:35 x",), ("May  4 06:35:081",), ("May 32 06:35:08 x",), ("",)]
+    df = spark.createDataFrame(rows, "v string")
+    got = [r[0] for r in df.select(syslog_event_time("v", 2024)).collect()]
+    assert got == [dt.datetime(2024, 5, 4, 6, 35, 8), dt.datetime(2024, 5, 14, 6, 35, 8), dt.datetime(2024, 5, 4, 6, 35, 8),
+                   None, None, None, None, None]
