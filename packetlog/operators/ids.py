@@ -20,14 +20,20 @@ MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def number_rows(rows: DataFrame, id_col: str = "id", base=0,
-                order_cols=ORDER_COLUMNS) -> DataFrame:
+                order_cols=ORDER_COLUMNS, seq_col: str | None = None) -> DataFrame:
     """Attach ``id_col`` = base + 1, 2, 3 ... in (file, split, line) order.
 
     ``rows`` may already be filtered: numbering counts only the rows present.
-    ``base`` (int or one-row DataFrame column value) continues an existing table.
+    ``base`` continues an existing table. ``seq_col`` names a stored sequence
+    taken at the scan (``monotonically_increasing_id`` right after the same
+    filter, see ``stage_lines``); without it the sequence is taken here and the
+    input is read twice.
     """
     order_cols = list(order_cols)
-    seq = rows.withColumn("_seq", F.monotonically_increasing_id())
+    if seq_col:
+        seq = rows if seq_col == "_seq" else rows.withColumnRenamed(seq_col, "_seq")
+    else:
+        seq = rows.withColumn("_seq", F.monotonically_increasing_id())
     splits = seq.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq0"))
     before = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(*order_cols, "_seq0",

@@ -19,9 +19,27 @@ def parse_log(lines: DataFrame, year=None, base=0) -> DataFrame:
 
 
 def packets_from_log(lines: DataFrame, year=None, base=0) -> DataFrame:
+    """Lazy packet rows of a log (reads the text twice: numbering, parsing)."""
     return packets(parse_log(lines, year, base))
 
 
+def stage_lines(lines: DataFrame, path: str, year=None) -> DataFrame:
+    """Parse the log in one text scan and write the compact result to ``path``:
+    packet columns, ``ok``, the raw line of rejects only, and the position
+    columns (file, split, sequence) from which ids are derived. Returns the
+    staged table."""
+    marked = marker_lines(lines).withColumn("_seq", F.monotonically_increasing_id())
+    parsed = parse_lines(marked, year=year, keep=("file_path", "file_block_start", "_seq", "value"))
+    parsed = parsed.withColumn("value", F.when(~F.col("ok"), F.col("value")))
+    parsed.write.mode("overwrite").parquet(path)
+    return lines.sparkSession.read.parquet(path)
+
+
+def number_staged(staged: DataFrame, base=0) -> DataFrame:
+    """Ids for a staged table (its position columns, no second text scan)."""
+    return number_rows(staged, "id", base=base, seq_col="_seq")
+
+
 def import_summary(lines: DataFrame) -> DataFrame:
     """Counts of one import in one pass: lines read, lines with the marker,
     parsed packets, rejected lines."""

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_DNS_TABLE, DEFAULT_LOGS_TABLE, DNS_SCHEMA, LOGS_COLUMNS, LOGS_SCHEMA
 from ..sources.syslog import read_syslog
-from .ingest import import_summary, packets_from_log
+import uuid
+
+from ..session import delete_path, scratch_path
+from .ingest import import_summary, number_staged, stage_lines
 
 
 def _quote(name: str) -> str:
@@ -67,11 +70,29 @@ def import_log(spark: SparkSession, paths, name: str = DEFAULT_LOGS_TABLE, clear
     """
     lines = read_syslog(spark, paths)
     base = 0 if clear else _next_base(spark.table(name))
-    rows = packets_from_log(lines, year=year, base=base).select(*LOGS_COLUMNS)
-    rows.write.mode("overwrite" if clear else "append").insertInto(name, overwrite=clear)
+    with _staged(spark, lines, year, base) as rows:
+        rows.write.mode("overwrite" if clear else "append").insertInto(name, overwrite=clear)
     return import_summary(lines)
 
 
+class _staged:
+    """Packet rows of ``lines`` through a staging table in the shared scratch
+    folder: the text is scanned and parsed once; ids come from the staged
+    position columns. The staging folder is removed after the final write."""
+
+    def __init__(self, spark, lines, year, base):
+        self.spark, self.lines, self.year, self.base = spark, lines, year, base
+        self.path = scratch_path(spark, "staging", uuid.uuid4().hex)
+
+    def __enter__(self) -> DataFrame:
+        staged = stage_lines(self.lines, self.path, self.year)
+        return number_staged(staged, self.base).where("ok").select(*LOGS_COLUMNS)
+
+    def __exit__(self, *exc):
+        delete_path(self.spark, self.path)
+        return False
+
+
 def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear: bool = False,
                        year=None) -> None:
     """Path-table variant of ``import_log`` (Parquet files at ``path``)."""
@@ -80,8 +101,8 @@ def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear:
     if not clear and path_exists(spark, path):
         existing = spark.read.parquet(path)
     base = _next_base(existing)
-    rows = packets_from_log(lines, year=year, base=base).select(*LOGS_COLUMNS)
-    rows.write.mode("overwrite" if clear else "append").parquet(path)
+    with _staged(spark, lines, year, base) as rows:
+        rows.write.mode("overwrite" if clear else "append").parquet(path)
 
 
 def empty_table_at(spark: SparkSession, path: str, schema=LOGS_SCHEMA) -> None:

@@ -20,7 +20,7 @@ from ..functions.ipaddr import long_to_ip
 from ..session import path_exists, scratch_path
 
 # Bump when the rendered layout or the import changes: cached copies are keyed by it.
-FIXTURE_VERSION = "4"
+FIXTURE_VERSION = "5"
 
 # Fixed values of the fixture (FIXTURES.md §5).
 FIXTURE_MAC = "02:00:bc:7e:5d:a0:00:13:5f:21:29:40:08:00"

@@ -85,3 +85,25 @@ def test_path_table_append_and_clear(spark, tmpdir_path):
     assert df.agg(F.count("*"), F.max("id")).first() == (8, 8)
     store.empty_table_at(spark, path)
     assert spark.read.parquet(path).count() == 0
+
+
+def test_staged_import_ids_across_splits(spark, tmpdir_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        logdir = os.path.join(tmpdir_path, "in")
+        n = 0
+        for f in range(3):
+            lines = []
+            for i in range(500):
+                lines.append(_log(n) if i % 5 else f"Jan  1 00:00:00 h k: noise {n}")
+                n += 1
+            write_lines(logdir, f"part-{f}.log", lines)
+        path = os.path.join(tmpdir_path, "logs")
+        store.import_log_to_path(spark, read_syslog(spark, logdir), path)
+        rows = spark.read.parquet(path).select("id", "src_prt").orderBy("id").collect()
+        expected = [i for i in range(n) if (i % 500) % 5]
+        assert [r["src_prt"] for r in rows] == expected
+        assert [r["id"] for r in rows] == list(range(1, len(expected) + 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
