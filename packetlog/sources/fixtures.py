@@ -30,8 +30,25 @@ FIXTURE_NOW = _dt.datetime(2024, 1, 31, 0, 0, 0)
 INNER_PACKET = "[SRC=1.2.3.4 DST=9.9.9.9 LEN=28 PROTO=UDP SPT=53 DPT=33434 LEN=8 ] "
 
 
+def _code_digest() -> str:
+    """Digest of the library source: derived copies are rebuilt whenever the
+    renderer, parser or import code changes."""
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1(FIXTURE_VERSION.encode())
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()[:10]
+
+
+_CODE = _code_digest()
+
+
 def _key(sf_dir: str) -> str:
-    return FIXTURE_VERSION + "-" + hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return _CODE + "-" + hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
 
 
 def render_syslog(events: DataFrame) -> DataFrame:
