@@ -108,3 +108,42 @@ def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear:
 def empty_table_at(spark: SparkSession, path: str, schema=LOGS_SCHEMA) -> None:
     """Empty overwrite of a path table (clear for tables kept as paths)."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+# Host table kept as numbered snapshots under one folder: a change (upsert,
+# prune, clear) is written as the next snapshot and readers take the newest
+# committed one, so nothing is ever overwritten while it is being read.
+
+def _snapshots(spark: SparkSession, root: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    hroot = jvm.org.apache.hadoop.fs.Path(root)
+    fs = hroot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hroot):
+        return []
+    out = []
+    for st in fs.listStatus(hroot):
+        name = st.getPath().getName()
+        if name.startswith("v=") and name[2:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def read_host_table(spark: SparkSession, root: str) -> DataFrame:
+    """The newest committed snapshot (an empty table when there is none)."""
+    versions = _snapshots(spark, root)
+    if not versions:
+        return spark.createDataFrame([], DNS_SCHEMA)
+    return spark.read.schema(DNS_SCHEMA).parquet(f"{root}/v={versions[-1]:08d}")
+
+
+def write_host_table(spark: SparkSession, root: str, table: DataFrame) -> str:
+    """Write ``table`` as the next snapshot and return its path."""
+    versions = _snapshots(spark, root)
+    path = f"{root}/v={(versions[-1] + 1 if versions else 1):08d}"
+    table.select("ip", "host", "ttl").write.mode("errorifexists").parquet(path)
+    return path
+
+
+def clear_host_table(spark: SparkSession, root: str) -> str:
+    """Empty snapshot (the host-cache clear)."""
+    return write_host_table(spark, root, spark.createDataFrame([], DNS_SCHEMA))
