@@ -96,11 +96,11 @@ def _report_with_hosts(spark, sf):
                         long_to_ip("dst_ip").alias("dst_ip"), "dst_ip_name", "dst_prt", "proto", "action")
 
 
-def _feed_with_hosts(max_broadcast):
+def _feed_with_hosts(max_broadcast, hot_keys=H.HOT_KEYS):
     def run(spark, sf):
         feed = FD.scan_feed(TD.fixture_logs(spark, sf), numeric_ips=True)
         named = H.name_feed(feed, TD.fixture_hosts(spark, sf), now=FIXTURE_NOW, row_key="packet_no",
-                            max_broadcast=max_broadcast)
+                            max_broadcast=max_broadcast, hot_keys=hot_keys)
         return named.select("packet_no", "iface", long_to_ip("src_ip").alias("src_ip"), "src_ip_name", "src_prt",
                             long_to_ip("dst_ip").alias("dst_ip"), "dst_ip_name", "dst_prt", "proto", "action")
     return run
@@ -201,7 +201,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trim_host": _trim_host,
         "report_with_hosts": _report_with_hosts,
         "feed_with_hosts": _feed_with_hosts(H.MAX_BROADCAST_HOSTS),
-        "feed_with_hosts_shuffle": _feed_with_hosts(0),
+        # Skew-safe shuffle path; a short hot list so both the hot (broadcast)
+        # and the cold (shuffled) addresses occur at the test scales.
+        "feed_with_hosts_shuffle": _feed_with_hosts(0, hot_keys=10),
         "hosts_to_resolve": _hosts_to_resolve,
         "host_cache_upsert": _host_cache_upsert,
         "host_cache_prune": _host_cache_prune,

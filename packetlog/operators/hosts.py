@@ -78,7 +78,7 @@ def _row_spread(df: DataFrame, row_key: str | None) -> Column:
 def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), now=None,
               width: int = FEED_HOST_WIDTH, max_age_hours: int = READ_MAX_AGE_HOURS,
               suffix: str = "_name", row_key: str | None = "id",
-              max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
+              max_broadcast: int = MAX_BROADCAST_HOSTS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Add ``<col>_name`` to every row of an unbounded packet DataFrame.
 
     * Fresh host table of at most ``max_broadcast`` rows (counted first):
@@ -89,21 +89,28 @@ def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), n
       HOT_KEYS rows; their rows, and rows with a NULL address, are sent to
       HOT_SPREAD distinct dummy keys that match nothing, so no address lands
       whole in one task. Every remaining address holds at most 1/HOT_KEYS of
-      the rows.
+      the rows (``hot_keys`` overrides HOT_KEYS).
     """
     fresh = fresh_hosts(cache, now, max_age_hours)
     n_fresh = fresh.count()
+    small = n_fresh <= max_broadcast
+    # Hot addresses per column, counted on the feed itself (not on a partly
+    # joined result, which would repeat the earlier joins).
+    hots = {} if small else {
+        c: (feed.where(F.col(c).isNotNull()).groupBy(c).count()
+                .orderBy(F.col("count").desc(), F.col(c)).limit(hot_keys)
+                .select(F.col(c).alias("ip"))
+                .checkpoint(eager=True))       # at most HOT_KEYS rows, used three times
+        for c in ip_cols}
     out = feed
     for c in ip_cols:
         ipc, hostc = f"_ip_{c}", f"_host_{c}"
-        if n_fresh <= max_broadcast:
+        if small:
             n = fresh.select(F.col("ip").alias(ipc), F.col("host").alias(hostc))
             out = out.join(F.broadcast(n), out[c] == n[ipc], "left")
             host = F.col(hostc)
         else:
-            hot = (out.where(F.col(c).isNotNull()).groupBy(c).count()
-                      .orderBy(F.col("count").desc(), F.col(c)).limit(HOT_KEYS)
-                      .select(F.col(c).alias("ip")))
+            hot = hots[c]
             hot_hosts = fresh.join(F.broadcast(hot), "ip", "inner")        # at most HOT_KEYS rows
             hot_names = (hot.join(F.broadcast(hot_hosts), "ip", "left")
                               .select(F.col("ip").alias(ipc + "_hot"), F.col("host").alias(hostc + "_hot"),
@@ -111,7 +118,7 @@ def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), n
             cold = (fresh.join(F.broadcast(hot), "ip", "left_anti")
                          .select(F.col("ip").alias(ipc), F.col("host").alias(hostc)))
             tagged = out.join(F.broadcast(hot_names), out[c] == hot_names[ipc + "_hot"], "left")
-            spread = F.lit(-1) - _row_spread(out, row_key)
+            spread = F.lit(-1) - _row_spread(feed, row_key)
             key = F.when(F.col("_is_hot").isNull() & F.col(c).isNotNull(), F.col(c)).otherwise(spread)
             tagged = tagged.withColumn("_key", key)
             out = tagged.join(cold, tagged["_key"] == cold[ipc], "left")
