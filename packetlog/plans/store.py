@@ -7,7 +7,7 @@ An import is one job commit (all or nothing) instead of the original's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_DNS_TABLE, DEFAULT_LOGS_TABLE, DNS_SCHEMA, LOGS_COLUMNS, LOGS_SCHEMA
@@ -15,7 +15,7 @@ from ..sources.syslog import read_syslog
 import uuid
 
 from ..session import delete_path, scratch_path
-from .ingest import import_summary, number_staged, stage_lines
+from .ingest import number_staged, stage_lines
 
 
 def _quote(name: str) -> str:
@@ -70,9 +70,9 @@ def import_log(spark: SparkSession, paths, name: str = DEFAULT_LOGS_TABLE, clear
     """
     lines = read_syslog(spark, paths)
     base = 0 if clear else _next_base(spark.table(name))
-    with _staged(spark, lines, year, base) as rows:
-        rows.write.mode("overwrite" if clear else "append").insertInto(name, overwrite=clear)
-    return import_summary(lines)
+    with _staged(spark, lines, year, base) as staged:
+        staged.rows.write.mode("overwrite" if clear else "append").insertInto(name, overwrite=clear)
+        return staged.summary()
 
 
 class _staged:
@@ -84,9 +84,19 @@ class _staged:
         self.spark, self.lines, self.year, self.base = spark, lines, year, base
         self.path = scratch_path(spark, "staging", uuid.uuid4().hex)
 
-    def __enter__(self) -> DataFrame:
-        staged = stage_lines(self.lines, self.path, self.year)
-        return number_staged(staged, self.base).where("ok").select(*LOGS_COLUMNS)
+    def __enter__(self) -> "_staged":
+        # Lines read are counted during the staging scan itself (no extra pass).
+        self.observation = Observation("import")
+        observed = self.lines.observe(self.observation, F.count(F.lit(1)).alias("lines_read"))
+        self.staged = stage_lines(observed, self.path, self.year)
+        self.rows = number_staged(self.staged, self.base).where("ok").select(*LOGS_COLUMNS)
+        return self
+
+    def summary(self) -> DataFrame:
+        """Import summary from the observed line count and the staged table."""
+        c = self.staged.agg(F.count(F.lit(1)).alias("m"), F.count_if("ok").alias("p")).first()
+        values = [(int(self.observation.get["lines_read"]), int(c["m"]), int(c["p"]), int(c["m"] - c["p"]))]
+        return self.spark.createDataFrame(values, "lines_read long, marker_lines long, parsed long, rejected long")
 
     def __exit__(self, *exc):
         delete_path(self.spark, self.path)
@@ -94,15 +104,17 @@ class _staged:
 
 
 def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear: bool = False,
-                       year=None) -> None:
-    """Path-table variant of ``import_log`` (Parquet files at ``path``)."""
+                       year=None) -> DataFrame:
+    """Path-table variant of ``import_log`` (Parquet files at ``path``);
+    ``lines`` come from ``read_syslog``. Returns the import summary."""
     from ..session import path_exists
     existing = None
     if not clear and path_exists(spark, path):
         existing = spark.read.parquet(path)
     base = _next_base(existing)
-    with _staged(spark, lines, year, base) as rows:
-        rows.write.mode("overwrite" if clear else "append").parquet(path)
+    with _staged(spark, lines, year, base) as staged:
+        staged.rows.write.mode("overwrite" if clear else "append").parquet(path)
+        return staged.summary()
 
 
 def empty_table_at(spark: SparkSession, path: str, schema=LOGS_SCHEMA) -> None:

@@ -107,3 +107,10 @@ def test_staged_import_ids_across_splits(spark, tmpdir_path):
         assert [r["id"] for r in rows] == list(range(1, len(expected) + 1))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_path_import_summary_with_rejects(spark, tmpdir_path):
+    logdir = os.path.join(tmpdir_path, "in")
+    write_lines(logdir, "syslog", [_log(i) for i in range(6)] + ["x XIPT: DROP", "noise", "h IPT: "])
+    s = store.import_log_to_path(spark, read_syslog(spark, logdir), os.path.join(tmpdir_path, "t"))
+    assert s.first().asDict() == {"lines_read": 9, "marker_lines": 8, "parsed": 6, "rejected": 2}
