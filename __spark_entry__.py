@@ -232,7 +232,10 @@ def _dotted(x: str) -> str:
 
 _MAC = "02:00:bc:7e:5d:a0:00:13:5f:21:29:40:08:00"
 
-# Expected packet table, straight from events (no text involved).
+# Expected packet table, straight from events (no text involved). Every event
+# is rendered as one log line; every 101st one is an ordinary kernel line
+# without the marker, which the parser skips: so the packets are the events with
+# event_id % 101 <> 0 (a property of the fixture, not a sample).
 _PACKETS = f"""
 ev AS (
   SELECT event_id AS e, user_id AS u, ts, event_type,

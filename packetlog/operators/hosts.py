@@ -39,6 +39,15 @@ def fresh_hosts(cache: DataFrame, now=None, max_age_hours: int = READ_MAX_AGE_HO
     return cache.where(is_fresh("ttl", now, max_age_hours)).select("ip", "host")
 
 
+def lookup_hosts(cache: DataFrame, addresses: DataFrame, ip_col: str = "ip", now=None,
+                 max_age_hours: int = READ_MAX_AGE_HOURS) -> DataFrame:
+    """Cache get for many addresses at once: every row of ``addresses`` with
+    ``host`` = the fresh cached name or NULL (not cached, or too old).
+    An equi-join; Spark picks broadcast or shuffle from the sizes."""
+    fresh = fresh_hosts(cache, now, max_age_hours).withColumnRenamed("ip", "_ip")
+    return (addresses.join(fresh, addresses[ip_col] == fresh["_ip"], "left").drop("_ip"))
+
+
 def display_name(host: Column, ip: Column, width: int) -> Column:
     """Cached host (trimmed to ``width``), else the dotted address."""
     return F.coalesce(trim_host(host, width), long_to_ip(ip))

@@ -15,6 +15,7 @@ from ..sources.syslog import read_syslog
 import uuid
 
 from ..session import delete_path, scratch_path
+from ..operators.parse import rejects
 from .ingest import number_staged, stage_lines
 
 
@@ -61,7 +62,7 @@ def _next_base(existing: DataFrame | None) -> int:
 
 
 def import_log(spark: SparkSession, paths, name: str = DEFAULT_LOGS_TABLE, clear: bool = False,
-               year=None) -> DataFrame:
+               year=None, rejects_path: str | None = None) -> DataFrame:
     """Import log files into the catalog table ``name``.
 
     ``clear`` empties the table first (the clear always happens before the
@@ -72,6 +73,8 @@ def import_log(spark: SparkSession, paths, name: str = DEFAULT_LOGS_TABLE, clear
     base = 0 if clear else _next_base(spark.table(name))
     with _staged(spark, lines, year, base) as staged:
         staged.rows.write.mode("overwrite" if clear else "append").insertInto(name, overwrite=clear)
+        if rejects_path:
+            staged.write_rejects(rejects_path)
         return staged.summary()
 
 
@@ -92,6 +95,12 @@ class _staged:
         self.rows = number_staged(self.staged, self.base).where("ok").select(*LOGS_COLUMNS)
         return self
 
+    def write_rejects(self, path: str) -> None:
+        """Lines that carried the marker substring but could not be parsed,
+        with their id and reason (appended to ``path``)."""
+        numbered = number_staged(self.staged, self.base).where(~F.col("ok"))
+        rejects(numbered).write.mode("append").parquet(path)
+
     def summary(self) -> DataFrame:
         """Import summary from the observed line count and the staged table."""
         c = self.staged.agg(F.count(F.lit(1)).alias("m"), F.count_if("ok").alias("p")).first()
@@ -104,7 +113,7 @@ class _staged:
 
 
 def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear: bool = False,
-                       year=None) -> DataFrame:
+                       year=None, rejects_path: str | None = None) -> DataFrame:
     """Path-table variant of ``import_log`` (Parquet files at ``path``);
     ``lines`` come from ``read_syslog``. Returns the import summary."""
     from ..session import path_exists
@@ -114,6 +123,8 @@ def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear:
     base = _next_base(existing)
     with _staged(spark, lines, year, base) as staged:
         staged.rows.write.mode("overwrite" if clear else "append").parquet(path)
+        if rejects_path:
+            staged.write_rejects(rejects_path)
         return staged.summary()
 
 

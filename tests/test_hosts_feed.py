@@ -128,3 +128,10 @@ def test_follow_starts_at_the_end(spark, tmpdir_path):
                          available_now=True, start_time=dt.datetime.now() + dt.timedelta(days=1))
     query.awaitTermination()
     assert not os.path.exists(os.path.join(sink, "feed")) or read_feed(spark, sink).count() == 0
+
+
+def test_lookup_hosts(spark):
+    cache = _cache(spark, [("1.1.1.1", "one.example", NOW), ("2.2.2.2", "old.example", NOW - dt.timedelta(hours=400))])
+    addrs = spark.createDataFrame([(16843009,), (33686018,), (50529027,)], "ip long")
+    got = sorted(tuple(r) for r in H.lookup_hosts(cache, addrs, now=NOW).collect())
+    assert got == [(16843009, "one.example"), (33686018, None), (50529027, None)]

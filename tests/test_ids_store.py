@@ -112,5 +112,8 @@ def test_staged_import_ids_across_splits(spark, tmpdir_path):
 def test_path_import_summary_with_rejects(spark, tmpdir_path):
     logdir = os.path.join(tmpdir_path, "in")
     write_lines(logdir, "syslog", [_log(i) for i in range(6)] + ["x XIPT: DROP", "noise", "h IPT: "])
-    s = store.import_log_to_path(spark, read_syslog(spark, logdir), os.path.join(tmpdir_path, "t"))
+    rej = os.path.join(tmpdir_path, "rejects")
+    s = store.import_log_to_path(spark, read_syslog(spark, logdir), os.path.join(tmpdir_path, "t"), rejects_path=rej)
     assert s.first().asDict() == {"lines_read": 9, "marker_lines": 8, "parsed": 6, "rejected": 2}
+    got = sorted(tuple(r) for r in spark.read.parquet(rej).collect())
+    assert got == [(7, "x XIPT: DROP", "no_marker_token"), (8, "h IPT: ", "no_action")]
