@@ -165,8 +165,10 @@ def resolve_hosts(missing: DataFrame, resolver: Callable[[list[str]], list[str |
             yield pd.DataFrame({"ip": pdf["ip"], "host": host.where(host.notna(), pdf["ip_text"])})
 
     texts = missing.select("ip", long_to_ip("ip").alias("ip_text"))
-    named = texts.mapInPandas(run, "ip long, host string")
-    return named.withColumn("ttl", ntz_literal(now))
+    named = texts.mapInPandas(run, "ip long, host string").withColumn("ttl", ntz_literal(now))
+    # Written once: every address is looked up exactly once even though the
+    # upsert reads the result twice (and a retried task would repeat lookups).
+    return named.checkpoint(eager=True)
 
 
 def upsert_hosts(cache: DataFrame, new: DataFrame) -> DataFrame:

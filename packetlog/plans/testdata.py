@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schema import LOGS_SCHEMA
 from ..session import path_exists, scratch_path
 from ..sources.fixtures import (FIXTURE_YEAR, _key, fixture_log_path,
                                 host_cache_from_customers)
@@ -22,7 +23,7 @@ def fixture_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "fixtures", _key(sf_dir), "logs")
     if not path_exists(spark, path + "/_SUCCESS"):
         import_log_to_path(spark, fixture_lines(spark, sf_dir), path, clear=True, year=FIXTURE_YEAR)
-    return spark.read.parquet(path)
+    return spark.read.schema(LOGS_SCHEMA).parquet(path)
 
 
 def fixture_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
