@@ -20,14 +20,15 @@ MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def number_rows(rows: DataFrame, id_col: str = "id", base=0,
-                order_cols=ORDER_COLUMNS, seq_col: str | None = None) -> DataFrame:
+                order_cols=ORDER_COLUMNS, seq_col: str | None = None, with_total: bool = False):
     """Attach ``id_col`` = base + 1, 2, 3 ... in (file, split, line) order.
 
     ``rows`` may already be filtered: numbering counts only the rows present.
     ``base`` continues an existing table. ``seq_col`` names a stored sequence
     taken at the scan (``monotonically_increasing_id`` right after the same
     filter, see ``stage_lines``); without it the sequence is taken here and the
-    input is read twice.
+    input is read twice. ``with_total`` also returns the number of rows (from
+    the split table, no extra pass).
     """
     order_cols = list(order_cols)
     if seq_col:
@@ -36,11 +37,12 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
         seq = rows.withColumn("_seq", F.monotonically_increasing_id())
     splits = seq.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq0"))
     before = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*order_cols, "_seq0",
+    offsets = splits.select(*order_cols, "_seq0", "_n",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     offsets = offsets.checkpoint(eager=True)
-    n_splits = offsets.count()
-    right = F.broadcast(offsets) if n_splits <= MAX_BROADCAST_SPLITS else offsets
-    out = seq.join(right, order_cols, "inner")
-    return (out.withColumn(id_col, F.lit(base).cast("bigint") + F.col("_off") + F.col("_seq") - F.col("_seq0") + 1)
-               .drop("_seq", "_seq0", "_off"))
+    stats = offsets.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    right = F.broadcast(offsets) if stats["splits"] <= MAX_BROADCAST_SPLITS else offsets
+    out = seq.join(right.drop("_n"), order_cols, "inner")
+    out = (out.withColumn(id_col, F.lit(base).cast("bigint") + F.col("_off") + F.col("_seq") - F.col("_seq0") + 1)
+              .drop("_seq", "_seq0", "_off"))
+    return (out, int(stats["rows"])) if with_total else out

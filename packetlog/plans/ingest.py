@@ -10,12 +10,14 @@ from ..operators.parse import parse_lines, packets, rejects
 from ..sources.syslog import marker_lines, MARKER
 
 
-def parse_log(lines: DataFrame, year=None, base=0) -> DataFrame:
+def parse_log(lines: DataFrame, year=None, base=0, with_total: bool = False):
     """Marker lines of ``lines`` (from ``read_syslog``), numbered in file order
     (``id``, 1-based over marker lines, continuing after ``base``) and parsed.
-    Result has the packet columns, ``ok`` and the raw ``value``."""
-    numbered = number_rows(marker_lines(lines), "id", base=base)
-    return parse_lines(numbered, year=year, keep=("value",))
+    Result has the packet columns, ``ok`` and the raw ``value``; with
+    ``with_total`` also the number of marker lines."""
+    numbered, total = number_rows(marker_lines(lines), "id", base=base, with_total=True)
+    parsed = parse_lines(numbered, year=year, keep=("value",))
+    return (parsed, total) if with_total else parsed
 
 
 def packets_from_log(lines: DataFrame, year=None, base=0) -> DataFrame:

@@ -21,7 +21,6 @@ from ..operators.hosts import FEED_HOST_WIDTH, name_feed
 from ..plans.ingest import parse_log
 from ..operators.parse import packets as accepted
 from ..session import path_exists, scratch_path
-from ..sources.syslog import MARKER
 
 POLL_SECONDS = 1
 
@@ -29,11 +28,15 @@ _TEXT_SCHEMA = T.StructType([T.StructField("value", T.StringType(), True)])
 
 
 def stream_lines(spark: SparkSession, directory: str, from_start: bool = False,
-                 start_time: _dt.datetime | None = None) -> DataFrame:
-    """Lines of files arriving in ``directory``. Unless ``from_start``, only
-    files modified after ``start_time`` (default: now) are read, the stream
-    equivalent of starting at the end of the log."""
-    df = (spark.readStream.format("text").schema(_TEXT_SCHEMA).load(directory)
+                 start_time: _dt.datetime | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Lines of files arriving in ``directory`` (in arrival order, oldest
+    first). Unless ``from_start``, only files modified after ``start_time``
+    (default: now) are read, the stream equivalent of starting at the end of
+    the log."""
+    reader = spark.readStream.format("text").schema(_TEXT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    df = (reader.load(directory)
           .select("value",
                   F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("file_block_start"),
@@ -52,8 +55,8 @@ def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache: DataFrame
         if path_exists(spark, counts_path):
             base = (spark.read.parquet(counts_path).where(F.col("batch_id") < batch_id)
                     .agg(F.coalesce(F.sum("packets"), F.lit(0))).first()[0])
-        n_marker = batch.where(F.col("value").contains(MARKER)).count()
-        rows = accepted(parse_log(batch, year=year, base=int(base)))
+        parsed, n_marker = parse_log(batch, year=year, base=int(base), with_total=True)
+        rows = accepted(parsed)
         rows = feed_filter(rows, no_lo, no_accept)
         if cache is not None:
             rows = name_feed(rows, cache, now=now, width=FEED_HOST_WIDTH)
@@ -67,14 +70,14 @@ def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache: DataFrame
 def follow(spark: SparkSession, directory: str, sink: str | None = None, checkpoint: str | None = None,
            from_start: bool = False, no_lo: bool = False, no_accept: bool = False, year=None,
            cache: DataFrame | None = None, now=None, available_now: bool = False,
-           start_time: _dt.datetime | None = None):
+           start_time: _dt.datetime | None = None, max_files_per_trigger: int | None = None):
     """Start the feed; returns ``(query, sink)``. Rows land in ``sink/feed``
     (partitioned by batch id) with ``packet_no`` = ``id`` and an ``arrival``
     time. ``available_now`` processes what is there and stops (scan mode)."""
     run_id = uuid.uuid4().hex[:12]
     sink = sink or scratch_path(spark, "feeds", run_id)
     checkpoint = checkpoint or f"{sink}/_checkpoint"
-    lines = stream_lines(spark, directory, from_start, start_time)
+    lines = stream_lines(spark, directory, from_start, start_time, max_files_per_trigger)
     writer = (lines.writeStream.foreachBatch(_feed_batch(sink, no_lo, no_accept, year, cache, now))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")

@@ -135,3 +135,21 @@ def test_lookup_hosts(spark):
     addrs = spark.createDataFrame([(16843009,), (33686018,), (50529027,)], "ip long")
     got = sorted(tuple(r) for r in H.lookup_hosts(cache, addrs, now=NOW).collect())
     assert got == [(16843009, "one.example"), (33686018, None), (50529027, None)]
+
+
+def test_stream_counter_continues_across_batches(spark, tmpdir_path):
+    import time as _time
+    logdir = os.path.join(tmpdir_path, "in")
+    lines = _feed_lines()
+    now = _time.time()
+    for k, part in enumerate([lines[:150], lines[150:300], lines[300:]]):
+        path = write_lines(logdir, f"f{k}.log", part)
+        os.utime(path, (now - 100 + k, now - 100 + k))      # arrival order f0, f1, f2
+    batch = sorted(tuple(r) for r in FD.scan_feed(packets_from_log(read_syslog(spark, logdir))).collect())
+    query, sink = follow(spark, logdir, sink=os.path.join(tmpdir_path, "sink"), from_start=True,
+                         available_now=True, max_files_per_trigger=1)
+    query.awaitTermination()
+    got = read_feed(spark, sink)
+    assert got.select("batch_id").distinct().count() == 3
+    stream = sorted(tuple(r) for r in FD.scan_feed(got.withColumnRenamed("packet_no", "id")).collect())
+    assert stream == batch
