@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +92,19 @@ def render_syslog(events: DataFrame) -> DataFrame:
     return events.select(e.alias("event_id"), F.when(e % 101 == 0, noise).otherwise(packet).alias("value"))
 
 
+# One writer at a time per process for the cached derived tables.
+BUILD_LOCK = threading.RLock()
+
+
 def fixture_log_path(spark: SparkSession, sf_dir: str) -> str:
     """Text files rendered from ``events`` of ``sf_dir`` (written once, then reused)."""
     path = scratch_path(spark, "fixtures", _key(sf_dir), "syslog")
+    with BUILD_LOCK:
+        _build_log(spark, sf_dir, path)
+    return path
+
+
+def _build_log(spark: SparkSession, sf_dir: str, path: str) -> None:
     if not path_exists(spark, path + "/_SUCCESS"):
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
         files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "8")) // 2)
@@ -102,7 +113,6 @@ def fixture_log_path(spark: SparkSession, sf_dir: str) -> str:
          .sortWithinPartitions("event_id")
          .select("value")
          .write.mode("overwrite").text(path))
-    return path
 
 
 def host_cache_from_customers(customer: DataFrame, now=FIXTURE_NOW) -> DataFrame:

@@ -47,7 +47,7 @@ def golden_lines():
     for count, src, spt, dst, dpt, proto, action in SAMPLE_R1:
         for _ in range(count):
             n += 1
-            out.append(f"May  4 06:35:{n % 60:02d} zathras kernel: [{n}.0] IPT: {action} IN=eth0 OUT= "
+            out.append(f"May  4 06:35:{n % 60:02d} gate kernel: [{n}.0] IPT: {action} IN=eth0 OUT= "
                        f"MAC=02:00:bc:7e:5d:a0:00:13:5f:21:29:40:08:00 SRC={src} DST={dst} LEN=40 TOS=0x00 "
                        f"TTL=56 ID={n} PROTO={proto} SPT={spt} DPT={dpt} WINDOW=512 RES=0x00 SYN URGP=0 ")
     return out

@@ -153,3 +153,25 @@ def test_stream_counter_continues_across_batches(spark, tmpdir_path):
     assert got.select("batch_id").distinct().count() == 3
     stream = sorted(tuple(r) for r in FD.scan_feed(got.withColumnRenamed("packet_no", "id")).collect())
     assert stream == batch
+
+
+def test_hot_source_is_spread_over_tasks(spark):
+    """One source owns a third of the packets: in the shuffle path its rows
+    are spread over many partitions instead of landing in one task."""
+    n = 3000
+    rows = [(i + 1, 117901063 if i % 3 == 0 else 167772160 + i, 16843009, "TCP", "DROP") for i in range(n)]
+    feed = spark.createDataFrame(rows, "packet_no long, src_ip long, dst_ip long, proto string, action string")
+    cache = _cache(spark, [("7.7.7.7", "hot.example.org", NOW), ("10.0.0.5", "five.example", NOW)])
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")     # keep the shuffle layout visible
+    try:
+        named = H.name_feed(feed, cache, ip_cols=("src_ip",), now=NOW, row_key="packet_no",
+                            max_broadcast=0, hot_keys=1)
+        per_part = (named.where(F.col("src_ip") == 117901063).groupBy(F.spark_partition_id().alias("p"))
+                    .count().collect())
+        assert len(per_part) > 1
+        assert max(r["count"] for r in per_part) < n // 3
+        assert named.where(F.col("src_ip_name") == "hot.example.org").count() == n // 3
+        assert named.where(F.col("src_ip_name") == "five.example").count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)

@@ -6,7 +6,7 @@ from packetlog.plans.ingest import parse_log, import_summary
 from packetlog.operators.parse import packets, rejects
 from packetlog.sources.syslog import read_syslog
 
-EXAMPLE = ("May  4 06:35:08 zathras kernel: [1749207.946614] IPT: CBLK IN=eth0 OUT= "
+EXAMPLE = ("May  4 06:35:08 gate kernel: [1749207.946614] IPT: CBLK IN=eth0 OUT= "
            "MAC=02:00:bc:7e:5d:a0:00:13:5f:21:29:40:08:00 SRC=46.45.161.187 DST=188.126.93.160 LEN=40 "
            "TOS=0x00 PREC=0x00 TTL=56 ID=10028 PROTO=TCP SPT=55844 DPT=445 WINDOW=512 RES=0x00 SYN URGP=0 ")
 
