@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ipaddr import ip_to_long
 from ..functions.fields import port_number
-from ..functions.eventtime import syslog_event_time
+from ..functions.eventtime import syslog_event_time, year_before
 from ..schema import LOGS_COLUMNS
 
 MARKER_TOKEN = "IPT:"
@@ -72,7 +72,9 @@ def parse_columns(value: Column) -> dict[str, Column]:
 def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> DataFrame:
     """Parse marker lines; returns packet-table columns plus ``ok`` (False for
     rejects) and the columns named in ``keep``. ``id`` is kept when present.
-    ``year`` fills ``timestamp`` from the syslog header (NULL when None).
+    ``year`` fills ``timestamp`` from the syslog header: an int or column, or
+    ``"auto"`` (from the file's modification time, needs the
+    ``file_modification_time`` column of ``read_syslog``); NULL when None.
 
     Three projections: marker split, raw key strings, typed values. Catalyst
     keeps them apart (a costly expression used several times is not inlined),
@@ -81,7 +83,15 @@ def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> D
     v = F.col(value)
     carry = (["id"] if "id" in lines.columns else []) + [k for k in keep if k != value]
     action_token, rest = _marker_split(v)
-    ts = syslog_event_time(v, year) if year is not None else F.lit(None).cast("timestamp_ntz")
+    if isinstance(year, str) and year == "auto":
+        # Year of the file's modification time (wall clock of the session time
+        # zone); an event later than that time belongs to the year before.
+        mtime = F.col("file_modification_time").cast("timestamp_ntz")
+        ts = year_before(syslog_event_time(v, F.year(mtime)), mtime)
+    elif year is not None:
+        ts = syslog_event_time(v, year)
+    else:
+        ts = F.lit(None).cast("timestamp_ntz")
     step1 = lines.select(*carry, v.alias("_value"), ts.alias("timestamp"),
                          action_token.alias("_action"), rest.alias("_rest"))
     r = F.col("_rest")

@@ -16,7 +16,10 @@ def parse_log(lines: DataFrame, year=None, base=0, with_total: bool = False):
     Result has the packet columns, ``ok`` and the raw ``value``; with
     ``with_total`` also the number of marker lines."""
     numbered, total = number_rows(marker_lines(lines), "id", base=base, with_total=True)
-    parsed = parse_lines(numbered, year=year, keep=("value",))
+    parsed = parse_lines(numbered, year=year, keep=("value",) + (
+        ("file_modification_time",) if isinstance(year, str) and year == "auto" else ()))
+    if "file_modification_time" in parsed.columns:
+        parsed = parsed.drop("file_modification_time")
     return (parsed, total) if with_total else parsed
 
 
@@ -31,7 +34,12 @@ def stage_lines(lines: DataFrame, path: str, year=None) -> DataFrame:
     columns (file, split, sequence) from which ids are derived. Returns the
     staged table."""
     marked = marker_lines(lines).withColumn("_seq", F.monotonically_increasing_id())
-    parsed = parse_lines(marked, year=year, keep=("file_path", "file_block_start", "_seq", "value"))
+    keep = ("file_path", "file_block_start", "_seq", "value")
+    if isinstance(year, str) and year == "auto":
+        keep += ("file_modification_time",)
+    parsed = parse_lines(marked, year=year, keep=keep)
+    if "file_modification_time" in parsed.columns:
+        parsed = parsed.drop("file_modification_time")
     parsed = parsed.withColumn("value", F.when(~F.col("ok"), F.col("value")))
     parsed.write.mode("overwrite").parquet(path)
     return lines.sparkSession.read.parquet(path)

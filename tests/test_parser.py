@@ -104,3 +104,19 @@ def test_event_time_header_forms(spark):
     got = [r[0] for r in df.select(syslog_event_time("v", 2024)).collect()]
     assert got == [dt.datetime(2024, 5, 4, 6, 35, 8), dt.datetime(2024, 5, 14, 6, 35, 8), dt.datetime(2024, 5, 4, 6, 35, 8),
                    None, None, None, None, None]
+
+
+def test_year_from_file_time_with_wrap(spark, tmpdir_path):
+    import datetime as dt
+    import os
+    import time
+    path = write_lines(tmpdir_path, "a.log", ["Dec 31 23:59:00 h k: IPT: DROP IN=eth0", "Jan  2 00:00:01 h k: IPT: DROP IN=eth0"])
+    mtime = time.mktime(dt.datetime(2025, 1, 5, 12, 0, 0).timetuple())
+    os.utime(path, (mtime, mtime))
+    rows = parse_log(read_syslog(spark, tmpdir_path), year="auto").orderBy("id").collect()
+    assert [r["timestamp"] for r in rows] == [dt.datetime(2024, 12, 31, 23, 59, 0), dt.datetime(2025, 1, 2, 0, 0, 1)]
+    from packetlog.plans.store import import_log_to_path
+    out = os.path.join(tmpdir_path, "t")
+    import_log_to_path(spark, read_syslog(spark, tmpdir_path), out, year="auto")
+    got = [r["timestamp"] for r in spark.read.parquet(out).orderBy("id").collect()]
+    assert got == [dt.datetime(2024, 12, 31, 23, 59, 0), dt.datetime(2025, 1, 2, 0, 0, 1)]
