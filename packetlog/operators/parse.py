@@ -33,9 +33,22 @@ _NO_TOKEN = r"(?s)^ *[^ ]+ (?:.*? )?IPT:(?: |$)"
 KEYS = ["ACTION", "IN", "OUT", "MAC", "SRC", "DST", "PROTO", "SPT", "DPT"]
 
 
-def _last_value(rest: Column, key: str) -> Column:
-    """Value of the last token starting with ``key=`` ('' when absent)."""
-    return F.regexp_extract(rest, rf"(?s)^.* {key}=([^ ]*)", 1)
+# One pass collects every recognised ``KEY=value`` token after the action, in
+# order; reversed, the first position of a key is its last occurrence.
+_KEY_TOKEN = " (" + "|".join(KEYS) + ")=([^ ]*)"
+
+
+def _key_arrays(rest: Column) -> tuple[Column, Column]:
+    """(keys, values) of the recognised tokens in ``rest``, last token first."""
+    return (F.reverse(F.regexp_extract_all(rest, F.lit(_KEY_TOKEN), 1)),
+            F.reverse(F.regexp_extract_all(rest, F.lit(_KEY_TOKEN), 2)))
+
+
+def _last_value(keys: Column, values: Column, key: str, missing: Column | None = None) -> Column:
+    """Value of the last token ``key=...`` (``missing``, default '', when absent)."""
+    pos = F.array_position(keys, key)
+    return F.when(pos > 0, F.try_element_at(values, pos.cast("int"))).otherwise(
+        missing if missing is not None else F.lit(""))
 
 
 def _marker_split(value: Column) -> tuple[Column, Column]:
@@ -51,22 +64,15 @@ def _marker_split(value: Column) -> tuple[Column, Column]:
 
 
 def parse_columns(value: Column) -> dict[str, Column]:
-    """Column expressions of one parsed line (strings as in the log)."""
+    """Column expressions of one parsed line (strings as in the log). For
+    single expressions; ``parse_lines`` stages the same steps for speed."""
     action_token, rest = _marker_split(value)
-    override = F.regexp_extract(rest, r"(?s)^.* (ACTION=[^ ]*)", 1)
-    action = F.when(override != "", F.substring(override, 8, 1 << 20)).otherwise(action_token)
-    return {
-        "ok": action_token != "",
-        "action": action,
-        "if_in": _last_value(rest, "IN"),
-        "if_out": _last_value(rest, "OUT"),
-        "mac": _last_value(rest, "MAC"),
-        "src": _last_value(rest, "SRC"),
-        "dst": _last_value(rest, "DST"),
-        "proto": _last_value(rest, "PROTO"),
-        "spt": _last_value(rest, "SPT"),
-        "dpt": _last_value(rest, "DPT"),
-    }
+    keys, values = _key_arrays(rest)
+    out = {"ok": action_token != "", "action": _last_value(keys, values, "ACTION", action_token)}
+    for k, name in (("IN", "if_in"), ("OUT", "if_out"), ("MAC", "mac"), ("SRC", "src"), ("DST", "dst"),
+                    ("PROTO", "proto"), ("SPT", "spt"), ("DPT", "dpt")):
+        out[name] = _last_value(keys, values, k)
+    return out
 
 
 def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> DataFrame:
@@ -76,9 +82,10 @@ def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> D
     ``"auto"`` (from the file's modification time, needs the
     ``file_modification_time`` column of ``read_syslog``); NULL when None.
 
-    Three projections: marker split, raw key strings, typed values. Catalyst
-    keeps them apart (a costly expression used several times is not inlined),
-    so every regular expression runs once per line, all in one codegen stage.
+    Three projections: marker split, the key/value arrays (two regular
+    expression passes over the tail of the line), typed values. Catalyst keeps
+    them apart (a costly expression used several times is not inlined), so
+    each runs once per line, all in one codegen stage.
     """
     v = F.col(value)
     carry = (["id"] if "id" in lines.columns else []) + [k for k in keep if k != value]
@@ -94,23 +101,21 @@ def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> D
         ts = F.lit(None).cast("timestamp_ntz")
     step1 = lines.select(*carry, v.alias("_value"), ts.alias("timestamp"),
                          action_token.alias("_action"), rest.alias("_rest"))
-    r = F.col("_rest")
-    override = F.regexp_extract(r, r"(?s)^.* (ACTION=[^ ]*)", 1)
-    step2 = step1.select(
-        *carry, "_value", "timestamp", "_action", override.alias("_override"),
-        *[_last_value(r, k).alias("_" + k.lower()) for k in KEYS if k != "ACTION"])
+    keys, values = _key_arrays(F.col("_rest"))
+    step2 = step1.select(*carry, "_value", "timestamp", "_action", keys.alias("_keys"), values.alias("_values"))
+    k, vals = F.col("_keys"), F.col("_values")
     step3 = step2.select(
         *carry,
         F.col("timestamp"),
-        F.col("_in").alias("if_in"),
-        F.col("_out").alias("if_out"),
-        ip_to_long("_src").alias("src_ip"),
-        port_number("_spt").alias("src_prt"),
-        ip_to_long("_dst").alias("dst_ip"),
-        port_number("_dpt").alias("dst_prt"),
-        F.col("_proto").alias("proto"),
-        F.when(F.col("_override") != "", F.substring("_override", 8, 1 << 20)).otherwise(F.col("_action")).alias("action"),
-        F.col("_mac").alias("mac"),
+        _last_value(k, vals, "IN").alias("if_in"),
+        _last_value(k, vals, "OUT").alias("if_out"),
+        ip_to_long(_last_value(k, vals, "SRC")).alias("src_ip"),
+        port_number(_last_value(k, vals, "SPT")).alias("src_prt"),
+        ip_to_long(_last_value(k, vals, "DST")).alias("dst_ip"),
+        port_number(_last_value(k, vals, "DPT")).alias("dst_prt"),
+        _last_value(k, vals, "PROTO").alias("proto"),
+        _last_value(k, vals, "ACTION", F.col("_action")).alias("action"),
+        _last_value(k, vals, "MAC").alias("mac"),
         (F.col("_action") != "").alias("ok"),
         *([F.col("_value").alias(value)] if value in keep else []),
     )
