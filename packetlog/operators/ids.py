@@ -1,10 +1,10 @@
 """Dense file-order sequence numbers without a global sort of the rows.
 
-Pass 1 counts rows per (file, split) and records the smallest
-``monotonically_increasing_id`` of each split; a running sum over the splits
-(one row per split, so tiny) gives each split's offset, which is checkpointed.
-Pass 2 recomputes the same ids (the plan and the input are identical) and adds
-the offset. Work is spread over all tasks; only the split table is small.
+Rows carry (file, split, ``monotonically_increasing_id`` taken in the scan).
+One aggregate counts rows per split and records each split's smallest id; a
+running sum over the splits (one row per split, so tiny) gives each split's
+offset, which is checkpointed and joined back. Work is spread over all tasks;
+only the split table is small.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
     ``base`` continues an existing table. ``seq_col`` names a stored sequence
     taken at the scan (``monotonically_increasing_id`` right after the same
     filter, see ``stage_lines``); without it the sequence is taken here and the
-    input is read twice. ``with_total`` also returns the number of rows (from
-    the split table, no extra pass).
+    input is read twice, which is only exact when both jobs split the files the
+    same way (split size follows the core count for small inputs, so executors
+    joining or leaving in between could change it): the library's pipelines
+    therefore always use a stored sequence. ``with_total`` also returns the
+    number of rows (from the split table, no extra pass).
     """
     order_cols = list(order_cols)
     if seq_col:

@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ids import number_rows
 from ..operators.parse import parse_lines, packets, rejects
+from ..session import scratch_path
 from ..sources.syslog import marker_lines, MARKER
 
 
-def parse_log(lines: DataFrame, year=None, base=0, with_total: bool = False):
-    """Marker lines of ``lines`` (from ``read_syslog``), numbered in file order
-    (``id``, 1-based over marker lines, continuing after ``base``) and parsed.
-    Result has the packet columns, ``ok`` and the raw ``value``; with
-    ``with_total`` also the number of marker lines."""
-    numbered, total = number_rows(marker_lines(lines), "id", base=base, with_total=True)
-    parsed = parse_lines(numbered, year=year, keep=("value",) + (
-        ("file_modification_time",) if isinstance(year, str) and year == "auto" else ()))
-    if "file_modification_time" in parsed.columns:
-        parsed = parsed.drop("file_modification_time")
-    return (parsed, total) if with_total else parsed
-
-
-def packets_from_log(lines: DataFrame, year=None, base=0) -> DataFrame:
-    """Lazy packet rows of a log (reads the text twice: numbering, parsing)."""
-    return packets(parse_log(lines, year, base))
-
-
-def stage_lines(lines: DataFrame, path: str, year=None) -> DataFrame:
+def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False) -> DataFrame:
     """Parse the log in one text scan and write the compact result to ``path``:
-    packet columns, ``ok``, the raw line of rejects only, and the position
-    columns (file, split, sequence) from which ids are derived. Returns the
-    staged table."""
+    packet columns, ``ok``, the raw line (of rejects only, unless
+    ``keep_lines``), and the position columns (file, split, sequence taken in
+    that same scan) from which ids are derived. Returns the staged table.
+
+    Recording positions in the scan that parses makes the ids independent of
+    how a later job would split the files (split sizes follow the number of
+    cores, which changes when executors come and go)."""
     marked = marker_lines(lines).withColumn("_seq", F.monotonically_increasing_id())
     keep = ("file_path", "file_block_start", "_seq", "value")
     if isinstance(year, str) and year == "auto":
@@ -40,14 +29,38 @@ def stage_lines(lines: DataFrame, path: str, year=None) -> DataFrame:
     parsed = parse_lines(marked, year=year, keep=keep)
     if "file_modification_time" in parsed.columns:
         parsed = parsed.drop("file_modification_time")
-    parsed = parsed.withColumn("value", F.when(~F.col("ok"), F.col("value")))
+    if not keep_lines:
+        parsed = parsed.withColumn("value", F.when(~F.col("ok"), F.col("value")))
     parsed.write.mode("overwrite").parquet(path)
     return lines.sparkSession.read.parquet(path)
 
 
-def number_staged(staged: DataFrame, base=0) -> DataFrame:
+def number_staged(staged: DataFrame, base=0, with_total: bool = False):
     """Ids for a staged table (its position columns, no second text scan)."""
-    return number_rows(staged, "id", base=base, seq_col="_seq")
+    out = number_rows(staged, "id", base=base, seq_col="_seq", with_total=with_total)
+    if with_total:
+        return out[0].drop("file_path", "file_block_start"), out[1]
+    return out.drop("file_path", "file_block_start")
+
+
+def parse_log(lines: DataFrame, year=None, base=0, with_total: bool = False,
+              staging: str | None = None, keep_lines: bool = False):
+    """Marker lines of ``lines`` (from ``read_syslog``), numbered in file order
+    (``id``, 1-based over marker lines, continuing after ``base``) and parsed.
+
+    The text is scanned once: parsed rows are staged (Parquet under
+    ``staging``, default a new folder in the shared scratch area) and the
+    result reads them back. Columns: packet columns, ``ok`` and ``value`` (the
+    raw line of rejects; of every line with ``keep_lines``). With
+    ``with_total`` also the number of marker lines is returned."""
+    path = staging or scratch_path(lines.sparkSession, "staging", uuid.uuid4().hex)
+    staged = stage_lines(lines, path, year, keep_lines)
+    return number_staged(staged, base, with_total)
+
+
+def packets_from_log(lines: DataFrame, year=None, base=0) -> DataFrame:
+    """Packet rows of a log (accepted lines only, packet-table columns)."""
+    return packets(parse_log(lines, year, base))
 
 
 def import_summary(lines: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache: DataFrame
         if path_exists(spark, counts_path):
             base = (spark.read.parquet(counts_path).where(F.col("batch_id") < batch_id)
                     .agg(F.coalesce(F.sum("packets"), F.lit(0))).first()[0])
-        parsed, n_marker = parse_log(batch, year=year, base=int(base), with_total=True)
+        parsed, n_marker = parse_log(batch, year=year, base=int(base), with_total=True,
+                                     staging=f"{sink}/_staging/batch_id={batch_id}")
         rows = accepted(parsed)
         rows = feed_filter(rows, no_lo, no_accept)
         if cache is not None:

@@ -48,7 +48,7 @@ CASES = [
 def test_parser_cases(spark, tmpdir_path):
     write_lines(tmpdir_path, "a.log", [c[1] for c in CASES])
     lines = read_syslog(spark, tmpdir_path)
-    parsed = parse_log(lines).orderBy("id").collect()
+    parsed = parse_log(lines, keep_lines=True).orderBy("id").collect()
     by_value = {r["value"]: r for r in parsed}
     for name, line, expect in CASES:
         if expect == "skip":
@@ -65,7 +65,7 @@ def test_parser_cases(spark, tmpdir_path):
 
 def test_ids_count_marker_lines_only(spark, tmpdir_path):
     write_lines(tmpdir_path, "a.log", [c[1] for c in CASES])
-    parsed = parse_log(read_syslog(spark, tmpdir_path)).orderBy("id").collect()
+    parsed = parse_log(read_syslog(spark, tmpdir_path), keep_lines=True).orderBy("id").collect()
     marker = [c[1] for c in CASES if "IPT: " in c[1]]
     assert [r["value"] for r in parsed] == marker
     assert [r["id"] for r in parsed] == list(range(1, len(marker) + 1))
