@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DOTTED = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
+# One octet, 0-255, up to three digits (leading zeros allowed, as MySQL does).
+_OCTET = r"(?:[01]?[0-9]{1,2}|2[0-4][0-9]|25[0-5])"
+_DOTTED = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def _c(x) -> Column:
@@ -14,14 +16,13 @@ def _c(x) -> Column:
 
 def ip_to_long(text) -> Column:
     """Dotted quad -> number in [0, 2^32); NULL for anything else (IPv6,
-    short forms, octets above 255, empty text)."""
+    short forms, octets above 255, empty text). The pattern validates every
+    octet, so the conversion itself cannot fail."""
     s = _c(text)
-    octets = [F.try_element_at(F.split(s, r"\."), F.lit(i)).try_cast("bigint") for i in range(1, 5)]
-    in_range = octets[0] <= 255
-    for o in octets[1:]:
-        in_range = in_range & (o <= 255)
-    value = (octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3])
-    return F.when(s.rlike(_DOTTED) & in_range, value)
+    parts = F.split(s, r"\.")
+    octets = [F.element_at(parts, i).cast("bigint") for i in range(1, 5)]
+    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
+    return F.when(s.rlike(_DOTTED), value)
 
 
 def long_to_ip(number) -> Column:

@@ -82,8 +82,8 @@ def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> D
     ``"auto"`` (from the file's modification time, needs the
     ``file_modification_time`` column of ``read_syslog``); NULL when None.
 
-    Three projections: marker split, the key/value arrays (two regular
-    expression passes over the tail of the line), typed values. Catalyst keeps
+    Four projections: marker split, the key/value arrays (two regular
+    expression passes over the tail of the line), raw strings, typed values. Catalyst keeps
     them apart (a costly expression used several times is not inlined), so
     each runs once per line, all in one codegen stage.
     """
@@ -104,18 +104,26 @@ def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> D
     keys, values = _key_arrays(F.col("_rest"))
     step2 = step1.select(*carry, "_value", "timestamp", "_action", keys.alias("_keys"), values.alias("_values"))
     k, vals = F.col("_keys"), F.col("_values")
+    # Raw strings first, conversions after: a lookup used several times by a
+    # conversion is computed once, and each generated method stays small
+    # enough for the JIT compiler.
     step3 = step2.select(
+        *carry, "timestamp", "_action",
+        *[_last_value(k, vals, key).alias("_" + key.lower()) for key in KEYS if key != "ACTION"],
+        _last_value(k, vals, "ACTION", F.col("_action")).alias("action"),
+        *(["_value"] if value in keep else []))
+    step3 = step3.select(
         *carry,
         F.col("timestamp"),
-        _last_value(k, vals, "IN").alias("if_in"),
-        _last_value(k, vals, "OUT").alias("if_out"),
-        ip_to_long(_last_value(k, vals, "SRC")).alias("src_ip"),
-        port_number(_last_value(k, vals, "SPT")).alias("src_prt"),
-        ip_to_long(_last_value(k, vals, "DST")).alias("dst_ip"),
-        port_number(_last_value(k, vals, "DPT")).alias("dst_prt"),
-        _last_value(k, vals, "PROTO").alias("proto"),
-        _last_value(k, vals, "ACTION", F.col("_action")).alias("action"),
-        _last_value(k, vals, "MAC").alias("mac"),
+        F.col("_in").alias("if_in"),
+        F.col("_out").alias("if_out"),
+        ip_to_long("_src").alias("src_ip"),
+        port_number("_spt").alias("src_prt"),
+        ip_to_long("_dst").alias("dst_ip"),
+        port_number("_dpt").alias("dst_prt"),
+        F.col("_proto").alias("proto"),
+        F.col("action"),
+        F.col("_mac").alias("mac"),
         (F.col("_action") != "").alias("ok"),
         *([F.col("_value").alias(value)] if value in keep else []),
     )

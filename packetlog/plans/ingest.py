@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ids import number_rows
 from ..operators.parse import parse_lines, packets, rejects
-from ..session import scratch_path
+from ..session import jit_sized_codegen, scratch_path
 from ..sources.syslog import marker_lines, MARKER
 
 
@@ -31,7 +31,8 @@ def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False
         parsed = parsed.drop("file_modification_time")
     if not keep_lines:
         parsed = parsed.withColumn("value", F.when(~F.col("ok"), F.col("value")))
-    parsed.write.mode("overwrite").parquet(path)
+    with jit_sized_codegen(lines.sparkSession):
+        parsed.write.mode("overwrite").parquet(path)
     return lines.sparkSession.read.parquet(path)
 
 
