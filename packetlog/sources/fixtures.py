@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.eventtime import MONTHS, ntz_literal
 from ..functions.ipaddr import long_to_ip
-from ..session import path_exists, scratch_path
+from ..session import jit_sized_codegen, path_exists, scratch_path
 
 # Bump when the rendered layout or the import changes: cached copies are keyed by it.
 FIXTURE_VERSION = "5"
@@ -108,11 +108,12 @@ def _build_log(spark: SparkSession, sf_dir: str, path: str) -> None:
     if not path_exists(spark, path + "/_SUCCESS"):
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
         files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "8")) // 2)
-        (render_syslog(events)
-         .repartitionByRange(files, "event_id")
-         .sortWithinPartitions("event_id")
-         .select("value")
-         .write.mode("overwrite").text(path))
+        with jit_sized_codegen(spark):
+            (render_syslog(events)
+             .repartitionByRange(files, "event_id")
+             .sortWithinPartitions("event_id")
+             .select("value")
+             .write.mode("overwrite").text(path))
 
 
 def host_cache_from_customers(customer: DataFrame, now=FIXTURE_NOW) -> DataFrame:
