@@ -20,7 +20,8 @@ MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def number_rows(rows: DataFrame, id_col: str = "id", base=0,
-                order_cols=ORDER_COLUMNS, seq_col: str | None = None, with_total: bool = False):
+                order_cols=ORDER_COLUMNS, seq_col: str | None = None, with_total: bool = False,
+                offsets_path: str | None = None):
     """Attach ``id_col`` = base + 1, 2, 3 ... in (file, split, line) order.
 
     ``rows`` may already be filtered: numbering counts only the rows present.
@@ -31,7 +32,9 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
     same way (split size follows the core count for small inputs, so executors
     joining or leaving in between could change it): the library's pipelines
     therefore always use a stored sequence. ``with_total`` also returns the
-    number of rows (from the split table, no extra pass).
+    number of rows (from the split table, no extra pass). ``offsets_path``
+    writes the split table there (for callers that remove their own scratch
+    data) instead of to the checkpoint folder.
     """
     order_cols = list(order_cols)
     if seq_col:
@@ -42,7 +45,11 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
     before = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(*order_cols, "_seq0", "_n",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    offsets = offsets.checkpoint(eager=True)
+    if offsets_path:
+        offsets.write.mode("overwrite").parquet(offsets_path)
+        offsets = rows.sparkSession.read.parquet(offsets_path)
+    else:
+        offsets = offsets.checkpoint(eager=True)
     stats = offsets.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
     right = F.broadcast(offsets) if stats["splits"] <= MAX_BROADCAST_SPLITS else offsets
     out = seq.join(right.drop("_n"), order_cols, "inner")

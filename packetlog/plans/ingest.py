@@ -36,9 +36,9 @@ def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False
     return lines.sparkSession.read.parquet(path)
 
 
-def number_staged(staged: DataFrame, base=0, with_total: bool = False):
+def number_staged(staged: DataFrame, base=0, with_total: bool = False, offsets_path: str | None = None):
     """Ids for a staged table (its position columns, no second text scan)."""
-    out = number_rows(staged, "id", base=base, seq_col="_seq", with_total=with_total)
+    out = number_rows(staged, "id", base=base, seq_col="_seq", with_total=with_total, offsets_path=offsets_path)
     if with_total:
         return out[0].drop("file_path", "file_block_start"), out[1]
     return out.drop("file_path", "file_block_start")
@@ -55,8 +55,8 @@ def parse_log(lines: DataFrame, year=None, base=0, with_total: bool = False,
     raw line of rejects; of every line with ``keep_lines``). With
     ``with_total`` also the number of marker lines is returned."""
     path = staging or scratch_path(lines.sparkSession, "staging", uuid.uuid4().hex)
-    staged = stage_lines(lines, path, year, keep_lines)
-    return number_staged(staged, base, with_total)
+    staged = stage_lines(lines, path + "/rows", year, keep_lines)
+    return number_staged(staged, base, with_total, offsets_path=path + "/offsets")
 
 
 def packets_from_log(lines: DataFrame, year=None, base=0) -> DataFrame:

@@ -91,15 +91,15 @@ class _staged:
         # Lines read are counted during the staging scan itself (no extra pass).
         self.observation = Observation("import")
         observed = self.lines.observe(self.observation, F.count(F.lit(1)).alias("lines_read"))
-        self.staged = stage_lines(observed, self.path, self.year)
-        self.rows = number_staged(self.staged, self.base).where("ok").select(*LOGS_COLUMNS)
+        self.staged = stage_lines(observed, self.path + "/rows", self.year)
+        self.numbered = number_staged(self.staged, self.base, offsets_path=self.path + "/offsets")
+        self.rows = self.numbered.where("ok").select(*LOGS_COLUMNS)
         return self
 
     def write_rejects(self, path: str) -> None:
         """Lines that carried the marker substring but could not be parsed,
         with their id and reason (appended to ``path``)."""
-        numbered = number_staged(self.staged, self.base).where(~F.col("ok"))
-        rejects(numbered).write.mode("append").parquet(path)
+        rejects(self.numbered.where(~F.col("ok"))).write.mode("append").parquet(path)
 
     def summary(self) -> DataFrame:
         """Import summary from the observed line count and the staged table."""

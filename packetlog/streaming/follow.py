@@ -20,7 +20,7 @@ from ..operators.feed import feed_filter
 from ..operators.hosts import FEED_HOST_WIDTH, name_feed
 from ..plans.ingest import parse_log
 from ..operators.parse import packets as accepted
-from ..session import path_exists, scratch_path
+from ..session import delete_path, path_exists, scratch_path
 
 POLL_SECONDS = 1
 
@@ -65,6 +65,9 @@ def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache: DataFrame
         rows.write.mode("overwrite").parquet(f"{sink}/feed/batch_id={batch_id}")
         (spark.createDataFrame([(int(n_marker),)], "packets long")
               .write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}"))
+        # Both outputs are committed: the batch's staging data is no longer needed
+        # (a retried batch stages again).
+        delete_path(spark, f"{sink}/_staging/batch_id={batch_id}")
     return run
 
 

@@ -151,6 +151,8 @@ def test_stream_counter_continues_across_batches(spark, tmpdir_path):
     query.awaitTermination()
     got = read_feed(spark, sink)
     assert got.select("batch_id").distinct().count() == 3
+    staging = os.path.join(sink, "_staging")
+    assert not os.path.exists(staging) or os.listdir(staging) == []      # per-batch scratch removed
     stream = sorted(tuple(r) for r in FD.scan_feed(got.withColumnRenamed("packet_no", "id")).collect())
     assert stream == batch
 
