@@ -177,3 +177,16 @@ def test_hot_source_is_spread_over_tasks(spark):
         assert named.where(F.col("src_ip_name") == "five.example").count() == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_stream_with_host_names(spark, tmpdir_path):
+    logdir = os.path.join(tmpdir_path, "in")
+    write_lines(logdir, "a.log", _feed_lines()[:120])
+    cache = _cache(spark, [("7.7.7.7", "hot.example.org", NOW)])
+    query, sink = follow(spark, logdir, sink=os.path.join(tmpdir_path, "sink"), from_start=True,
+                         available_now=True, cache=cache, now=NOW)
+    query.awaitTermination()
+    got = read_feed(spark, sink)
+    names = {(r["src_ip"], r["src_ip_name"]) for r in got.collect()}
+    assert (117901063, "hot.example.org") in names
+    assert (167772417, "10.0.1.1") in names
