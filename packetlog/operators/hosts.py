@@ -24,8 +24,10 @@ PRUNE_MAX_AGE_HOURS = 336   # default age limit of a prune
 REPORT_HOST_WIDTH = 25
 FEED_HOST_WIDTH = 30
 
-# Fresh host tables up to this many rows are broadcast to the feed.
+# Fresh host tables up to this many rows and about this many bytes (8 per
+# address + host text + 24 per row of overhead) are broadcast to the feed.
 MAX_BROADCAST_HOSTS = 1_000_000
+MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 # Addresses whose packets are joined through a broadcast of their names instead
 # of the shuffle: every other address holds at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
@@ -60,8 +62,8 @@ def name_report(report: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"
 
     The report holds at most 1000 rows, so its distinct addresses (at most two
     per row) are broadcast to filter the host table, and the matching names
-    (as many) are broadcast back: the host table is scanned once, never
-    shuffled, and the report is never shuffled.
+    (as many) are broadcast back: the host table is only scanned through that
+    filter, never shuffled, and the report is never shuffled.
     """
     # The report is bounded by the limit; checkpoint it so the top-N runs once
     # although it feeds both the address list and the joins.
@@ -90,8 +92,9 @@ def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), n
               max_broadcast: int = MAX_BROADCAST_HOSTS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Add ``<col>_name`` to every row of an unbounded packet DataFrame.
 
-    * Fresh host table of at most ``max_broadcast`` rows (counted first):
-      broadcast hash join, the feed is not shuffled.
+    * Fresh host table of at most ``max_broadcast`` rows and MAX_BROADCAST_BYTES
+      (both measured first, in one aggregate): broadcast hash join, the feed
+      is not shuffled.
     * Larger: shuffle join that is safe against hot addresses. The HOT_KEYS
       most frequent addresses (found by a map-side combined count, so the
       count itself is skew-safe) get their names through a broadcast of at most
@@ -101,8 +104,10 @@ def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), n
       the rows (``hot_keys`` overrides HOT_KEYS).
     """
     fresh = fresh_hosts(cache, now, max_age_hours)
-    n_fresh = fresh.count()
-    small = n_fresh <= max_broadcast
+    size = fresh.agg(F.count(F.lit(1)).alias("rows"),
+                     F.coalesce(F.sum(F.length("host")), F.lit(0)).alias("chars")).first()
+    est_bytes = size["rows"] * 32 + size["chars"]
+    small = size["rows"] <= max_broadcast and est_bytes <= MAX_BROADCAST_BYTES
     # Hot addresses per column, counted on the feed itself (not on a partly
     # joined result, which would repeat the earlier joins).
     hots = {} if small else {
