@@ -2,9 +2,12 @@
 
 Rows carry (file, split, ``monotonically_increasing_id`` taken in the scan).
 One aggregate counts rows per split and records each split's smallest id; a
-running sum over the splits (one row per split, so tiny) gives each split's
-offset, which is checkpointed and joined back. Work is spread over all tasks;
-only the split table is small.
+running sum over the splits (one row per split) gives each split's offset,
+which is materialised and joined back. Up to SINGLE_TASK_SPLITS splits the
+running sum is one window; beyond that the split table is range-partitioned
+into ordered slices of at most that size, each slice sums locally and a prefix
+over the slice totals (one row per slice) is added, so no task ever holds more
+than SINGLE_TASK_SPLITS rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,40 @@ from ..sources.syslog import ORDER_COLUMNS
 # A split table larger than this is joined by shuffle instead of broadcast
 # (at 128 MiB splits this is ~250 TiB of text).
 MAX_BROADCAST_SPLITS = 2_000_000
+# Most split rows one task sums (~25 TiB of text at 128 MiB splits).
+SINGLE_TASK_SPLITS = 200_000
+
+
+def _materialise(df: DataFrame, path: str | None) -> DataFrame:
+    """Write ``df`` once (to ``path`` or the checkpoint folder) and read it back."""
+    if path:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    return df.checkpoint(eager=True)
+
+
+def split_offsets(splits: DataFrame, order_cols: list[str], path: str | None = None) -> DataFrame:
+    """``_off`` = number of rows in all earlier splits, for a materialised
+    split table with ``_n`` rows per split."""
+    n = splits.count()
+    before = Window.unboundedPreceding
+    if n <= SINGLE_TASK_SPLITS:
+        w = Window.orderBy(*order_cols).rowsBetween(before, -1)
+        return splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    slices = -(-n // SINGLE_TASK_SPLITS)
+    # Range partitions are contiguous and ordered; materialising fixes which
+    # split falls into which slice.
+    ranged = _materialise(splits.repartitionByRange(slices, *order_cols)
+                                .withColumn("_slice", F.spark_partition_id()),
+                          path and path + "/slices")
+    totals = ranged.groupBy("_slice").agg(F.sum("_n").alias("_sn"))            # one row per slice
+    slice_off = totals.select("_slice", F.coalesce(F.sum("_sn").over(
+        Window.orderBy("_slice").rowsBetween(before, -1)), F.lit(0)).alias("_soff"))
+    local = ranged.withColumn("_loff", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_slice").orderBy(*order_cols).rowsBetween(before, -1)), F.lit(0)))
+    return (local.join(F.broadcast(slice_off), "_slice")
+                 .withColumn("_off", F.col("_soff") + F.col("_loff"))
+                 .drop("_slice", "_soff", "_loff"))
 
 
 def number_rows(rows: DataFrame, id_col: str = "id", base=0,
@@ -41,15 +78,10 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
         seq = rows if seq_col == "_seq" else rows.withColumnRenamed(seq_col, "_seq")
     else:
         seq = rows.withColumn("_seq", F.monotonically_increasing_id())
-    splits = seq.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq0"))
-    before = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*order_cols, "_seq0", "_n",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    if offsets_path:
-        offsets.write.mode("overwrite").parquet(offsets_path)
-        offsets = rows.sparkSession.read.parquet(offsets_path)
-    else:
-        offsets = offsets.checkpoint(eager=True)
+    splits = _materialise(seq.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq0")),
+                          offsets_path and offsets_path + "/splits")
+    offsets = _materialise(split_offsets(splits, order_cols, offsets_path).select(*order_cols, "_seq0", "_n", "_off"),
+                           offsets_path and offsets_path + "/offsets")
     stats = offsets.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
     right = F.broadcast(offsets) if stats["splits"] <= MAX_BROADCAST_SPLITS else offsets
     out = seq.join(right.drop("_n"), order_cols, "inner")

@@ -117,3 +117,24 @@ def test_path_import_summary_with_rejects(spark, tmpdir_path):
     assert s.first().asDict() == {"lines_read": 9, "marker_lines": 8, "parsed": 6, "rejected": 2}
     got = sorted(tuple(r) for r in spark.read.parquet(rej).collect())
     assert got == [(7, "x XIPT: DROP", "no_marker_token"), (8, "h IPT: ", "no_action")]
+
+
+def test_split_offsets_in_slices(spark, tmpdir_path, monkeypatch):
+    """Many splits: the running sum over splits runs in ordered slices and
+    gives the same ids as the single window."""
+    from packetlog.operators import ids
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        logdir = os.path.join(tmpdir_path, "in")
+        n = 0
+        for f in range(4):
+            write_lines(logdir, f"part-{f}.log", [_log(n + i) for i in range(300)])
+            n += 300
+        lines = read_syslog(spark, logdir)
+        monkeypatch.setattr(ids, "SINGLE_TASK_SPLITS", 5)
+        rows = parse_log(lines).select("id", "src_prt").orderBy("id").collect()
+        assert [r["src_prt"] for r in rows] == list(range(n))
+        assert [r["id"] for r in rows] == list(range(1, n + 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
