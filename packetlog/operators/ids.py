@@ -32,10 +32,10 @@ def _materialise(df: DataFrame, path: str | None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def split_offsets(splits: DataFrame, order_cols: list[str], path: str | None = None) -> DataFrame:
+def split_offsets(splits: DataFrame, order_cols: list[str], n: int, path: str | None = None) -> DataFrame:
     """``_off`` = number of rows in all earlier splits, for a materialised
-    split table with ``_n`` rows per split."""
-    n = splits.count()
+    split table of ``n`` rows with ``_n`` rows per split. Deterministic: the
+    input is fixed and the order columns are unique."""
     before = Window.unboundedPreceding
     if n <= SINGLE_TASK_SPLITS:
         w = Window.orderBy(*order_cols).rowsBetween(before, -1)
@@ -80,9 +80,8 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
         seq = rows.withColumn("_seq", F.monotonically_increasing_id())
     splits = _materialise(seq.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq0")),
                           offsets_path and offsets_path + "/splits")
-    offsets = _materialise(split_offsets(splits, order_cols, offsets_path).select(*order_cols, "_seq0", "_n", "_off"),
-                           offsets_path and offsets_path + "/offsets")
-    stats = offsets.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    stats = splits.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    offsets = split_offsets(splits, order_cols, int(stats["splits"]), offsets_path).select(*order_cols, "_seq0", "_n", "_off")
     right = F.broadcast(offsets) if stats["splits"] <= MAX_BROADCAST_SPLITS else offsets
     out = seq.join(right.drop("_n"), order_cols, "inner")
     out = (out.withColumn(id_col, F.lit(base).cast("bigint") + F.col("_off") + F.col("_seq") - F.col("_seq0") + 1)
