@@ -67,7 +67,7 @@ def number_rows(rows: DataFrame, id_col: str = "id", base=0,
     filter, see ``stage_lines``); without it the sequence is taken here and the
     input is read twice, which is only exact when both jobs split the files the
     same way (split size follows the core count for small inputs, so executors
-    joining or leaving in between could change it): the library's pipelines
+    joining or leaving in between could change it): the library's imports and feeds
     therefore always use a stored sequence. ``with_total`` also returns the
     number of rows (from the split table, no extra pass). ``offsets_path``
     writes the split table there (for callers that remove their own scratch
