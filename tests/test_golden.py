@@ -88,3 +88,22 @@ def test_limit_is_checked(spark):
     for bad in (0, 1001, "5"):
         with pytest.raises(ValueError):
             R.check_limit(bad)
+
+
+# Title and column header lines of the sample's first report.
+SAMPLE_R1_HEAD = [
+    "Showing denied traffic grouped by IP, destination port, action taken and protocol.",
+    " Count Source IP                 SPort Dest IP                   DPort Proto  Action",
+    "------ ------------------------- ----- ------------------------- ----- ------ ----------",
+]
+
+
+def test_printed_report_layout(spark, tmpdir_path, capsys):
+    from packetlog.operators.render import print_report
+    write_lines(tmpdir_path, "syslog", golden_lines())
+    logs = packets_from_log(read_syslog(spark, tmpdir_path))
+    out = print_report(R.denied_sources(logs, 20, with_rank=True), "denied_sources")
+    assert out[0] == "" and out[1:4] == SAMPLE_R1_HEAD
+    assert out[4] == SAMPLE_R1_TEXT[0]                      # rank order: the 7-packet row first
+    assert len(out) == 4 + len(SAMPLE_R1)
+    assert "Showing denied traffic" in capsys.readouterr().out
