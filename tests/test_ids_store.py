@@ -53,14 +53,20 @@ def test_catalog_table_operations(spark, tmpdir_path):
     store.create_table(spark, "logs_t")
     with pytest.raises(ValueError):
         store.create_table(spark, "logs_t")
-    assert "logs_t" in [r["name"] for r in store.list_tables(spark).collect()]
+    listed = store.list_tables(spark).collect()
+    assert "logs_t" in [r["name"] for r in listed]
+    assert [r["number"] for r in listed] == list(range(1, len(listed) + 1))
     summary = store.import_log(spark, logdir, "logs_t").first().asDict()
     assert summary == {"lines_read": 6, "marker_lines": 5, "parsed": 5, "rejected": 0}
     store.import_log(spark, logdir, "logs_t")                      # append: counts double
     ids = [r["id"] for r in spark.table("logs_t").orderBy("id").collect()]
     assert ids == list(range(1, 11))
-    store.import_log(spark, logdir, "logs_t", clear=True)          # clear-then-import
+    write_lines(logdir, "syslog.bad", ["h XIPT: DROP"])
+    rej = os.path.join(tmpdir_path, "rejects")
+    s2 = store.import_log(spark, logdir, "logs_t", clear=True, rejects_path=rej)   # clear-then-import
+    assert s2.first()["rejected"] == 1
     assert [r["id"] for r in spark.table("logs_t").orderBy("id").collect()] == [1, 2, 3, 4, 5]
+    assert [(r["line"], r["reason"]) for r in spark.read.parquet(rej).collect()] == [("h XIPT: DROP", "no_marker_token")]
     store.clear_table(spark, "logs_t")
     assert spark.table("logs_t").count() == 0
     store.drop_table(spark, "logs_t")
