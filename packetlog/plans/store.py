@@ -170,3 +170,13 @@ def write_host_table(spark: SparkSession, root: str, table: DataFrame) -> str:
 def clear_host_table(spark: SparkSession, root: str) -> str:
     """Empty snapshot (the host-cache clear)."""
     return write_host_table(spark, root, spark.createDataFrame([], DNS_SCHEMA))
+
+
+def register_views(spark: SparkSession, logs: DataFrame, hosts: DataFrame | None = None,
+                   logs_view: str = DEFAULT_LOGS_TABLE, hosts_view: str = DEFAULT_DNS_TABLE) -> None:
+    """Custom queries (promised by the original tool's manual, never built):
+    register the packet table (and the host table) as temporary views, then
+    use ``spark.sql``. Catalyst plans them like the built-in reports."""
+    logs.createOrReplaceTempView(logs_view)
+    if hosts is not None:
+        hosts.createOrReplaceTempView(hosts_view)

@@ -59,3 +59,11 @@ def test_host_snapshots(spark, tmpdir_path):
     assert sorted(r["ip"] for r in store.read_host_table(spark, root).collect()) == [1, 2]
     store.clear_host_table(spark, root)
     assert store.read_host_table(spark, root).count() == 0
+
+
+def test_custom_sql_over_registered_views(spark, tmpdir_path):
+    write_lines(tmpdir_path, "syslog", golden_lines())
+    logs = packets_from_log(read_syslog(spark, tmpdir_path))
+    store.register_views(spark, logs, logs_view="logs_custom")
+    got = spark.sql("SELECT action, count(*) AS n FROM logs_custom GROUP BY action ORDER BY action").collect()
+    assert [(r["action"], r["n"]) for r in got] == [("CBLK", 8), ("DROP", 16), ("INVALID", 13)]
