@@ -9,6 +9,7 @@ integer formulas, so it shares nothing with the parser.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,19 @@ from packetlog.plans.store import import_log_to_path
 from packetlog.session import scratch_path
 from packetlog.streaming.follow import follow, read_feed
 
+# The corpus operators are an optional part: without their files, the rest works.
+def _optional(name: str):
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as missing:
+        if missing.name not in (name, name.rpartition(".")[0]):
+            raise
+        return None
+
+
+LLM = _optional("packetlog.llm.queries")
+PIPELINE = _optional("corpus_pipeline") if LLM else None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 REPORT_LIMIT = 1000  # the largest limit the tool accepts: checks whole top lists
 
@@ -219,6 +233,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name in R.REPORT_ORDER:
         q[name] = _report(name)
+    if LLM:
+        q.update(LLM.QUERIES)
+    if PIPELINE:
+        q["pipeline"] = PIPELINE.run
     return q
 
 
@@ -335,6 +353,10 @@ def oracle_sql() -> dict[str, str]:
     for name in R.REPORT_ORDER:
         o[name] = _with(_report_body(name, REPORT_LIMIT))
     o.update(_more_oracles())
+    if LLM:
+        o.update(LLM.ORACLE_SQL)
+    if PIPELINE and PIPELINE.ORACLE_SQL:
+        o["pipeline"] = PIPELINE.ORACLE_SQL
     return o
 
 
