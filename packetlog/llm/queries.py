@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetlog.llm import simhash
+from packetlog.llm import simhash, tokencount
 
 QUERIES = {
+    "op2_token_counts": tokencount.op2_token_counts,
     "op10_simhash": simhash.op10_simhash,
 }
 
