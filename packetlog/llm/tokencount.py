@@ -171,7 +171,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def count(batches):
-        counter = TokenCounter(shared.value)
+        # The worker's copy of the vocabulary also keeps its counter between tasks.
+        vocab = shared.value
+        counter = vocab.get("counter") or vocab.setdefault("counter", TokenCounter(vocab))
         for batch in batches:
             n = [counter.count(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())],
