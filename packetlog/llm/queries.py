@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from packetlog.llm import langid, simhash, tokencount
+from packetlog.llm import langid, simhash, tokencount, toxicity
 
 QUERIES = {
     "op2_token_counts": tokencount.op2_token_counts,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_language_id": langid.op5_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
