@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from packetlog.llm import langid, simhash, tokencount, toxicity
+from packetlog.llm import langid, sharding, simhash, tokencount, topk, toxicity
 
 QUERIES = {
+    "op1_top_k": topk.op1_top_k,
     "op2_token_counts": tokencount.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_language_id": langid.op5_language_id,
+    "op6_sharding": sharding.op6_sharding,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": topk.OP1_SQL,
+}
