@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetlog.llm import langid, linededup, sharding, simhash, tokencount, topk, toxicity
+from packetlog.llm import decontaminate, langid, linededup, sharding, simhash, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_sharding": sharding.op6_sharding,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": topk.OP1_SQL,
     "op7_line_dedup": linededup.OP7_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
 }
