@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from packetlog.llm import decontaminate, langid, linededup, sharding, simhash, tokencount, topk, toxicity
+from packetlog.llm import decontaminate, langid, linededup, sentencepiece_fst, sharding, simhash, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op2_token_counts": tokencount.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
     "op5_language_id": langid.op5_language_id,
     "op6_sharding": sharding.op6_sharding,
     "op7_line_dedup": linededup.op7_line_dedup,
