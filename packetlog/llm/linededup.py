@@ -138,7 +138,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, sets: DataFrame | Non
     seen = _bitmap(ends, _place("at"))
     lines = _lines(docs).select(F.struct(C.DOC_ID, KEY, NO).alias("at"), "line").where(_maybe(seen, _place("at")))
     # Equal documents give a position twice; its words are the same.
-    words = lines.select("at", _words(F.col("line")).alias("words")).dropDuplicates(["at"])
+    words = lines.dropDuplicates(["at"]).select("at", _words(F.col("line")).alias("words"))
     found = pairs.join(words.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(
         words.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))

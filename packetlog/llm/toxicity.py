@@ -167,9 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict | None:
 
     sums = (taught.select("text", F.col("label").cast("int").alias("label")).mapInArrow(contexts, "b int, context long, label int").distinct()
             .groupBy("b").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")))
-    rows = sums.toPandas()  # at most 3 * BUCKETS rows
+    rows = sums.select("b", F.col("t").cast("int").alias("t"), F.col("n").cast("int").alias("n")).toArrow()  # at most 3 * BUCKETS rows
     counts = np.zeros((3 * BUCKETS, 2), np.float32)
-    counts[rows["b"].to_numpy()] = rows[["t", "n"]].to_numpy()
+    for part in rows.to_batches():
+        counts[part.column(0).to_numpy()] = np.stack([part.column(1).to_numpy(), part.column(2).to_numpy()], axis=1)
+    del rows
     toxic, both = counts[:BUCKETS].sum(axis=0, dtype=np.float64).tolist()
     if not 0 < toxic < both:
         return None
