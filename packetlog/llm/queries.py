@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetlog.llm import decontaminate, langid, linededup, sentencepiece_fst, sharding, simhash, tokencount, topk, toxicity
+from packetlog.llm import decontaminate, langid, linededup, pii, sentencepiece_fst, sharding, simhash, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_pseudonyms": pii.op9_pseudonyms,
     "op10_simhash": simhash.op10_simhash,
 }
 
