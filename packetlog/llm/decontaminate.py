@@ -207,6 +207,8 @@ def _candidates(docs: DataFrame, items: DataFrame, functions: int) -> DataFrame:
 
         id_type = None
         held, size = [], 0
+        if not classes:
+            return  # no item has a shingle
         for batch in batches:
             id_type = batch.schema.field(0).type
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):

@@ -13,7 +13,8 @@ one passage.
 Scoring: Ruzzo and Tompa's linear scan finds every maximal scoring segment of a
 text. By Karlin and Altschul's extreme-value law, n words of clean text hold a
 segment of score S or more with an expected number E = K n exp(-lambda S);
-lambda solves sum(p exp(lambda s)) = 1 over clean words, K is the maximum
+lambda solves sum(p exp(lambda s)) = 1 over clean words (and one more with the
+highest score, so that it is finite), K is the maximum
 likelihood estimate from the best segments of the clean sample. A segment with
 E <= ``E_VALUE`` is a toxic passage. A text's evidence is the sum of -ln E over
 its passages, or of its best segment if it has none; the score is the logistic
@@ -197,7 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict | None:
 
     rows = taught.where("label = 0").mapInArrow(clean, "value double, n long, best double").groupBy("value", "best").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).toPandas()
     spread, texts = rows[rows["value"].notna()], rows[rows["value"].isna() & (rows["n"] > 0)]
-    value, share = spread["value"].to_numpy(), spread["n"].to_numpy() / max(1, spread["n"].sum())
+    # One more clean word with the highest score keeps lambda finite where clean
+    # texts hold no toxic word at all.
+    seen = counts[:BUCKETS][counts[:BUCKETS, 1] > 0].astype(np.float64)
+    q = (seen[:, 0] + PRIOR * model["share"]) / (seen[:, 1] + PRIOR)
+    top = (np.log(q / (1 - q)) - math.log(model["share"] / (1 - model["share"])) - DRIFT).max()
+    value, often = np.append(spread["value"].to_numpy(), top), np.append(spread["n"].to_numpy(), 1)
+    share = often / often.sum()
     if not (value > 0).any() or not len(texts):
         model |= {"rate": 1.0, "size": 1.0}
         return model
