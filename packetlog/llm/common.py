@@ -12,13 +12,13 @@ Conventions all operators keep:
 
 from __future__ import annotations
 
-import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlog.session import scratch_root
+from packetlog.session import delete_path, scratch_path, scratch_root
 
 DOC_ID, TEXT = "doc_id", "text"
 
@@ -49,12 +49,22 @@ def id_remainder(modulus: int, column: str = DOC_ID) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-@contextlib.contextmanager
-def broadcast(spark: SparkSession, value):
-    """A broadcast variable for values of a stated size bound."""
-    handle = spark.sparkContext.broadcast(value)
-    yield handle
+def stage(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table of several readers to the shared folder and read it back;
+    the folder goes to ``drop`` when nobody reads it any more."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
 
 
-def scratch_name(kind: str) -> str:
-    return f"{kind}-{uuid.uuid4().hex}"
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        delete_path(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over and cut: it does
+    so once their plans are garbage, which a long job may not collect in time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ is removed if an earlier line, in (doc_id, text hash, line number) order, has a
 Jaccard similarity of ``PERCENT`` per cent or more with it; whether that earlier
 line is removed itself plays no part. Everything runs as DataFrame functions.
 
-1. Words are counted over the whole corpus in 2^20 hash buckets. The class of a
+1. Words are counted over the whole corpus in 2^18 hash buckets. The class of a
    count (its binary logarithm) and the token's hash give one global order, rare
    tokens first; any fixed order keeps the join exact, rarity makes it small.
 2. Lines with equal token sets become one node at their first position, so hot
@@ -13,15 +13,21 @@ line is removed itself plays no part. Everything runs as DataFrame functions.
 3. Prefix filter: similar lines share a token among the first
    n - ceil(t n) + 1 of each, so nodes are joined on their prefix tokens only.
    The join condition holds the length filter, the positional filter (shared
-   tokens up to the match, plus what can follow it) and a bit filter (64-bit
-   parity of the token hashes: each token that two lines don't share changes at
-   most one bit), so a join emits hardly more than the true matches.
-4. Candidates are verified on the words themselves.
-5. A node with an earlier match loses all its lines, others all but the first.
+   tokens up to the match, plus what can follow it) and a bit filter (parity of
+   the token hashes in 107 bits: each token that two lines don't share changes at
+   most one), so a join emits hardly more than the true matches.
+4. A line needs only one earlier match to go. So a first round compares each node
+   just with the first and the last two before it that share one of its
+   ``LEADS`` rarest tokens; a node that finds a likely match there takes part in
+   the full join only as a partner of nodes that don't. Groups of m near copies
+   thus give about m pairs, not m^2. Nodes whose likely match fails the next step
+   are joined in full.
+5. Candidates are verified on the words themselves.
+6. A node with an earlier match loses all its lines, others all but the first.
    The removed line numbers are gathered per document and joined to it.
 
-Which lines or texts take part in 4 and 5 is first tested against a bitmap of a
-fixed 2^23 bits, so only those and a few more are shuffled.
+Which nodes, lines and texts take part in 4 to 6 is first tested against a bitmap
+of a fixed 2^23 bits, so only those and a few more are shuffled.
 
 Edge cases: null text stays null, and lines without words are always kept. Null
 ids come first in the order. Rows equal in id and text are one document: they
@@ -33,15 +39,19 @@ through whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetlog.llm import common as C
 
 PERCENT = 80
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 BITS = 1 << 23
 CHUNK = 1024
+PARITY = 43
+#: Rarest tokens of the first round, and the share of differing bits that makes a
+#: possible match a likely one.
+LEADS, LIKELY = 3, 0.7
 WORDS = r"\s+"
 #: Names of helper columns, unlikely to clash with a table's own.
 KEY, NO, GONE = "__text_key", "__line_no", "__gone"
@@ -77,88 +87,177 @@ def _words(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text key, line number and line of every line of every text."""
     rows = docs.select(C.DOC_ID, C.text_hash().alias(KEY), F.split(F.col(C.TEXT).cast("string"), "\n").alias("lines"))
-    return rows.select(C.DOC_ID, KEY, F.posexplode("lines").alias(NO, "line"))
+    return rows.select(C.DOC_ID, KEY, F.posexplode_outer("lines").alias(NO, "line"))
 
 
 def _classes(docs: DataFrame) -> Column:
-    """Class of each bucket's word count: a scalar subquery of 2^20 small numbers."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(C.TEXT).cast("string")), WORDS)).alias("w"))
+    """Class of each bucket's word count: a scalar subquery of 2^18 small numbers."""
+    words = docs.select(F.explode_outer(F.split(F.lower(F.col(C.TEXT).cast("string")), WORDS)).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("i")).agg(F.count(F.lit(1)).alias("n"))
     return _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).scalar()
 
 
-def _sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """Lines with words, as sorted token keys (class, 56 bits of hash) and the
-    128-bit digest (d1, d2) of the set."""
+def _sets(docs: DataFrame, percent: int) -> DataFrame:
+    """Each line with words: its place ``at``, the 128-bit digest (d1, d2) of its
+    token set, the set's size ``n``, ``parity`` and ``more`` bits, and ``prefix``
+    (32-bit hashes of the first tokens, rare ones first)."""
+    classes = _classes(docs)
+
     def key(h: Column) -> Column:
         return F.shiftleft(F.get(F.col("classes"), F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    rows = _lines(docs).select(C.DOC_ID, KEY, NO, hashes.alias("h")).where(F.size("h") > 0)
-    rows = rows.withColumn("classes", classes).select(C.DOC_ID, KEY, NO, F.sort_array(F.transform("h", key)).alias("keys"))
-    return rows.select(C.DOC_ID, KEY, NO, "keys", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"))
-
-
-def _nodes(sets: DataFrame, percent: int) -> DataFrame:
-    """One row per distinct set: first position, number of lines, size, parity
-    bits and prefix (first tokens in rarity order)."""
     n = F.size("keys")
-    prefix = n - F.ceil(n * percent / 100).cast("int") + 1
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    facts = F.struct(n.alias("n"), parity.alias("parity"), F.slice("keys", 1, prefix).alias("prefix"))
-    return (sets.select("d1", "d2", F.struct(C.DOC_ID, KEY, NO).alias("at"), facts.alias("facts"))
-            .groupBy("d1", "d2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.any_value("facts").alias("facts"))
-            .select("d1", "d2", "at", "lines", "facts.*"))
-
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of first positions (``a`` before ``b``) that pass all filters."""
-    rows = nodes.where("n > 3").select("at", "n", "parity", F.posexplode("prefix").alias("i", "token"))
-    a, b = rows.alias("a"), rows.alias("b")
-    both = F.col("a.n") + F.col("b.n")
+    def parity(first: int, bits: int) -> Column:
+        """Bits first to first + bits - 1 of the parity: those that an odd number
+        of tokens fall on. Each token falls on one of the PARITY + 64."""
+        def flip(s: Column, k: Column) -> Column:
+            bit = (F.pmod(k, F.lit(PARITY + 64)) - first).cast("int")
+            return F.when(bit.between(0, bits - 1), s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))).otherwise(s)
+
+        return F.aggregate("keys", F.lit(0).cast("long"), flip)
+
+    hashes = F.transform(F.split(F.lower(F.col("line")), WORDS), lambda w: F.xxhash64(w))
+    known = F.array_distinct(F.filter(hashes, lambda h: h != F.xxhash64(F.lit(""))))
+    rows = _lines(docs).where(F.col("line").rlike(r"\S")).select(C.DOC_ID, KEY, NO, known.alias("h")).withColumn("classes", classes)
+    rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), F.sort_array(F.transform("h", key)).alias("keys"))
+    prefix = F.transform(F.slice("keys", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    return rows.select("at", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), n.alias("n"),
+                       parity(0, PARITY).alias("parity"), parity(PARITY, 64).alias("more"), prefix.alias("prefix"))
+
+
+def _nodes(sets: DataFrame) -> DataFrame:
+    """One row per distinct set, numbered by ``node``: its first place and the
+    number of its lines besides the columns of ``_sets``."""
+    facts = F.struct("n", "parity", "more", "prefix").alias("facts")
+    rows = sets.select("d1", "d2", "at", facts).groupBy("d1", "d2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.any_value("facts").alias("facts"))
+    return rows.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "at", "lines", "facts.*")
+
+
+def _packed(free: Column) -> Column:
+    """parity, n and token number (both up to 1023: more is 1023) and ``free``
+    in one long."""
+    small = lambda x: F.least(x, F.lit(1023)).cast("long")
+    return F.shiftleft("parity", 21).bitwiseOR(F.shiftleft(small(F.col("n")), 11)).bitwiseOR(F.shiftleft(small(F.col("i")), 1)).bitwiseOR(free.cast("long"))
+
+
+def _rows(nodes: DataFrame, free: Column, first: int | None = None, *more: str) -> DataFrame:
+    """(token, node, pack, more) for the prefix tokens of nodes that can have a
+    match other than an equal set."""
+    prefix = F.col("prefix") if first is None else F.slice("prefix", 1, first)
+    rows = nodes.where("n > 3").select("node", "n", "parity", "more", F.posexplode(prefix).alias("i", "token"), *more)
+    return rows.select("token", "node", _packed(free).alias("pack"), "more", *more)
+
+
+def _similar(a: str, b: str, percent: int, share: float = 1.0) -> Column:
+    """Length, positional and bit filter on the columns ``pack`` and ``more`` of
+    two rows (name prefixes ``a`` and ``b``). A smaller share of the bits that may
+    differ makes a likely match of a possible one."""
+    more = F.bit_count(F.col(a + "more").bitwiseXOR(F.col(b + "more")))
+    a, b = a + "pack", b + "pack"
+    n, i = [], []
+    for p in (a, b):
+        n.append(F.shiftright(p, 11).bitwiseAND(F.lit(1023)))
+        i.append(F.shiftright(p, 1).bitwiseAND(F.lit(1023)))
+    both = n[0] + n[1]
     overlap = F.ceil(both * percent / (100 + percent))
-    cond = ((F.col("a.token") == F.col("b.token")) & (F.col("a.at") < F.col("b.at"))
-            & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
-            & (F.least("a.i", "b.i") + 1 + F.least(F.col("a.n") - F.col("a.i") - 1, F.col("b.n") - F.col("b.i") - 1) >= overlap)
-            & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= both - 2 * overlap))
-    return a.join(b, cond).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
-
-
-def _place(at: str) -> Column:
-    return F.xxhash64(f"{at}.{C.DOC_ID}", f"{at}.{KEY}", f"{at}.{NO}")
-
-
-def similar_lines(docs: DataFrame, percent: int = PERCENT, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, matches): the distinct token sets with their first positions, and
-    verified pairs of positions ``a`` before ``b`` with their ``jaccard``."""
-    sets = _sets(docs, _classes(docs)) if sets is None else sets
-    nodes = C.cut(_nodes(sets, percent).select("d1", "d2", "at", "lines", "n", "parity", "prefix"))
-    pairs = C.cut(_candidates(nodes, percent))
-    ends = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at")))
-    seen = _bitmap(ends, _place("at"))
-    lines = _lines(docs).select(F.struct(C.DOC_ID, KEY, NO).alias("at"), "line").where(_maybe(seen, _place("at")))
-    # Equal documents give a position twice; its words are the same.
-    words = lines.dropDuplicates(["at"]).select("at", _words(F.col("line")).alias("words"))
-    found = pairs.join(words.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(
-        words.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b")
+    length = F.least(*n) * 100 >= F.greatest(*n) * percent
+    position = F.least(*i) + 1 + F.least(n[0] - i[0] - 1, n[1] - i[1] - 1) >= overlap
+    differ = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 21)) + more
+    bits = differ <= (both - 2 * overlap) * F.lit(share)
+    if share < 1:
+        return length & position & bits
+    large = F.greatest(*n) >= 1023  # not known exactly: no filter
+    return large | (length & position & bits)
+
+
+def _leads(nodes: DataFrame, percent: int) -> DataFrame:
+    """Likely matches (x, y) of the first round."""
+    rows = _rows(nodes, F.lit(0), LEADS, "doc")
+    order = Window.partitionBy("token").orderBy("doc", "node")
+    near = [("f", F.first), *((f"l{k}", lambda c, k=k: F.lag(c, k)) for k in (1, 2))]
+    rows = rows.select("node", "pack", "more", *[w(c).over(order).alias(f"{x}_{c}") for x, w in near for c in ("node", "pack", "more")])
+    pairs = F.array(*[F.when((F.col(f"{x}_node") != F.col("node")) & _similar(f"{x}_", "", percent, LIKELY), F.col(f"{x}_node")) for x, _ in near])
+    pairs = rows.select(F.col("node").alias("y"), F.explode(F.array_distinct(F.array_compact(pairs))).alias("x"))
+    return pairs.distinct()
+
+
+def _placed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes in order of their places: (a, a_at, b, b_at), a first."""
+    ends = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
+    own = C.cut(nodes.where(_maybe(_bitmap(ends, F.xxhash64("node")), F.xxhash64("node"))).select("node", "at"))
+    both = pairs.join(own.select(F.col("node").alias("x"), F.col("at").alias("x_at")), "x").join(own.select(F.col("node").alias("y"), F.col("at").alias("y_at")), "y")
+    first = F.col("x_at") < F.col("y_at")
+    pick = lambda u, v, to: F.when(first, F.col(u)).otherwise(F.col(v)).alias(to)
+    return C.cut(both.select(pick("x", "y", "a"), pick("x_at", "y_at", "a_at"), pick("y", "x", "b"), pick("y_at", "x_at", "b_at")).distinct())
+
+
+def _flagged(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """``nodes`` with ``free``: 0 for those in ``marked`` (column ``node``)."""
+    maybe = _maybe(_bitmap(marked, F.xxhash64("node")), F.xxhash64("node"))
+    flag = marked.select("node").distinct().withColumn("hit", F.lit(1))
+    some = nodes.where(maybe).join(flag, "node", "left").withColumn("free", F.when(F.col("hit").isNull(), 1).otherwise(0)).drop("hit")
+    return nodes.where(~maybe).withColumn("free", F.lit(1)).unionByName(some)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (as of ``_placed``) that are similar by their words, with ``jaccard``."""
+    place = F.xxhash64(f"at.{C.DOC_ID}", f"at.{KEY}", f"at.{NO}")
+    ends = pairs.select(F.col("a").alias("node"), F.col("a_at").alias("at")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b_at").alias("at"))).distinct()
+    lines = _lines(docs).select(F.struct(C.DOC_ID, KEY, NO).alias("at"), "line").where(_maybe(_bitmap(ends, place), place))
+    # Equal documents give a place twice; its words are the same.
+    texts = C.cut(lines.join(ends, lines["at"].eqNullSafe(ends["at"])).select(lines["at"], "node", "line").dropDuplicates(["at"]).select("node", "line"))
+    found = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+    found = found.select("a", "a_at", "b", "b_at", _words(F.col("la")).alias("wa"), _words(F.col("lb")).alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
-    found = found.select("a", "b", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
-    return nodes, C.cut(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")))
+    found = found.select("a", "a_at", "b", "b_at", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
+    return C.cut(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "a_at", "b", "b_at", (F.col("o") / F.col("u")).alias("jaccard")))
+
+
+def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Verified pairs of nodes: one or more earlier matches ``a`` (at place
+    ``a_at``) of every node ``b`` that has any, with their ``jaccard``."""
+    spark = docs.sparkSession
+    nodes = nodes.withColumn("doc", F.col(f"at.{C.DOC_ID}"))
+    leads = _placed(C.cut(_leads(nodes, percent)), nodes)
+    solved = leads.select(F.col("b").alias("node")).distinct()
+    C.release(spark)
+    rows = _rows(_flagged(nodes, solved), F.col("free"), None, "free").drop("free")
+    a, b = rows.alias("a"), rows.alias("b")
+    free = F.col("a.pack").bitwiseOR(F.col("b.pack")).bitwiseAND(F.lit(1)) == 1
+    full = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & free & _similar("a.", "b.", percent))
+    full = C.cut(full.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
+    C.release(spark)
+    full = _placed(full, nodes)
+    matches = _verified(docs, leads.unionByName(full).distinct(), percent)
+    C.release(spark)
+    # Nodes whose likely match was none, and that no other pair settled.
+    open_ = C.cut(solved.join(matches.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+    if not open_.isEmpty():
+        a, b = _rows(nodes.join(open_, "node"), F.lit(1)).alias("a"), _rows(nodes, F.lit(1)).alias("b")
+        rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _similar("a.", "b.", percent))
+        rest = _placed(C.cut(rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()), nodes)
+        matches = matches.unionByName(_verified(docs, rest, percent))
+    return matches
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, text key and the array of removed line numbers of each
     document that loses lines."""
-    sets = _sets(docs, _classes(docs))
-    nodes, matches = similar_lines(docs, percent, sets)
-    late = matches.select(F.col("b").alias("at")).distinct().withColumn("late", F.lit(True))
-    # A set whose first line has an earlier match loses all lines, else all but the first.
-    marked = nodes.select("d1", "d2", "at", "lines").join(late, "at", "left").where("late OR lines > 1")
-    marked = C.cut(marked.select("d1", "d2", F.when(F.col("late").isNull(), F.col("at")).alias("keep")))
-    seen = _bitmap(marked, F.col("d1"))
-    places = sets.select("d1", "d2", F.struct(C.DOC_ID, KEY, NO).alias("at")).where(_maybe(seen, F.col("d1")))
+    spark = docs.sparkSession
+    sets, sets_path = C.stage(_sets(docs, percent))
+    nodes, nodes_path = C.stage(_nodes(sets))
+    C.release(spark)
+    matches = similar_lines(docs, nodes, percent)
+    late = matches.select(F.col("b").alias("node")).distinct()
+    marked = _flagged(nodes, late).where("free = 0 OR lines > 1")
+    marked = C.cut(marked.select("d1", "d2", F.when(F.col("free") == 1, F.col("at")).alias("keep")))
+    places = sets.select("d1", "d2", "at").where(_maybe(_bitmap(marked, F.col("d1")), F.col("d1")))
     gone = places.join(marked, ["d1", "d2"]).where("keep IS NULL OR at <> keep").select("at.*")
-    return gone.groupBy(C.DOC_ID, KEY).agg(F.collect_set(NO).alias(GONE))
+    gone = C.cut(gone.groupBy(C.DOC_ID, KEY).agg(F.collect_set(NO).alias(GONE)))
+    C.drop(spark, sets_path, nodes_path)
+    C.release(spark)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -166,13 +265,20 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     columns ``__lines`` and ``__removed`` (numbers of lines)."""
     gone = removed_lines(docs, percent).select(F.col(C.DOC_ID).alias("__id"), F.col(KEY).alias("__key"), GONE)
     rows = docs.withColumn(KEY, C.text_hash())
+    changed = _maybe(_bitmap(gone, F.xxhash64("__id", "__key")), F.xxhash64(C.DOC_ID, KEY))
     same = F.col(C.DOC_ID).eqNullSafe(F.col("__id")) & (F.col(KEY) == F.col("__key"))
     lines = F.split(F.col(C.TEXT).cast("string"), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(GONE), i)), "\n")
-    rows = rows.join(gone, same, "left").withColumn("__lines", F.coalesce(F.size(lines), F.lit(0)))
-    rows = rows.withColumn("__removed", F.coalesce(F.array_size(GONE), F.lit(0)))
-    rows = rows.withColumn(C.TEXT, F.when(F.col(GONE).isNull(), F.col(C.TEXT).cast("string")).otherwise(kept))
-    return rows.select(*docs.columns, "__lines", "__removed")
+    number = F.coalesce(F.size(lines), F.lit(0)).alias("__lines")
+    text = F.col(C.TEXT).cast("string")
+
+    def out(part: DataFrame, new: Column, removed: Column) -> DataFrame:
+        columns = [new.alias(c) if c == C.TEXT else F.col(c) for c in docs.columns]
+        return part.select(*columns, number, removed.alias("__removed"))
+
+    # Texts that lose nothing stay where they are.
+    some = out(rows.where(changed).join(gone, same, "left"), F.when(F.col(GONE).isNull(), text).otherwise(kept), F.coalesce(F.array_size(GONE), F.lit(0)))
+    return out(rows.where(~changed), text, F.lit(0)).unionByName(some)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
