@@ -196,6 +196,55 @@ def _clear_then_import(spark, sf):
     return _id_summary(spark.read.parquet(path))
 
 
+def _catalog_cycle(spark, sf):
+    """Create, list, import, clear, import again and drop a catalog table: the
+    number of rows after each step."""
+    import uuid
+    from packetlog.plans import store
+    from packetlog.sources.fixtures import fixture_log_path
+    name, log = "packets_" + uuid.uuid4().hex, fixture_log_path(spark, sf)
+    store.create_table(spark, name, path=scratch_path(spark, "tables", name))
+    size = lambda: spark.table(name).count()
+    steps = [("created", size()), ("listed", store.list_tables(spark).where(F.col("name") == name).count())]
+    for step, run in (("imported", lambda: store.import_log(spark, log, name)), ("appended", lambda: store.import_log(spark, log, name)),
+                      ("cleared", lambda: store.clear_table(spark, name)), ("imported again", lambda: store.import_log(spark, log, name)),
+                      ("clear then import", lambda: store.import_log(spark, log, name, clear=True))):
+        run()
+        steps.append((step, size()))
+    store.drop_table(spark, name)
+    steps.append(("dropped", store.list_tables(spark).where(F.col("name") == name).count()))
+    return spark.createDataFrame(steps, "step string, n long")
+
+
+def _feed_text_full(spark, sf):
+    feed = FD.scan_feed(TD.fixture_logs(spark, sf), no_lo=True, no_accept=True)
+    return RT.feed_lines(feed).select("line_no", "packet_no", "line")
+
+
+def _host_lookup(spark, sf):
+    logs = TD.fixture_logs(spark, sf)
+    found = H.lookup_hosts(TD.fixture_hosts(spark, sf), logs.select("id", "src_ip"), "src_ip", now=FIXTURE_NOW)
+    return found.select("id", long_to_ip("src_ip").alias("src_ip"), "host")
+
+
+def _host_dump_text(spark, sf):
+    return H.host_dump_text(TD.fixture_hosts(spark, sf))
+
+
+def _host_cache_clear(spark, sf):
+    """Rows of the stored host table after a write, a second one and a clear."""
+    import uuid
+    from packetlog.plans import store
+    root, cache = scratch_path(spark, "hosts", uuid.uuid4().hex), TD.fixture_hosts(spark, sf)
+    steps = [("empty", store.read_host_table(spark, root).count())]
+    for step, run in (("written", lambda: store.write_host_table(spark, root, cache)),
+                      ("pruned", lambda: store.write_host_table(spark, root, H.prune_hosts(store.read_host_table(spark, root), 100, now=FIXTURE_NOW))),
+                      ("cleared", lambda: store.clear_host_table(spark, root))):
+        run()
+        steps.append((step, store.read_host_table(spark, root).count()))
+    return spark.createDataFrame(steps, "step string, n long")
+
+
 def _follow_feed(spark, sf):
     from packetlog.sources.fixtures import fixture_log_path
     query, sink = follow(spark, fixture_log_path(spark, sf), from_start=True, available_now=True)
@@ -230,6 +279,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "import_append_twice": _import_append_twice,
         "clear_then_import": _clear_then_import,
         "follow_feed": _follow_feed,
+        "catalog_cycle": _catalog_cycle,
+        "feed_text_full": _feed_text_full,
+        "host_lookup": _host_lookup,
+        "host_dump_text": _host_dump_text,
+        "host_cache_clear": _host_cache_clear,
     }
     for name in R.REPORT_ORDER:
         q[name] = _report(name)
@@ -248,6 +302,7 @@ def _dotted(x: str) -> str:
             f"CAST({x} & 255 AS VARCHAR) END")
 
 
+# Fixed value: the MAC field of the rendered lines.
 _MAC = "02:00:bc:7e:5d:a0:00:13:5f:21:29:40:08:00"
 
 # Expected packet table, straight from events (no text involved). Every event
@@ -384,6 +439,11 @@ _FEED_SQL = "SELECT " + _FEED_COLS.format(src=_dotted("src_ip"), dst=_dotted("ds
 _ID_SUMMARY = ("SELECT action, CAST(count(*) * {k} AS BIGINT) AS count, min(id) AS min_id, "
                "max(id) + {shift} AS max_id, CAST(count(*) * {k} AS BIGINT) AS distinct_ids FROM packets GROUP BY action")
 
+# The feed's printed header (a blank line, then two lines).
+_FEED_TOP = ("chr(10) || 'Count    IF       Source                          Port Destination                     Port Proto      Action    ' || chr(10) || "
+             "'-------- -------- ------------------------------ ----- ------------------------------ ----- ---------- ----------' || chr(10)")
+
+# The printed row formats.
 _REPORT_FMT = {
     "denied_sources": ("'%6d %-25s %5d %-25s %5d %-6s %-10s'", ["count", "src_ip", "src_prt", "dst_ip", "dst_prt", "proto", "action"]),
     "icmp_traffic": ("'%6d %-25s %-25s %-10s'", ["count", "src_ip", "dst_ip", "action"]),
@@ -444,4 +504,18 @@ def _more_oracles() -> dict[str, str]:
         "import_append_twice": _with(_ID_SUMMARY.format(k=2, shift=n_packets)),
         "clear_then_import": _with(_ID_SUMMARY.format(k=1, shift=0)),
         "follow_feed": _with(_FEED_SQL),
+        "catalog_cycle": _with("SELECT s.step, CAST(CASE WHEN s.k < 0 THEN -s.k - 1 ELSE s.k * " + n_packets + " END AS BIGINT) AS n "
+                               "FROM (VALUES ('created', 0), ('listed', -2), ('imported', 1), ('appended', 2), ('cleared', 0), "
+                               "('imported again', 1), ('clear then import', 1), ('dropped', 0)) s(step, k)"),
+        "feed_text_full": _with(
+            "SELECT line_no, packet_no, CASE WHEN (line_no - 1) % 20 = 0 THEN " + _FEED_TOP + " || line ELSE line END AS line FROM ("
+            "SELECT CAST(row_number() OVER (ORDER BY packet_no) AS BIGINT) AS line_no, packet_no, printf('%8d %-8s %-30s %5d %-30s %5d %-10s %-10s', "
+            "packet_no, iface, src_ip, src_prt, dst_ip, dst_prt, proto, action) AS line FROM ("
+            + _FEED_SQL + " WHERE if_in <> 'lo' AND if_out <> 'lo' AND action <> 'ACCEPT') f) g"),
+        "host_lookup": _hosts_with("SELECT p.id, " + _dotted("p.src_ip") + " AS src_ip, f.host FROM packets p LEFT JOIN fresh f ON f.ip = p.src_ip"),
+        "host_dump_text": (f"WITH h AS ({_HOSTS_SQL}) SELECT {_dotted('ip')} AS ip, printf('%20s    %-50s', {_dotted('ip')}, host) AS line "
+                           f"FROM h WHERE host <> {_dotted('ip')}"),
+        "host_cache_clear": (f"WITH h AS ({_HOSTS_SQL}) SELECT s.step, CAST(CASE s.step WHEN 'written' THEN (SELECT count(*) FROM h) "
+                             "WHEN 'pruned' THEN (SELECT count(*) FROM h WHERE coalesce(ttl >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 100 HOUR, true)) "
+                             "ELSE 0 END AS BIGINT) AS n FROM (VALUES ('empty'), ('written'), ('pruned'), ('cleared')) s(step)"),
     }

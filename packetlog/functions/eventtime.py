@@ -39,16 +39,25 @@ def syslog_event_time(line, year) -> Column:
     return F.when((month > 0) & well_formed, ts)
 
 
-def year_before(event_time, reference) -> Column:
-    """December-to-January wrap: an event time later than ``reference`` (e.g.
-    the file's modification time) belongs to the previous year."""
-    t = _c(event_time)
-    return F.when(t > _c(reference), F.try_add(t, F.make_ym_interval(F.lit(-1), F.lit(0)))).otherwise(t)
+def event_time_before(line, reference, tolerance_hours: int = 24) -> Column:
+    """Event time of a line without a year, next to ``reference`` (the file's
+    modification time on the log host's clock): the reference's year, or the
+    year before if that would be later than the reference by more than the
+    tolerance (clocks and zones differ) or no date at all (29 February)."""
+    r = _c(reference)
+    latest = r + F.make_dt_interval(F.lit(0), F.lit(int(tolerance_hours)))
+    same, before = syslog_event_time(line, F.year(r)), syslog_event_time(line, F.year(r) - 1)
+    return F.when(same <= latest, same).otherwise(before)
+
+
+def utc_now() -> _dt.datetime:
+    """The present in UTC, without a zone: the clock of stored ``ttl`` values."""
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
 def hours_before(now, hours: int) -> Column:
     """``now - hours`` as a timestamp column; ``now`` is a datetime or column."""
-    base = ntz_literal(now if now is not None else _dt.datetime.now())
+    base = ntz_literal(now if now is not None else utc_now())
     return base - F.make_dt_interval(F.lit(0), F.lit(int(hours)))
 
 
@@ -64,9 +73,11 @@ def survives_prune(ttl, now, hours: int) -> Column:
 
 
 def ntz_literal(value) -> Column:
-    """A TIMESTAMP_NTZ literal that does not depend on any time zone."""
+    """A TIMESTAMP_NTZ literal; a datetime with a zone is converted to UTC."""
     if isinstance(value, Column):
         return value
     if isinstance(value, str):
         return F.lit(value).cast("timestamp_ntz")
+    if value.tzinfo is not None:
+        value = value.astimezone(_dt.timezone.utc)
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

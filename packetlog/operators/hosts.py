@@ -9,18 +9,19 @@ size-checked broadcast or a skew-safe shuffle for whole feeds.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.eventtime import is_fresh, ntz_literal, survives_prune
+from ..functions.eventtime import is_fresh, ntz_literal, survives_prune, utc_now
 from ..functions.fields import trim_host
 from ..functions.ipaddr import long_to_ip
 
 READ_MAX_AGE_HOURS = 300    # age accepted when reading a cached name
 PRUNE_MAX_AGE_HOURS = 336   # default age limit of a prune
+# Fixed value: row format of the printed dump.
+HOST_DUMP_FORMAT = "%20s    %-50s"
 REPORT_HOST_WIDTH = 25
 FEED_HOST_WIDTH = 30
 
@@ -37,17 +38,20 @@ HOT_SPREAD = 4096
 
 def fresh_hosts(cache: DataFrame, now=None, max_age_hours: int = READ_MAX_AGE_HOURS) -> DataFrame:
     """``ip, host`` of entries written less than ``max_age_hours`` before ``now``."""
-    now = now if now is not None else _dt.datetime.now()
+    now = now if now is not None else utc_now()
     return cache.where(is_fresh("ttl", now, max_age_hours)).select("ip", "host")
 
 
 def lookup_hosts(cache: DataFrame, addresses: DataFrame, ip_col: str = "ip", now=None,
                  max_age_hours: int = READ_MAX_AGE_HOURS) -> DataFrame:
     """Cache get for many addresses at once: every row of ``addresses`` with
-    ``host`` = the fresh cached name or NULL (not cached, or too old).
-    An equi-join; Spark picks broadcast or shuffle from the sizes."""
+    ``host`` = the fresh cached name or NULL (not cached, or too old). The host
+    table is first reduced to the distinct addresses that occur, so a broadcast
+    or a skew-split join back suffices for hot addresses."""
     fresh = fresh_hosts(cache, now, max_age_hours).withColumnRenamed("ip", "_ip")
-    return (addresses.join(fresh, addresses[ip_col] == fresh["_ip"], "left").drop("_ip"))
+    wanted = addresses.select(F.col(ip_col).alias("_ip")).where("_ip IS NOT NULL").distinct()
+    named = fresh.join(wanted, "_ip", "left_semi")
+    return addresses.join(named, addresses[ip_col] == named["_ip"], "left").drop("_ip")
 
 
 def display_name(host: Column, ip: Column, width: int) -> Column:
@@ -154,14 +158,16 @@ def hosts_to_resolve(logs: DataFrame, cache: DataFrame, now=None,
     return ips.join(fresh_hosts(cache, now, max_age_hours).select("ip"), "ip", "left_anti")
 
 
-def resolve_hosts(missing: DataFrame, resolver: Callable[[list[str]], list[str | None]], now=None) -> DataFrame:
+def resolve_hosts(missing: DataFrame, resolver: Callable[[list[str]], list[str | None]], now=None,
+                  parallel: int = 64) -> DataFrame:
     """Name addresses with a caller-supplied resolver, in Arrow batches on the
     executors. ``resolver`` maps a list of dotted addresses to host names
-    (None = failed). A failed lookup becomes a negative entry: host = the
+    (None = failed). Lookups wait on the network, so they run in ``parallel``
+    tasks whatever the few bytes they hold. A failed lookup becomes a negative entry: host = the
     dotted address, as the original stored it. Result: ``ip, host, ttl``."""
     import pandas as pd
 
-    now = now if now is not None else _dt.datetime.now()
+    now = now if now is not None else utc_now()
 
     def run(batches):
         for pdf in batches:
@@ -169,7 +175,7 @@ def resolve_hosts(missing: DataFrame, resolver: Callable[[list[str]], list[str |
             host = pd.Series(names, index=pdf.index, dtype=object)
             yield pd.DataFrame({"ip": pdf["ip"], "host": host.where(host.notna(), pdf["ip_text"])})
 
-    texts = missing.select("ip", long_to_ip("ip").alias("ip_text"))
+    texts = missing.repartition(parallel).select("ip", long_to_ip("ip").alias("ip_text"))
     named = texts.mapInPandas(run, "ip long, host string").withColumn("ttl", ntz_literal(now))
     # Written once: every address is looked up exactly once even though the
     # upsert reads the result twice (and a retried task would repeat lookups).
@@ -187,9 +193,9 @@ def upsert_hosts(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 def prune_hosts(cache: DataFrame, hours: int = PRUNE_MAX_AGE_HOURS, now=None) -> DataFrame:
     """Drop entries written strictly before ``now - hours``; NULL times stay."""
-    if not isinstance(hours, int) or hours <= 0:
-        raise ValueError("prune age must be a positive number of hours")
-    now = now if now is not None else _dt.datetime.now()
+    if not isinstance(hours, int) or hours < 0:
+        raise ValueError("prune age must be a number of hours, 0 or more")
+    now = now if now is not None else utc_now()
     return cache.where(survives_prune("ttl", now, hours))
 
 
@@ -197,3 +203,8 @@ def dump_hosts(cache: DataFrame) -> DataFrame:
     """Dotted address and host ordered by address; failed lookups hidden."""
     return (cache.where(F.col("host") != long_to_ip("ip")).orderBy("ip")
                  .select(long_to_ip("ip").alias("ip"), "host"))
+
+
+def host_dump_text(cache: DataFrame) -> DataFrame:
+    """The dump as printed: address right-aligned to 20, host left-aligned to 50."""
+    return dump_hosts(cache).select("ip", F.format_string(HOST_DUMP_FORMAT, "ip", "host").alias("line"))

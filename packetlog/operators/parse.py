@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ipaddr import ip_to_long
 from ..functions.fields import port_number
-from ..functions.eventtime import syslog_event_time, year_before
+from ..functions.eventtime import syslog_event_time, event_time_before
 from ..schema import LOGS_COLUMNS
 
 MARKER_TOKEN = "IPT:"
@@ -57,9 +57,9 @@ def _marker_split(value: Column) -> tuple[Column, Column]:
     the first token and has something after it; both are '' without one."""
     line = F.ltrim(value)
     pos = F.locate(" " + MARKER_TOKEN + " ", line)
-    tail = F.ltrim(F.substring(line, pos + len(MARKER_TOKEN) + 2, 1 << 30))
+    tail = F.ltrim(F.substr(line, pos + F.lit(len(MARKER_TOKEN) + 2)))
     action = F.substring_index(tail, " ", 1)
-    rest = F.substring(tail, F.length(action) + 1, 1 << 30)
+    rest = F.substr(tail, F.length(action) + 1)
     return F.when(pos > 0, action).otherwise(F.lit("")), F.when(pos > 0, rest).otherwise(F.lit(""))
 
 
@@ -75,12 +75,13 @@ def parse_columns(value: Column) -> dict[str, Column]:
     return out
 
 
-def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> DataFrame:
+def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=(), zone: str | None = None) -> DataFrame:
     """Parse marker lines; returns packet-table columns plus ``ok`` (False for
     rejects) and the columns named in ``keep``. ``id`` is kept when present.
     ``year`` fills ``timestamp`` from the syslog header: an int or column, or
     ``"auto"`` (from the file's modification time, needs the
     ``file_modification_time`` column of ``read_syslog``); NULL when None.
+    ``zone`` is the log host's time zone for ``"auto"`` (default: the session's).
 
     Four projections: marker split, the key/value arrays (two regular
     expression passes over the tail of the line), raw strings, typed values. Catalyst keeps
@@ -91,10 +92,10 @@ def parse_lines(lines: DataFrame, value: str = "value", year=None, keep=()) -> D
     carry = (["id"] if "id" in lines.columns else []) + [k for k in keep if k != value]
     action_token, rest = _marker_split(v)
     if isinstance(year, str) and year == "auto":
-        # Year of the file's modification time (wall clock of the session time
-        # zone); an event later than that time belongs to the year before.
         mtime = F.col("file_modification_time").cast("timestamp_ntz")
-        ts = year_before(syslog_event_time(v, F.year(mtime)), mtime)
+        if zone:
+            mtime = F.convert_timezone(None, F.lit(zone), mtime)
+        ts = event_time_before(v, mtime)
     elif year is not None:
         ts = syslog_event_time(v, year)
     else:

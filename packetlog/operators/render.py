@@ -6,7 +6,7 @@ bounded page (``print_*``) touches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reports import REPORTS
@@ -122,16 +122,46 @@ def print_report(report: DataFrame, name: str, names: dict[str, str] | None = No
     return out
 
 
-def print_feed(feed: DataFrame, max_lines: int = 1000, counter: bool = True, header: bool = True,
-               clock: str | None = None, names: dict[str, str] | None = None) -> list[str]:
-    """Print the first ``max_lines`` feed lines (a bounded page) with the
-    repeating header."""
-    text = feed_text(feed, counter, clock, names).orderBy("packet_no").limit(max_lines)
-    rows = [r["line"] for r in text.collect()]
+def feed_lines(feed: DataFrame, counter: bool = True, header: bool = True, clock: str | None = None,
+               names: dict[str, str] | None = None) -> DataFrame:
+    """The whole printed feed as rows: ``line_no`` (position among the printed
+    packets, from 1), ``packet_no`` and ``line``; every ``HEADER_EVERY``-th line
+    carries the header in front of it. A distributed numbering: packets are
+    ranged by number, a small table of range sizes gives each range its start."""
+    text = feed_text(feed, counter, clock, names)
+    ranged = text.repartitionByRange("packet_no").withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("packet_no"))
+    out = ranged.withColumn("_place", place).join(starts, "_part").select((F.col("_start") + F.col("_place")).alias("line_no"), "packet_no", "line")
     if header:
-        hdr = FEED_HEADER if counter else FEED_HEADER_NO_COUNT
-        if clock is None:
-            hdr = [h[9:] for h in hdr]
-        rows = with_headers(rows, hdr)
-    print("\n".join(rows))
-    return rows
+        top = "\n".join(["", *feed_header(counter, clock), ""])
+        out = out.withColumn("line", F.when((F.col("line_no") - 1) % HEADER_EVERY == 0, F.concat(F.lit(top), F.col("line"))).otherwise(F.col("line")))
+    return out
+
+
+def write_feed(feed: DataFrame, path: str, **options) -> None:
+    """Write the whole printed feed as text files in feed order."""
+    feed_lines(feed, **options).sort("line_no").select("line").write.text(path)
+
+
+def feed_header(counter: bool = True, clock: str | None = None) -> list[str]:
+    rows = FEED_HEADER if counter else FEED_HEADER_NO_COUNT
+    return rows if clock else [h[9:] for h in rows]
+
+
+def print_feed(feed: DataFrame, max_lines: int | None = None, counter: bool = True, header: bool = True,
+               clock: str | None = None, names: dict[str, str] | None = None) -> list[str]:
+    """Print the feed with the repeating header: all of it, partition by
+    partition, or its first ``max_lines`` packets. Returns the printed lines of
+    a bounded page, and nothing for a whole feed."""
+    text = feed_text(feed, counter, clock, names).orderBy("packet_no")
+    rows = text.toLocalIterator() if max_lines is None else text.limit(max_lines).collect()
+    top, out = feed_header(counter, clock) if header else [], []
+    for i, row in enumerate(rows):
+        lines = [*(["", *top] if header and i % HEADER_EVERY == 0 else []), row["line"]]
+        print("\n".join(lines))
+        if max_lines is not None:
+            out += lines
+    return out

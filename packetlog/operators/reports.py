@@ -34,7 +34,7 @@ def _not_lo(*cols: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c) != "lo" for c in cols])
 
 
-# Report definitions: filter, group keys, representative columns, output order.
+# The titles as printed. Report definitions: filter, group keys, representative columns, output order.
 def _denied() -> Column:
     return (F.col("action") != "ACCEPT") & _not_lo("if_in", "if_out")
 
@@ -163,7 +163,9 @@ def analysis(logs: DataFrame, limit: int = DEFAULT_LIMIT, use_rollup: bool = Tru
     Catalyst would push each report's filter below the roll-up and plan six
     different scans.)"""
     if use_rollup:
-        rollup = packet_rollup(logs).checkpoint(eager=True)
+        # Accepted packets other than ICMP are in no report: they are dropped
+        # before the shuffle.
+        rollup = packet_rollup(logs.where((F.col("action") != "ACCEPT") | (F.col("proto") == "ICMP"))).checkpoint(eager=True)
         return {n: report_from_rollup(rollup, n, limit, numeric_ips, with_rank) for n in REPORT_ORDER}
     return {n: report(logs, n, limit, numeric_ips=numeric_ips, with_rank=with_rank) for n in REPORT_ORDER}
 

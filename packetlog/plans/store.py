@@ -1,7 +1,7 @@
 """Packet and host tables: create, list, drop, clear, import (append or
 clear-then-import), all through the catalog or plain Parquet paths.
 
-An import is one job commit (all or nothing) instead of the original's
+An append is one job commit (all or nothing) instead of the original's
 100-row INSERT batches; ids continue after the table's current maximum.
 """
 
@@ -50,8 +50,9 @@ def drop_table(spark: SparkSession, name: str = DEFAULT_LOGS_TABLE) -> None:
 
 
 def clear_table(spark: SparkSession, name: str = DEFAULT_LOGS_TABLE) -> None:
-    """Remove every row, keep the table."""
-    spark.sql(f"TRUNCATE TABLE {_quote(name)}")
+    """Remove every row, keep the table (also one made with a path)."""
+    spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
+    spark.catalog.refreshTable(name)
 
 
 def _next_base(existing: DataFrame | None) -> int:
@@ -65,14 +66,19 @@ def import_log(spark: SparkSession, paths, name: str = DEFAULT_LOGS_TABLE, clear
                year=None, rejects_path: str | None = None) -> DataFrame:
     """Import log files into the catalog table ``name``.
 
-    ``clear`` empties the table first (the clear always happens before the
-    import, as in the original, and the swap is atomic). Returns the one-row
-    import summary.
+    ``clear`` replaces the table's rows: the new files are committed first and
+    the old ones deleted after that, so a write that fails leaves the old rows.
+    (A driver lost between the two steps leaves both; importing again mends
+    it.) Returns the one-row import summary.
     """
     lines = read_syslog(spark, paths)
     base = 0 if clear else _next_base(spark.table(name))
     with _staged(spark, lines, year, base) as staged:
-        staged.rows.write.mode("overwrite" if clear else "append").insertInto(name, overwrite=clear)
+        old = spark.table(name).inputFiles() if clear else []
+        staged.rows.write.insertInto(name)
+        for path in old:
+            delete_path(spark, path)
+        spark.catalog.refreshTable(name)
         if rejects_path:
             staged.write_rejects(rejects_path)
         return staged.summary()
@@ -121,8 +127,12 @@ def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear:
     if not clear and path_exists(spark, path):
         existing = spark.read.parquet(path)
     base = _next_base(existing)
+    # As in import_log: commit the new files, then delete the old ones.
+    old = spark.read.schema(LOGS_SCHEMA).parquet(path).inputFiles() if clear and path_exists(spark, path) else []
     with _staged(spark, lines, year, base) as staged:
-        staged.rows.write.mode("overwrite" if clear else "append").parquet(path)
+        staged.rows.write.mode("append").parquet(path)
+        for file in old:
+            delete_path(spark, file)
         if rejects_path:
             staged.write_rejects(rejects_path)
         return staged.summary()
@@ -137,33 +147,43 @@ def empty_table_at(spark: SparkSession, path: str, schema=LOGS_SCHEMA) -> None:
 # prune, clear) is written as the next snapshot and readers take the newest
 # committed one, so nothing is ever overwritten while it is being read.
 
-def _snapshots(spark: SparkSession, root: str) -> list[int]:
+KEPT_SNAPSHOTS = 2
+
+
+def _snapshots(spark: SparkSession, root: str) -> dict[int, bool]:
+    """Snapshot numbers in order, and whether each is committed."""
     jvm = spark.sparkContext._jvm
     hroot = jvm.org.apache.hadoop.fs.Path(root)
     fs = hroot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hroot):
-        return []
-    out = []
+        return {}
+    out = {}
     for st in fs.listStatus(hroot):
         name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+        if name.startswith("v=") and name[2:].isdigit():
+            out[int(name[2:])] = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+    return dict(sorted(out.items()))
 
 
 def read_host_table(spark: SparkSession, root: str) -> DataFrame:
     """The newest committed snapshot (an empty table when there is none)."""
-    versions = _snapshots(spark, root)
+    versions = [v for v, done in _snapshots(spark, root).items() if done]
     if not versions:
         return spark.createDataFrame([], DNS_SCHEMA)
     return spark.read.schema(DNS_SCHEMA).parquet(f"{root}/v={versions[-1]:08d}")
 
 
 def write_host_table(spark: SparkSession, root: str, table: DataFrame) -> str:
-    """Write ``table`` as the next snapshot and return its path."""
+    """Write ``table`` as the next snapshot and return its path. A failed write
+    leaves an uncommitted folder that readers ignore and later writes number
+    past; older snapshots than the newest two are removed after the commit."""
     versions = _snapshots(spark, root)
-    path = f"{root}/v={(versions[-1] + 1 if versions else 1):08d}"
+    path = f"{root}/v={max(versions, default=0) + 1:08d}"
     table.select("ip", "host", "ttl").write.mode("errorifexists").parquet(path)
+    kept = [v for v, done in versions.items() if done][1 - KEPT_SNAPSHOTS:]
+    for old in versions:
+        if old not in kept:
+            delete_path(spark, f"{root}/v={old:08d}")
     return path
 
 

@@ -2,7 +2,7 @@
 
 Library code never assumes a particular session configuration; it only reads
 ``spark.checkpoint.dir`` (the shared folder a cluster names for lineage cuts and
-derived tables) and falls back to a private local folder when it is unset.
+derived tables); a local session without one gets a private folder.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -72,8 +72,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
     Order: the context's checkpoint folder, then ``spark.checkpoint.dir`` from
-    the configuration; only when both are unset (local tests) a private folder
-    is created and registered as the checkpoint folder.
+    the configuration; only when both are unset and the master is local (tests)
+    a private folder is created and registered as the checkpoint folder. On a
+    cluster an unset folder is an error: executors share no local disk.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -84,9 +85,10 @@ def scratch_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="packetlog-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="packetlog-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:

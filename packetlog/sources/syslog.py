@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the marker every packet-log line carries.
@@ -24,9 +24,10 @@ def read_syslog(spark: SparkSession, paths, modified_after=None) -> DataFrame:
     """
     if isinstance(paths, str):
         paths = [paths]
-    df = spark.read.text(list(paths))
+    # A line ends at LF only; one CR before it is not part of the line.
+    df = spark.read.text(list(paths), lineSep="\n")
     df = df.select(
-        "value",
+        without_cr("value").alias("value"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("file_block_start"),
         F.col("_metadata.file_modification_time").alias("file_modification_time"),
@@ -36,6 +37,11 @@ def read_syslog(spark: SparkSession, paths, modified_after=None) -> DataFrame:
     return df
 
 
+def without_cr(column: str) -> Column:
+    c = F.col(column)
+    return F.when(c.endswith("\r"), F.left(c, F.length(c) - 1)).otherwise(c)
+
+
 def marker_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines containing the marker substring (cheap test, pushed to the scan)."""
     return lines.where(F.col(value).contains(MARKER))

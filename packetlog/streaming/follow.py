@@ -20,6 +20,7 @@ from ..operators.feed import feed_filter
 from ..operators.hosts import FEED_HOST_WIDTH, name_feed
 from ..plans.ingest import parse_log
 from ..operators.parse import packets as accepted
+from ..sources.syslog import without_cr
 from ..session import delete_path, path_exists, scratch_path
 
 POLL_SECONDS = 1
@@ -33,11 +34,11 @@ def stream_lines(spark: SparkSession, directory: str, from_start: bool = False,
     first). Unless ``from_start``, only files modified after ``start_time``
     (default: now) are read, the stream equivalent of starting at the end of
     the log."""
-    reader = spark.readStream.format("text").schema(_TEXT_SCHEMA)
+    reader = spark.readStream.format("text").schema(_TEXT_SCHEMA).option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     df = (reader.load(directory)
-          .select("value",
+          .select(without_cr("value").alias("value"),
                   F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("file_block_start"),
                   F.col("_metadata.file_modification_time").alias("file_modification_time")))

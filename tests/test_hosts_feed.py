@@ -31,8 +31,11 @@ def test_cache_steps(spark):
     assert [(r["ip"], r["host"]) for r in fresh] == [(167772161, "fake-hostname.tld")]
     missing = H.fresh_hosts(cache, NOW, 10).where(F.col("ip") == 168427521).count()
     assert missing == 0
+    # Age 0 is accepted: entries written before now go, one written now stays.
+    assert H.prune_hosts(cache, 0, NOW).count() == 1
+    assert H.prune_hosts(cache, 0, NOW + dt.timedelta(seconds=1)).count() == 0
     with pytest.raises(ValueError):
-        H.prune_hosts(cache, 0, NOW)
+        H.prune_hosts(cache, -1, NOW)
 
 
 def test_upsert_replaces_and_is_idempotent(spark):
