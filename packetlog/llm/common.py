@@ -13,6 +13,7 @@ Conventions all operators keep:
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over and cut: it does
-    so once their plans are garbage, which a long job may not collect in time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    so once their plans are garbage, which a long job may not collect in time.
+    Plans go in one round and what only they held in the next; the cleaner works
+    in the background, so each round leaves it a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
         return F.aggregate("keys", F.lit(0).cast("long"), flip)
 
     hashes = F.transform(F.split(F.lower(F.col("line")), WORDS), lambda w: F.xxhash64(w))
-    known = F.array_distinct(F.filter(hashes, lambda h: h != F.xxhash64(F.lit(""))))
+    known = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
     rows = _lines(docs).where(F.col("line").rlike(r"\S")).select(C.DOC_ID, KEY, NO, known.alias("h")).withColumn("classes", classes)
     rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), F.sort_array(F.transform("h", key)).alias("keys"))
     prefix = F.transform(F.slice("keys", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
@@ -245,8 +245,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, text key and the array of removed line numbers of each
     document that loses lines."""
     spark = docs.sparkSession
-    sets, sets_path = C.stage(_sets(docs, percent))
-    nodes, nodes_path = C.stage(_nodes(sets))
+    full, full_path = C.stage(_sets(docs, percent))
+    nodes, nodes_path = C.stage(_nodes(full))
+    sets, sets_path = C.stage(full.select("at", "d1", "d2"))
+    C.drop(spark, full_path)
     C.release(spark)
     matches = similar_lines(docs, nodes, percent)
     late = matches.select(F.col("b").alias("node")).distinct()
