@@ -12,8 +12,10 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracle import TABLES, digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-# Queries without an SQL oracle: none at the moment.
+# Log queries without an SQL oracle: none at the moment. Corpus queries that SQL
+# can't express are tested against brute force in tests/llm.
 NO_ORACLE: set[str] = set()
+CORPUS = set(E.LLM.QUERIES if E.LLM else ()) | {"pipeline"}
 
 
 def test_entry_runs(spark):
@@ -24,7 +26,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) - set(E.oracle_sql()) == NO_ORACLE
+    assert set(E.queries()) - set(E.oracle_sql()) - CORPUS == NO_ORACLE
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
