@@ -14,7 +14,7 @@ runs as DataFrame functions.
 | ip | four octets up to 255 | the 32-bit address | dots |
 | phone | 10 digits of a North American number, or + and 8 to 15 digits | area, exchange and line within their ranges; else all digits after the country code | country code, grouping |
 | email | a local part and a domain | letters and digits of the local part, by class | domain, punctuation |
-| secret | AKIA keys; values after password, token and the like | characters by class (hexadecimal stays so) | name, quotes |
+| secret | AKIA keys; values of 8 or more characters (letters, digits, + / _ - = and inner dots) after names that end in password, token and the like | characters by class (hexadecimal stays so) | name, quotes |
 
 Numbers use two halves modulo a and b, where a * b is exactly the number of valid
 values, so no value falls outside its format. Texts use halves of characters,
@@ -45,7 +45,10 @@ DAYS = 146_097  # of 400 Gregorian years: 189 * 773
 FIRST_DAY = "1800-01-01"
 
 _START, _STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-_SECRET = r"(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,256})"
+_AKIA = r"AKIA[0-9A-Z]{16}"
+#: A name may be the end of a longer one (DB_PASSWORD); a dot may not end a value.
+_NAMED = r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{8,}(?<!\.)"
+_SECRET = f"(?:{_AKIA}|{_NAMED})"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _DATE = r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})"
 _SSN = r"\d{3}-\d{2}-\d{4}"
@@ -56,7 +59,12 @@ _PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}"
 _FREE = r"(?<![\p{L}\p{N}_+])"
 #: What every match has at least one of.
 NEEDED = "[0-9@=:]|AKIA"
-PATTERN = "|".join([_START + _SECRET + _STOP, _EMAIL + _STOP, f"{_START}(?:{_DATE}|{_SSN}|{_IP}){_STOP}", f"{_FREE}(?:{_NANP}|{_CARD}|{_PHONE}){_STOP}"])
+PATTERN = "|".join([_START + _AKIA + _STOP, _NAMED, _EMAIL + _STOP, f"{_START}(?:{_DATE}|{_SSN}|{_IP}){_STOP}", f"{_FREE}(?:{_NANP}|{_CARD}|{_PHONE}){_STOP}"])
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _digits(m: Column) -> Column:
@@ -89,10 +97,10 @@ def _pair(left: Column, right: Column, a: int, b: int, key: str, kind: str) -> C
 
 def _shift(half: Column, other: Column, r: Column, key: str, kind: str) -> Column:
     """Each letter or digit of ``half`` moved within its class."""
-    code = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), other).cast("binary"), 512)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), other).cast("binary"), 512)
     hexadecimal = "0123456789abcdef"
 
-    def one(c: Column, i: Column) -> Column:
+    def one(code: Column, c: Column, i: Column) -> Column:
         by = F.conv(F.substring(code, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 64).cast("int") * 7
 
         def within(first: str, size: int) -> Column:
@@ -104,7 +112,8 @@ def _shift(half: Column, other: Column, r: Column, key: str, kind: str) -> Colum
         return (F.when(c.rlike("^[0-9]$"), within("0", 10)).when(c.rlike("^[a-z]$"), within("a", 26))
                 .when(c.rlike("^[A-Z]$"), within("A", 26)).otherwise(c))
 
-    return F.array_join(F.transform(F.split(half, ""), one), "")
+    # Bound once: a long half would be hashed anew for each of its characters.
+    return _let(digest, lambda code: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(code, c, i)), ""))
 
 
 def _text(value: Column, key: str, kind: str) -> Column:
