@@ -8,7 +8,7 @@ runs as DataFrame functions.
 
 | kind | validated by | permuted | kept |
 |-|-|-|-|
-| card | 13 to 19 digits, Luhn | digits between the first and the last | first digit, grouping, a valid check digit |
+| card | 13 to 19 digits, Luhn; also beside further digits (CVV, expiry) | digits between the first and the last | first digit, grouping, a valid check digit |
 | date | a day of 1800 to 2199 | day number within the 400 years | order of the parts, separators |
 | ssn | area, group and serial in use | the index among valid numbers | dashes |
 | ip | four octets up to 255 | the 32-bit address | dots |
@@ -53,13 +53,21 @@ _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{
 _DATE = r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}(?!\.\d)"
-_CARD = r"\d(?:[ -]?\d){12,18}"
 _NANP = r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 _PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}"
 _FREE = r"(?<![\p{L}\p{N}_+])"
+#: Forms that cards have in print: one run, or groups of four or more and a rest.
+_GROUPS = [r"\d{13,19}"] + [r"\d{4,15}" + r"[ -]\d{4,15}" * k + rest for k in range(4) for rest in ("", r"[ -]\d{1,3}")][1:]
+_DAY = r"(?:\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})"
+#: What may follow a card's 13 digits after a blank: never a further part of it.
+_NEXT = f"(?:{_DAY}|{_SSN}|{_IP}|{_NANP}|\\d{{13,19}}|\\d{{4}}(?:[ -]\\d{{4}}){{3}}|\\d{{4}}[ -]\\d{{6}}[ -]\\d{{4,5}})"
+_CARD = r"\d(?:[ -]?\d){12}(?:(?:[ -](?!" + _NEXT + _STOP + r"))?\d){0,6}"
+_DATED = f"{_DATE}(?:{_STOP}|(?=[Tt]\\d))"
 #: What every match has at least one of.
 NEEDED = "[0-9@=:]|AKIA"
-PATTERN = "|".join([_START + _AKIA + _STOP, _NAMED, _EMAIL + _STOP, f"{_START}(?:{_DATE}|{_SSN}|{_IP}){_STOP}", f"{_FREE}(?:{_NANP}|{_CARD}|{_PHONE}){_STOP}"])
+_FIRST = [_START + _AKIA + _STOP, _NAMED, _EMAIL + _STOP, f"{_START}(?:{_DATED}|(?:{_SSN}|{_IP}){_STOP})"]
+PATTERN = "|".join([*_FIRST, f"{_FREE}(?:{_NANP}|{_CARD}|{_PHONE}){_STOP}"])
+NO_CARDS = "|".join([*_FIRST, f"{_FREE}(?:{_NANP}|{_PHONE}){_STOP}"])
 
 
 def _let(value: Column, use) -> Column:
@@ -142,11 +150,15 @@ def _luhn(payload: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
+def _is_card(m: Column) -> Column:
+    d = _digits(m)
+    return F.length(d).between(13, 19) & (_luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)))
+
+
 def _card(m: Column, key: str) -> Column:
     d = _digits(m)
-    payload = F.substring(d, F.lit(1), F.length(d) - 1)
-    new = F.concat(F.left(d, F.lit(1)), _text(F.substring(payload, F.lit(2), F.length(payload)), key, "card"))
-    return F.when(F.length(d).between(13, 19) & (_luhn(payload) == F.right(d, F.lit(1))), _refill(m, F.concat(new, _luhn(new))))
+    new = F.concat(F.left(d, F.lit(1)), _text(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
+    return F.when(_is_card(m), _refill(m, F.concat(new, _luhn(new))))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -216,20 +228,60 @@ _KINDS = (("secret", f"^{_SECRET}$", _secret), ("email", "@", _email), ("date",
           ("ip", r"^\d{1,3}(?:\.\d{1,3}){3}$", _ip), ("phone", f"^(?:{_NANP}|{_PHONE})$", _phone), ("card", f"^{_CARD}$", _card))
 
 
-def _replacement(m: Column, key: str) -> Column:
+def _replacement(m: Column, key: str, kinds: list) -> Column:
     """struct(kind, value) of a match: its pseudonym, null if it isn't valid."""
     chosen = None
-    for kind, pattern, work in _KINDS:
+    for kind, pattern, work in kinds:
         one = F.struct(F.lit(kind).alias("kind"), m.alias("value"), work(m, key).alias("pseudonym"))
         chosen = F.when(m.rlike(pattern), one) if chosen is None else chosen.when(m.rlike(pattern), one)
     return chosen
 
 
+def _plain(text: Column) -> Column:
+    return F.struct(F.lit("").alias("kind"), text.alias("value"), F.lit(None).cast("string").alias("pseudonym"))
+
+
+def _pieces(text: Column, pattern: Column, key: str, *kinds: tuple) -> Column:
+    """A text cut into an array of struct(kind, value, pseudonym): the valid
+    matches of a pattern of these kinds, and the text before, between and after them (pseudonym null)."""
+    def cut(parts: Column, found: Column) -> Column:
+        def piece(p: Column, q: Column) -> Column:
+            """The text between the valid matches p and q, and match q."""
+            inner = F.slice(found, p + 2, q - p - 1)
+            rest = F.array_join(F.zip_with(F.slice(parts, p + 2, q - p), inner, lambda t, m: F.concat(t, F.coalesce(m["value"], F.lit("")))), "")
+            return F.array_compact(F.array(_plain(rest), F.get(found, q)))
+
+        at = F.filter(F.transform(found, lambda m, i: F.when(m["pseudonym"].isNotNull(), i)), lambda i: i.isNotNull())
+        ends = F.concat(at, F.array(F.size(found)))
+        return _let(ends, lambda e: F.flatten(F.transform(e, lambda q, j: piece(F.coalesce(F.get(e, j - 1), F.lit(-1)), q))))
+
+    matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.coalesce(_replacement(m, key, kinds), _plain(m)))
+    return _let(F.split(text, pattern, -1), lambda parts: _let(matches, lambda found: cut(parts, found)))
+
+
+def _within(pieces: Column, use) -> Column:
+    """The pieces with those of plain text replaced by the pieces ``use`` makes."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["pseudonym"].isNull(), use(p["value"])).otherwise(F.array(p))))
+
+
+def _cards_inside(text: Column, key: str) -> Column:
+    """Pieces of a text whose longest runs of digits are no card (or other value),
+    but may hold some: card and CVV, an expiry or a number before."""
+    # Every place where a form fits, overlaps included; years don't start cards.
+    forms = [F.regexp_extract_all(text, F.lit(f"{_FREE}(?=((?!0|19|20){g}){_STOP})"), F.lit(1)) for g in _GROUPS]
+    cards = F.filter(F.array_distinct(F.concat(*forms)), _is_card)
+    # Digits, blanks and dashes only: as a pattern they mean themselves.
+    own = lambda c: F.concat(F.lit(f"{_FREE}(?:"), F.array_join(F.reverse(F.array_sort(c)), "|"), F.lit(f"){_STOP}"))
+    some = _let(cards, lambda c: F.when(F.size(c) > 0, _pieces(text, own(c), key, _KINDS[-1])))
+    return _within(F.coalesce(some, F.array(_plain(text))), lambda t: _pieces(t, F.lit(NO_CARDS), key, *_KINDS[:-1]))
+
+
 def find_values(docs: DataFrame, key: str, column: str = C.TEXT) -> Column:
-    """Array of struct(kind, value, pseudonym) of all matches of a text, in
-    order; the pseudonym of a match that fails its validation is null."""
+    """The text in order as an array of struct(kind, value, pseudonym): its values
+    and, with a null pseudonym, what stands between them. Null without values."""
     text = F.col(column).cast("string")
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda m: _replacement(m, key))
+    long_run = r"\d(?:[ -]?\d){12}"
+    found = _within(_pieces(text, F.lit(PATTERN), key, *_KINDS), lambda t: F.when(t.rlike(long_run), _cards_inside(t, key)).otherwise(F.array(_plain(t))))
     return F.when(text.rlike(NEEDED), found)
 
 
@@ -238,8 +290,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     as an array of struct(kind, value, pseudonym)."""
     text = F.col(C.TEXT).cast("string")
     rows = docs.withColumn("__found", find_values(docs, key))
-    between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, "__found", lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m["pseudonym"], m["value"], F.lit("")))), "")
+    joined = F.array_join(F.transform("__found", lambda m: F.coalesce(m["pseudonym"], m["value"])), "")
     valid = F.filter("__found", lambda m: m["pseudonym"].isNotNull())
     rows = rows.withColumn("__values", F.coalesce(valid, F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"), F.lit("").alias("pseudonym"))), lambda m: F.lit(False))))
     rows = rows.withColumn(C.TEXT, F.when(F.size("__values") > 0, joined).otherwise(text))

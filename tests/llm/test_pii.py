@@ -82,3 +82,23 @@ def test_long_dotted_and_prefixed_secrets(docs):
     assert got[2][0][7:-1] == got[3][0][13:] and not any(p in got[2][0] for p in jwt.split("."))
     assert re.fullmatch("client_secret=[a-z]{10}", got[4][0]) and re.fullmatch(r"DB_PASSWORD='[a-z]{6}\d[a-z]{6}\d'", got[5][0]) and got[5][0] != texts[5]
     assert got[8][0] != texts[8] and re.fullmatch(r"token=(?:[a-z]\d){10000}", got[8][0])
+
+
+def test_cards_beside_digits_and_timestamps(docs):
+    card, amex = "4111111111111111", "378282246310005"
+    spaced = "4111 1111 1111 1111"
+    cases = [(f"{spaced} 123", ["card"]), (f"{card} 737", ["card"]), (f"{card} 12/27", ["card"]), (f"{spaced}-1", ["card"]), (f"exp 2027 {spaced}", ["card"]),
+             (f"1234 {spaced}", ["card"]), (f"12 {card}", ["card"]), (f"{amex} {spaced}", ["card"] * 2), (f"{card} 763-555-9330", ["card", "phone"]),
+             (f"{card} 123-45-6789", ["card", "ssn"]), (f"{card} 12/27/2024 10.0.0.1", ["card", "date", "ip"]), (f"{card} 10.0.0.1", ["card", "ip"]),
+             ("12345679 763-555-9330", ["phone"]), ("1984-02-29T10:00:00Z", ["date"]), ("1984-02-29Tea", []), ("2019 2020 2021 2022 2023", []),
+             (f"{spaced} 124 and 17.252.227.210, {card}", ["card", "ip", "card"])]
+    got = run(docs, [t for t, _ in cases])
+    for k, (text, kinds) in enumerate(cases):
+        assert [v[0] for v in got[k][1]] == kinds, text
+        want = text
+        for _, value, new in got[k][1]:
+            assert value != new
+            want = want.replace(value, new)
+        assert got[k][0] == want and "1111 1111" not in got[k][0]
+    assert got[1][0][:16] == got[2][0][:16] == got[0][0][:19].replace(" ", "") and luhn(got[1][0][:16]) and got[1][0][16:] == " 737"
+    assert got[13][0].endswith("T10:00:00Z")
