@@ -39,9 +39,6 @@ DEPTH = 300
 SAMPLE = 2000
 MAX_LANGUAGES = 1000
 HELD_OUT = (4, 2)  # modulus and remainder of the fold that teaches nothing
-#: Documents below this score count as rejected in a filter: random letters of a
-#: known alphabet stay above it, text of no learned language falls below.
-ACCEPT = 0.25
 BITS = 21  # of a code point; three fit one 64-bit code
 
 
@@ -165,9 +162,11 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], depth: int = DEPTH)
     return rows.mapInArrow(classify, f"doc_id {kind}, text_key long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+def keep_known(docs: DataFrame, accept: float = 0.0) -> DataFrame:
     """``docs`` without the documents that language ID rejects: those of no
-    language (``und``) or with a score below ``accept``. Fitted on ``docs``."""
+    language (``und``) or with a score below ``accept``. Fitted on ``docs``. Scores
+    depend on the size of the alphabet and the length of the text, short texts of
+    a known language with many letters score low, so no limit suits all."""
     shared = docs.sparkSession.sparkContext.broadcast((letter_table(), fit(docs)))
     plain = [f.name for f in docs.schema.fields]
 

@@ -63,3 +63,20 @@ def test_nothing_learned_and_empty(spark):
     assert langid.fit(docs) == {} and [r.lang_pred for r in langid.predict(docs, {}).collect()] == ["und"]
     nothing = docs.where(F.lit(False))
     assert langid.fit(nothing) == {} and langid.predict(nothing, {}).count() == 0 == langid.keep_known(nothing).count()
+
+
+def test_short_texts_of_a_large_alphabet_are_kept(spark):
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    lexicon = ["".join(rng.choices(letters, k=rng.choice([1, 2, 2, 3]))) for _ in range(20_000)]
+    weights = [1 / (k + 1) for k in range(len(lexicon))]
+    say = lambda n: "".join(rng.choices(lexicon, weights, k=n))[:n]
+    rows = [(k, say(rng.choice([20, 50, 100, 400])), "zz") for k in range(400)] + [(1000, "12 !", "zz")]
+    docs = table(spark, [*corpus_with_ids(2000), *rows])
+    low = [r.doc_id for r in langid.predict(docs, langid.fit(docs)).where("score < 0.25 AND lang_pred = 'zz'").collect()]
+    assert len(low) > 50
+    assert {r.doc_id for r in langid.keep_known(docs).collect()} == {r.doc_id for r in docs.collect()} - {1000}
+
+
+def corpus_with_ids(first):
+    return [(first + k, text, lang) for k, text, lang in corpus()]
