@@ -28,6 +28,7 @@ pipeline stage, kept.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -44,6 +45,8 @@ FUNCTIONS = 48
 #: Bits of each Bloom filter (8 MB); more keys than it suits only let more pass.
 BLOOM_BITS = 26
 PROBES = 4
+#: Class of items with a repeated shingle, whose keys are shingles themselves.
+REPEATING = 64
 WORD = r"[^\W_]+"
 MEMO = 400_000
 #: Shingles worked on at once.
@@ -95,6 +98,10 @@ def minima_keys(minima: np.ndarray, c: int, function: int) -> np.ndarray:
     return mix(minima ^ np.uint64((c << 8 | function) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
+def shingle_keys(hashes: np.ndarray) -> np.ndarray:
+    return minima_keys(hashes, REPEATING, 0)
+
+
 def bloom_bits(keys: np.ndarray) -> list[np.ndarray]:
     """Positions of the keys' bits, one array per probe."""
     return [(keys * p >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for p in odd_numbers(PROBES)]
@@ -126,9 +133,9 @@ def _bloom_of(keys: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def _items(benchmark: DataFrame, functions: int) -> DataFrame:
+def _items(benchmark: DataFrame, functions: int, containment: float) -> DataFrame:
     """``item_id``, ``item_key``, ``size_class``, number ``n`` and texts of the
-    different ``shingles``, and MinHash ``keys`` of each item that has any."""
+    different ``shingles``, and MinHash or prefix ``keys`` of each item that has any."""
     multipliers = odd_numbers(functions)
 
     def describe(batches):
@@ -139,10 +146,16 @@ def _items(benchmark: DataFrame, functions: int) -> DataFrame:
                 words = shingler.words(text)
                 hashes = shingler.hashes(words)
                 if len(hashes):
-                    c = size_class(len(hashes))
-                    keys = np.concatenate([minima_keys((hashes * m).min(keepdims=True), c, i) for i, m in enumerate(multipliers)])
                     shingles = sorted({" ".join(words[k:k + SHINGLE]) for k in range(len(hashes))})
-                    out.append((item_id, key, c, shingles, keys.view(np.int64).tolist(), np.unique(hashes).view(np.int64).tolist()))
+                    different = np.unique(hashes)
+                    if len(different) < len(hashes):
+                        c = REPEATING
+                        enough = max(1, math.ceil(containment * len(different) - 1e-9))
+                        keys = shingle_keys(different[:len(different) - enough + 1])
+                    else:
+                        c = size_class(len(hashes))
+                        keys = np.concatenate([minima_keys((hashes * m).min(keepdims=True), c, i) for i, m in enumerate(multipliers)])
+                    out.append((item_id, key, c, shingles, keys.view(np.int64).tolist(), different.view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in out], t) for i, t in enumerate(
                     (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())))],
@@ -154,9 +167,11 @@ def _items(benchmark: DataFrame, functions: int) -> DataFrame:
 
 
 def window_hits(hashes: np.ndarray, lengths: np.ndarray, classes: list[int], multipliers: np.ndarray, bloom: Bloom):
-    """(document, key) of window minima that may be an item's. ``hashes``: the
+    """(document, key) of window minima, and of shingles where an item repeats
+    some, that may be an item's. ``hashes``: the
     shingle hashes of several documents, ``lengths`` of them each (none empty)."""
-    half = [max(1, (1 << c) // 2) for c in classes]
+    sized = [c for c in classes if c != REPEATING]
+    half = [max(1, (1 << c) // 2) for c in sized]
     layout = []  # per class: first shingle of each block, and the block's document
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     for h in half:
@@ -165,9 +180,14 @@ def window_hits(hashes: np.ndarray, lengths: np.ndarray, classes: list[int], mul
         inner = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         layout.append((starts[doc] + inner * h, doc))
     docs, keys = [], []
+    if REPEATING in classes:
+        found = shingle_keys(hashes)
+        hit = bloom.has(found)
+        docs.append(np.repeat(np.arange(len(lengths)), lengths)[hit])
+        keys.append(found[hit])
     for i, m in enumerate(multipliers):
         values = hashes * m
-        for c, (at, doc) in zip(classes, layout):
+        for c, (at, doc) in zip(sized, layout):
             blocks = np.minimum.reduceat(values, at)
             windows = blocks.copy()
             for d in (1, 2):  # a window is three blocks of one document
@@ -183,7 +203,7 @@ def window_hits(hashes: np.ndarray, lengths: np.ndarray, classes: list[int], mul
 def _candidates(docs: DataFrame, items: DataFrame, functions: int) -> DataFrame:
     """Documents with a hit: ``doc_id``, ``text_key``, their ``keys`` and the
     ``shingles`` that may be an item's."""
-    classes = sorted(r[0] for r in items.select("size_class").distinct().collect())  # at most 64
+    classes = sorted(r[0] for r in items.select("size_class").distinct().collect())  # at most 65
     filters = (_bloom_of(items.select(F.explode("keys").alias("key"))), _bloom_of(items.select(F.explode("hashes").alias("key"))))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     multipliers = odd_numbers(functions)
@@ -231,7 +251,7 @@ def _candidates(docs: DataFrame, items: DataFrame, functions: int) -> DataFrame:
 def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, functions: int = FUNCTIONS) -> DataFrame:
     """``doc_id``, ``text_key``, ``item_id``, ``item_key``, ``n_shared``,
     ``n_shingles``, ``containment`` for each document and item it contains."""
-    items = C.cut(_items(benchmark, functions))
+    items = C.cut(_items(benchmark, functions, containment))
     found = C.cut(_candidates(docs, items, functions))
     doc, item = ["doc_id", "text_key"], ["item_id", "item_key"]
     # Ids may be null: pairs are joined on hashes of the identifying columns.

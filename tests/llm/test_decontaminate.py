@@ -50,3 +50,23 @@ def test_against_brute_force(spark, docs, empty):
 
 def test_size_classes():
     assert [decontaminate.size_class(n) for n in (1, 2, 3, 4, 5, 8, 9, 16, 17)] == [0, 1, 2, 2, 3, 3, 4, 4, 5]
+
+
+def test_items_with_repeated_shingles(spark, docs):
+    rng = random.Random(21)
+    new = iter(range(10 ** 6))
+    fresh = lambda n: [f"r{next(new)}" for _ in range(n)]
+    items, rows = [], []
+    for k in range(60):
+        refrain = fresh(rng.choice([1, 2, 3, 5, 8]))
+        item = refrain * (64 // len(refrain))
+        if k % 3 == 0:  # different shingles far apart
+            item = [w for _ in range(6) for w in [*fresh(6), *refrain * 40]]
+        items.append((k, " ".join(item)))
+        once = item if k % 3 == 0 else refrain * (4 // len(refrain) + 2)
+        rows += [(2 * k, " ".join(fresh(rng.randint(0, 300)) + item + fresh(300))), (2 * k + 1, " ".join(fresh(200) + once + fresh(200)))]
+    rows.append((1000, " ".join(fresh(500))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, j): len(shingles(u) & shingles(t)) for i, t in rows for j, u in items if len(shingles(u) & shingles(t)) >= 0.8 * len(shingles(u)) - 1e-9}
+    found = decontaminate.contained_items(docs(rows), bench).collect()
+    assert {(r.doc_id, r.item_id): r.n_shared for r in found} == want and len(found) == len(want) == 120
