@@ -31,8 +31,8 @@ of a fixed 2^23 bits, so only those and a few more are shuffled.
 
 Edge cases: null text stays null, and lines without words are always kept. Null
 ids come first in the order. Rows equal in id and text are one document: they
-don't remove each other's lines and come out alike. Lines of up to three tokens
-match equal sets only, which follows from the threshold. An empty table gives an
+don't remove each other's lines and come out alike. At 80 per cent, lines
+of up to three tokens match equal sets only, which follows from the threshold. An empty table gives an
 empty result. Input columns other than text (and n_chars in the pipeline) pass
 through whatever their names.
 """
@@ -141,11 +141,11 @@ def _packed(free: Column) -> Column:
     return F.shiftleft("parity", 21).bitwiseOR(F.shiftleft(small(F.col("n")), 11)).bitwiseOR(F.shiftleft(small(F.col("i")), 1)).bitwiseOR(free.cast("long"))
 
 
-def _rows(nodes: DataFrame, free: Column, first: int | None = None, *more: str) -> DataFrame:
+def _rows(nodes: DataFrame, percent: int, free: Column, first: int | None = None, *more: str) -> DataFrame:
     """(token, node, pack, more) for the prefix tokens of nodes that can have a
-    match other than an equal set."""
+    match other than an equal set: at best one that has one token more."""
     prefix = F.col("prefix") if first is None else F.slice("prefix", 1, first)
-    rows = nodes.where("n > 3").select("node", "n", "parity", "more", F.posexplode(prefix).alias("i", "token"), *more)
+    rows = nodes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("node", "n", "parity", "more", F.posexplode(prefix).alias("i", "token"), *more)
     return rows.select("token", "node", _packed(free).alias("pack"), "more", *more)
 
 
@@ -173,7 +173,7 @@ def _similar(a: str, b: str, percent: int, share: float = 1.0) -> Column:
 
 def _leads(nodes: DataFrame, percent: int) -> DataFrame:
     """Likely matches (x, y) of the first round."""
-    rows = _rows(nodes, F.lit(0), LEADS, "doc")
+    rows = _rows(nodes, percent, F.lit(0), LEADS, "doc")
     order = Window.partitionBy("token").orderBy("doc", "node")
     near = [("f", F.first), *((f"l{k}", lambda c, k=k: F.lag(c, k)) for k in (1, 2))]
     rows = rows.select("node", "pack", "more", *[w(c).over(order).alias(f"{x}_{c}") for x, w in near for c in ("node", "pack", "more")])
@@ -222,7 +222,7 @@ def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     leads = _placed(C.cut(_leads(nodes, percent)), nodes)
     solved = leads.select(F.col("b").alias("node")).distinct()
     C.release(spark)
-    rows = _rows(_flagged(nodes, solved), F.col("free"), None, "free").drop("free")
+    rows = _rows(_flagged(nodes, solved), percent, F.col("free"), None, "free").drop("free")
     a, b = rows.alias("a"), rows.alias("b")
     free = F.col("a.pack").bitwiseOR(F.col("b.pack")).bitwiseAND(F.lit(1)) == 1
     full = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & free & _similar("a.", "b.", percent))
@@ -234,7 +234,7 @@ def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     # Nodes whose likely match was none, and that no other pair settled.
     open_ = C.cut(solved.join(matches.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
     if not open_.isEmpty():
-        a, b = _rows(nodes.join(open_, "node"), F.lit(1)).alias("a"), _rows(nodes, F.lit(1)).alias("b")
+        a, b = _rows(nodes.join(open_, "node"), percent, F.lit(1)).alias("a"), _rows(nodes, percent, F.lit(1)).alias("b")
         rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _similar("a.", "b.", percent))
         rest = _placed(C.cut(rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()), nodes)
         matches = matches.unionByName(_verified(docs, rest, percent))

@@ -69,3 +69,9 @@ def test_columns_and_empty(spark, docs, empty):
 def test_native_plan(spark, docs):
     plan = linededup.dedup_lines(docs(["a b c d e\na b c d e"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_at_lower_thresholds(spark, docs):
+    for percent, left in ((75, ["a b c", ""]), (80, ["a b c", "a b c d"])):
+        found = linededup.dedup_lines(docs(["a b c", "a b c d"]), percent).orderBy("doc_id").collect()
+        assert [r.text for r in found] == left
