@@ -20,11 +20,3 @@ def spark():
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="packetlog-test-")
-
-
-def write_lines(directory, name, lines):
-    os.makedirs(directory, exist_ok=True)
-    path = os.path.join(directory, name)
-    with open(path, "w") as fh:
-        fh.write("\n".join(lines) + "\n")
-    return path

@@ -1,7 +1,7 @@
 """Golden analysis: the 37 log lines implied by the sample report (FIXTURES §4)
 through parse -> import -> six reports -> text."""
 
-from conftest import write_lines
+from loglines import write_lines
 
 from packetlog.operators import reports as R
 from packetlog.operators.render import report_text

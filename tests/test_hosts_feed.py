@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_lines
+from loglines import write_lines
 from packetlog.functions import ip_to_long
 from packetlog.operators import feed as FD
 from packetlog.operators import hosts as H

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_lines
+from loglines import write_lines
 from packetlog.plans import store
 from packetlog.plans.ingest import parse_log
 from packetlog.sources.syslog import read_syslog

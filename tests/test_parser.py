@@ -1,6 +1,6 @@
 """Parser contract, one line per case."""
 
-from conftest import write_lines
+from loglines import write_lines
 
 from packetlog.plans.ingest import parse_log, import_summary
 from packetlog.operators.parse import packets, rejects

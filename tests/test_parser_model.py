@@ -6,7 +6,7 @@ import uuid
 
 from hypothesis import given, settings, strategies as st
 
-from conftest import write_lines
+from loglines import write_lines
 from packetlog.operators.parse import KEYS
 from packetlog.plans.ingest import parse_log
 from packetlog.sources.syslog import read_syslog

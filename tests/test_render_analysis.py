@@ -1,7 +1,7 @@
 import datetime as dt
 import os
 
-from conftest import write_lines
+from loglines import write_lines
 from test_golden import golden_lines
 
 from packetlog.functions import ip_to_long

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_lines
+from loglines import write_lines
 from packetlog.functions.eventtime import event_time_before, ntz_literal
 from packetlog.operators import feed as FD
 from packetlog.operators.render import FEED_HEADER, feed_lines, print_feed, write_feed
