@@ -5,54 +5,69 @@ is removed if an earlier line, in (doc_id, text hash, line number) order, has a
 Jaccard similarity of ``PERCENT`` per cent or more with it; whether that earlier
 line is removed itself plays no part. Everything runs as DataFrame functions.
 
-1. Words are counted over the whole corpus in 2^18 hash buckets. The class of a
-   count (its binary logarithm) and the token's hash give one global order, rare
+1. Words are counted over the whole corpus in ``BUCKETS`` hash buckets. The class of
+   a count (its binary logarithm) and the token's hash give one global order, rare
    tokens first; any fixed order keeps the join exact, rarity makes it small.
-2. Lines with equal token sets become one node at their first position, so hot
-   lines are folded before anything is joined.
+2. Lines with equal token sets become one node, so hot lines are folded before
+   anything is joined. Nodes are numbered in the order of their first places.
 3. Prefix filter: similar lines share a token among the first
    n - ceil(t n) + 1 of each, so nodes are joined on their prefix tokens only.
+   Tokens that occur once in the corpus are left out. A frequent token (``heavy``:
+   far more often than a bucket holds on average) is no key of its own: if the
+   first shared token is heavy, so are all others, and the first two of them stand
+   in both prefixes extended by one token, so pairs of heavy tokens are keys.
    The join condition holds the length filter, the positional filter (shared
    tokens up to the match, plus what can follow it) and a bit filter (parity of
-   the token hashes in 107 bits: each token that two lines don't share changes at
+   the token hashes in 128 bits: each token that two lines don't share changes at
    most one), so a join emits hardly more than the true matches.
 4. A line needs only one earlier match to go. So a first round compares each node
-   just with the first and the last two before it that share one of its
-   ``LEADS`` rarest tokens; a node that finds a likely match there takes part in
-   the full join only as a partner of nodes that don't. Groups of m near copies
-   thus give about m pairs, not m^2. Nodes whose likely match fails the next step
-   are joined in full.
+   just with three before it that share one of its ``LEADS`` rarest keys: the
+   first, the last and the one with most lines. Frequent keys are salted by their
+   counts, so a window holds a bounded number of nodes. A node that finds a likely
+   match there takes part in the full join only as the earlier partner of nodes that
+   don't, so groups of m near copies give about m pairs, not m^2. Nodes whose likely
+   match fails the next step are joined in full.
 5. Candidates are verified on the words themselves.
 6. A node with an earlier match loses all its lines, others all but the first.
    The removed line numbers are gathered per document and joined to it.
 
-Which nodes, lines and texts take part in 4 to 6 is first tested against a bitmap
-of a fixed 2^23 bits, so only those and a few more are shuffled.
+Lines are folded, and tokens compared before step 5, by hashes: two 64-bit hashes
+of a set, 56 bits of a word. A chance collision folds two different lines with a
+probability of about 2^-112 a pair.
+
+Which lines and texts take part in 5 and 6 is first tested against a bitmap of a
+fixed 2^23 bits, so only those and a few more are shuffled.
 
 Edge cases: null text stays null, and lines without words are always kept. Null
 ids come first in the order. Rows equal in id and text are one document: they
 don't remove each other's lines and come out alike. At 80 per cent, lines
 of up to three tokens match equal sets only, which follows from the threshold. An empty table gives an
 empty result. Input columns other than text (and n_chars in the pipeline) pass
-through whatever their names.
+through, but for the names ``__lines`` and ``__removed`` that ``dedup_lines`` adds:
+columns of these names in its input are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetlog.llm import common as C
 
 PERCENT = 80
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 BITS = 1 << 23
 CHUNK = 1024
-PARITY = 43
-#: Rarest tokens of the first round, and the share of differing bits that makes a
+#: Rarest keys of the first round, and the share of differing bits that makes a
 #: possible match a likely one.
 LEADS, LIKELY = 3, 0.7
-WORDS = r"\s+"
+#: Least class of a heavy token, and least percentage that heavy pairs are exact for.
+HEAVY, PAIRED = 12, 67
+#: Nodes that one window of the first round holds at most, as a power of two.
+WINDOW = 15
+WORDS, ODD = r"\s+", ("\t", "\x0b", "\f", "\r")
 #: Names of helper columns, unlikely to clash with a table's own.
 KEY, NO, GONE = "__text_key", "__line_no", "__gone"
 
@@ -80,8 +95,18 @@ def _maybe(bitmap: Column, value: Column) -> Column:
     return F.getbit(F.get(bitmap, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
 
+def _split(text: Column) -> Column:
+    """Lower-cased words between white space, and empty strings. The plain split
+    at blanks is much faster than the pattern, which few texts need."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit(ODD[0]))
+    for c in ODD[1:]:
+        odd = odd | F.contains(low, F.lit(c))
+    return F.when(odd, F.split(low, WORDS)).otherwise(F.split(low, " "))
+
+
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), WORDS), lambda w: w != ""))
+    return F.array_distinct(F.filter(_split(line), lambda w: w != ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -90,106 +115,120 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select(C.DOC_ID, KEY, F.posexplode_outer("lines").alias(NO, "line"))
 
 
-def _classes(docs: DataFrame) -> Column:
-    """Class of each bucket's word count: a scalar subquery of 2^18 small numbers."""
-    words = docs.select(F.explode_outer(F.split(F.lower(F.col(C.TEXT).cast("string")), WORDS)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).scalar()
+def _classes(docs: DataFrame) -> tuple[Column, int]:
+    """Class of each bucket's word count (a scalar subquery of BUCKETS small
+    numbers), and the least class of heavy tokens."""
+    text = F.replace(F.col(C.TEXT).cast("string"), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode_outer(_split(text)).alias("w"))
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
+    counts = C.cut(words.groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    heavy = max(HEAVY, math.floor(math.log2(max(1, mean))) + 3)
+    return _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).scalar(), heavy
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
     """Each line with words: its place ``at``, the 128-bit digest (d1, d2) of its
-    token set, the set's size ``n``, ``parity`` and ``more`` bits, and ``prefix``
-    (32-bit hashes of the first tokens, rare ones first)."""
-    classes = _classes(docs)
+    token set, the set's size ``n``, the parities ``p1`` and ``p2`` (64 bits each),
+    and its join keys, rare ones first: ``light`` (32-bit token hashes, the first
+    one at position ``skip``), ``pairs`` of heavy tokens (hash, position of the
+    later one), and ``salts`` (for each of the first keys, the binary logarithm of
+    how many windows its nodes are dealt to)."""
+    classes, heavy = _classes(docs)
+    if percent < PAIRED:
+        heavy = 64
+    first = lambda c: F.lit(min(c << 56, (1 << 63) - 1)).cast("long")  # noqa: E731  least key of a class
 
     def key(h: Column) -> Column:
-        return F.shiftleft(F.get(F.col("classes"), F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    n = F.size("keys")
-
-    def parity(first: int, bits: int) -> Column:
-        """Bits first to first + bits - 1 of the parity: those that an odd number
-        of tokens fall on. Each token falls on one of the PARITY + 64."""
-        def flip(s: Column, k: Column) -> Column:
-            bit = (F.pmod(k, F.lit(PARITY + 64)) - first).cast("int")
-            return F.when(bit.between(0, bits - 1), s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))).otherwise(s)
+        return F.shiftleft(F.get(F.col("classes"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-        return F.aggregate("keys", F.lit(0).cast("long"), flip)
+    def parity(half: int) -> Column:
+        """Half of the 128 bits: those that an odd number of tokens fall on. Seven
+        bits of its key say on which bit a token falls."""
+        own = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("long")
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", own(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    hashes = F.transform(F.split(F.lower(F.col("line")), WORDS), lambda w: F.xxhash64(w))
+    small = lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")
+    hashes = F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))
     known = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
     rows = _lines(docs).where(F.col("line").rlike(r"\S")).select(C.DOC_ID, KEY, NO, known.alias("h")).withColumn("classes", classes)
     rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), F.sort_array(F.transform("h", key)).alias("keys"))
-    prefix = F.transform(F.slice("keys", 1, n - F.ceil(n * percent / 100).cast("int") + 1), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    return rows.select("at", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), n.alias("n"),
-                       parity(0, PARITY).alias("parity"), parity(PARITY, 64).alias("more"), prefix.alias("prefix"))
+    n = F.size("keys")
+    rows = rows.withColumn("length", n - F.ceil(n * percent / 100).cast("int") + 1)
+    prefix = F.slice("keys", F.lit(1), F.col("length"))
+    rows = rows.withColumn("prefix", F.filter(prefix, lambda k: (k >= first(1)) & (k < first(heavy))))
+    # Keys are in order, so heavy ones stand behind all others.
+    longer = F.slice("keys", F.lit(1), F.least(F.col("length") + 1, n))
+    behind = F.size(F.filter(longer, lambda k: k < first(heavy)))
+    later = lambda i: F.transform(F.sequence(i + 1, F.size(longer) - 1), lambda j: F.struct(
+        small(F.xxhash64(F.get("keys", i), F.get("keys", j))).alias("token"), j.alias("i")))
+    pairs = F.when(F.element_at(longer, -1) >= first(heavy), F.when(F.size(longer) - behind >= 2, F.flatten(F.transform(F.sequence(behind, F.size(longer) - 2), later))))
+    hot = F.transform(F.slice("prefix", 1, LEADS), lambda k: F.greatest(F.shiftrightunsigned(k, 56) - max(WINDOW, heavy if heavy < 64 else 0), F.lit(0)).cast("tinyint"))
+    # The class of a token that occurs once is 0: such tokens stand in front.
+    skip = F.size(F.filter(prefix, lambda k: k < first(1)))
+    return rows.select("at", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), n.alias("n"), parity(0).alias("p1"), parity(1).alias("p2"),
+                       skip.alias("skip"), F.transform("prefix", small).alias("light"), pairs.alias("pairs"), hot.alias("salts"))
+
+
+FACTS = ("n", "p1", "p2", "skip", "light", "pairs", "salts")
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
-    """One row per distinct set, numbered by ``node``: its first place and the
-    number of its lines besides the columns of ``_sets``."""
-    facts = F.struct("n", "parity", "more", "prefix").alias("facts")
+    """One row per distinct set: its first place, the number of its lines and the
+    columns of ``_sets``, numbered by ``node`` in the order of the places."""
+    facts = F.struct(*FACTS).alias("facts")
     rows = sets.select("d1", "d2", "at", facts).groupBy("d1", "d2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.any_value("facts").alias("facts"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "at").sortWithinPartitions("at")
     return rows.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "at", "lines", "facts.*")
 
 
-def _packed(free: Column) -> Column:
-    """parity, n and token number (both up to 1023: more is 1023) and ``free``
-    in one long."""
-    small = lambda x: F.least(x, F.lit(1023)).cast("long")
-    return F.shiftleft("parity", 21).bitwiseOR(F.shiftleft(small(F.col("n")), 11)).bitwiseOR(F.shiftleft(small(F.col("i")), 1)).bitwiseOR(free.cast("long"))
-
+def _rows(nodes: DataFrame, percent: int, free: Column) -> DataFrame:
+    """(token, node, p1, p2, pack) for the keys of nodes that can have a match other
+    than an equal set: at best one that has one token more. pack: the set's size,
+    the token's position, whether the key is a pair, and ``free``."""
+    def packed(i: Column, pair: int) -> Column:
+        return F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(F.shiftleft(i.cast("long"), 2)).bitwiseOR(F.lit(2 * pair).cast("long")).bitwiseOR(free.cast("long")).alias("pack")
 
-def _rows(nodes: DataFrame, percent: int, free: Column, first: int | None = None, *more: str) -> DataFrame:
-    """(token, node, pack, more) for the prefix tokens of nodes that can have a
-    match other than an equal set: at best one that has one token more."""
-    prefix = F.col("prefix") if first is None else F.slice("prefix", 1, first)
-    rows = nodes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("node", "n", "parity", "more", F.posexplode(prefix).alias("i", "token"), *more)
-    return rows.select("token", "node", _packed(free).alias("pack"), "more", *more)
+    used = nodes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    one = used.select("node", "n", "p1", "p2", "skip", free.alias("free"), F.posexplode("light").alias("i", "token"))
+    two = used.where("pairs IS NOT NULL").select("node", "n", "p1", "p2", free.alias("free"), F.explode("pairs").alias("pair"))
+    free = F.col("free")
+    return one.select("token", "node", "p1", "p2", packed(F.col("skip") + F.col("i"), 0)).unionByName(
+        two.select(F.col("pair.token").alias("token"), "node", "p1", "p2", packed(F.col("pair.i"), 1)))
 
 
 def _similar(a: str, b: str, percent: int, share: float = 1.0) -> Column:
-    """Length, positional and bit filter on the columns ``pack`` and ``more`` of
-    two rows (name prefixes ``a`` and ``b``). A smaller share of the bits that may
-    differ makes a likely match of a possible one."""
-    more = F.bit_count(F.col(a + "more").bitwiseXOR(F.col(b + "more")))
-    a, b = a + "pack", b + "pack"
-    n, i = [], []
-    for p in (a, b):
-        n.append(F.shiftright(p, 11).bitwiseAND(F.lit(1023)))
-        i.append(F.shiftright(p, 1).bitwiseAND(F.lit(1023)))
+    """Length, positional and bit filter on the columns of two rows (name prefixes
+    ``a`` and ``b``) with one key. A smaller share of the bits that may differ makes
+    a likely match of a possible one."""
+    n = [F.shiftright(x + "pack", 33) for x in (a, b)]
+    i = [F.shiftright(x + "pack", 2).bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b)]
+    shared = [F.shiftright(x + "pack", 1).bitwiseAND(F.lit(1)) for x in (a, b)]
     both = n[0] + n[1]
     overlap = F.ceil(both * percent / (100 + percent))
     length = F.least(*n) * 100 >= F.greatest(*n) * percent
-    position = F.least(*i) + 1 + F.least(n[0] - i[0] - 1, n[1] - i[1] - 1) >= overlap
-    differ = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 21)) + more
-    bits = differ <= (both - 2 * overlap) * F.lit(share)
-    if share < 1:
-        return length & position & bits
-    large = F.greatest(*n) >= 1023  # not known exactly: no filter
-    return large | (length & position & bits)
+    position = shared[0] + 1 + F.least(n[0] - i[0] - 1, n[1] - i[1] - 1) >= overlap
+    differ = sum(F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in ("p1", "p2"))
+    return (shared[0] == shared[1]) & length & position & (differ <= (both - 2 * overlap) * F.lit(share))
 
 
 def _leads(nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely matches (x, y) of the first round."""
-    rows = _rows(nodes, percent, F.lit(0), LEADS, "doc")
-    order = Window.partitionBy("token").orderBy("doc", "node")
-    near = [("f", F.first), *((f"l{k}", lambda c, k=k: F.lag(c, k)) for k in (1, 2))]
-    rows = rows.select("node", "pack", "more", *[w(c).over(order).alias(f"{x}_{c}") for x, w in near for c in ("node", "pack", "more")])
-    pairs = F.array(*[F.when((F.col(f"{x}_node") != F.col("node")) & _similar(f"{x}_", "", percent, LIKELY), F.col(f"{x}_node")) for x, _ in near])
-    pairs = rows.select(F.col("node").alias("y"), F.explode(F.array_distinct(F.array_compact(pairs))).alias("x"))
-    return pairs.distinct()
-
-
-def _placed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes in order of their places: (a, a_at, b, b_at), a first."""
-    ends = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-    own = C.cut(nodes.where(_maybe(_bitmap(ends, F.xxhash64("node")), F.xxhash64("node"))).select("node", "at"))
-    both = pairs.join(own.select(F.col("node").alias("x"), F.col("at").alias("x_at")), "x").join(own.select(F.col("node").alias("y"), F.col("at").alias("y_at")), "y")
-    first = F.col("x_at") < F.col("y_at")
-    pick = lambda u, v, to: F.when(first, F.col(u)).otherwise(F.col(v)).alias(to)
-    return C.cut(both.select(pick("x", "y", "a"), pick("x_at", "y_at", "a_at"), pick("y", "x", "b"), pick("y_at", "x_at", "b_at")).distinct())
+    """(a, b): one likely earlier match ``a`` of each node ``b`` that has one in the
+    first round."""
+    used = nodes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    keys = used.select("node", "lines", "n", "p1", "p2", "salts", F.posexplode(F.slice("light", 1, LEADS)).alias("i", "token"))
+    salt = F.pmod(F.xxhash64("node"), F.call_function("shiftleft", F.lit(1).cast("long"), F.get("salts", F.col("i")).cast("int")))
+    # Any position: the filter by positions does not hold for a chance key.
+    row = F.struct("node", "p1", "p2", F.shiftleft(F.col("n").cast("long"), 33).alias("pack")).alias("row")
+    keys = keys.select("token", salt.alias("salt"), "node", "lines", row)
+    order = Window.partitionBy("token", "salt").orderBy("node")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.select("row", F.first("row").over(before).alias("first"), F.lag("row").over(order).alias("last"),
+                       F.max(F.struct("lines", "row")).over(before)["row"].alias("most"))
+    found = [F.when(_similar(f"{x}.", "row.", percent, LIKELY), F.col(f"{x}.node")) for x in ("most", "first", "last")]
+    pairs = keys.select(F.col("row.node").alias("b"), F.coalesce(*found).alias("a")).where("a IS NOT NULL")
+    return pairs.groupBy("b").agg(F.min("a").alias("a"))
 
 
 def _flagged(nodes: DataFrame, marked: DataFrame) -> DataFrame:
@@ -200,44 +239,44 @@ def _flagged(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     return nodes.where(~maybe).withColumn("free", F.lit(1)).unionByName(some)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (as of ``_placed``) that are similar by their words, with ``jaccard``."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar by their words, with ``jaccard``."""
     place = F.xxhash64(f"at.{C.DOC_ID}", f"at.{KEY}", f"at.{NO}")
-    ends = pairs.select(F.col("a").alias("node"), F.col("a_at").alias("at")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b_at").alias("at"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = C.cut(nodes.select("node", "at").join(ends, "node"))
     lines = _lines(docs).select(F.struct(C.DOC_ID, KEY, NO).alias("at"), "line").where(_maybe(_bitmap(ends, place), place))
     # Equal documents give a place twice; its words are the same.
-    texts = C.cut(lines.join(ends, lines["at"].eqNullSafe(ends["at"])).select(lines["at"], "node", "line").dropDuplicates(["at"]).select("node", "line"))
+    ends = ends.withColumnRenamed("at", "place")
+    texts = C.cut(lines.join(ends, F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["node"]).select("node", "line"))
     found = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    found = found.select("a", "a_at", "b", "b_at", _words(F.col("la")).alias("wa"), _words(F.col("lb")).alias("wb"))
+    found = found.select("a", "b", _words(F.col("la")).alias("wa"), _words(F.col("lb")).alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
-    found = found.select("a", "a_at", "b", "b_at", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
-    return C.cut(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "a_at", "b", "b_at", (F.col("o") / F.col("u")).alias("jaccard")))
+    found = found.select("a", "b", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
+    return C.cut(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")))
+
+
+def _joined(earlier: DataFrame, later: DataFrame, percent: int, free: bool) -> DataFrame:
+    """(a, b): possible matches of the rows ``later`` among ``earlier`` ones."""
+    a, b = earlier.alias("a"), later.alias("b")
+    wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _similar("a.", "b.", percent)
+    if free:
+        wanted = wanted & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
+    return C.cut(a.join(b, wanted).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
 
 
 def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified pairs of nodes: one or more earlier matches ``a`` (at place
-    ``a_at``) of every node ``b`` that has any, with their ``jaccard``."""
-    spark = docs.sparkSession
-    nodes = nodes.withColumn("doc", F.col(f"at.{C.DOC_ID}"))
-    leads = _placed(C.cut(_leads(nodes, percent)), nodes)
-    solved = leads.select(F.col("b").alias("node")).distinct()
-    C.release(spark)
-    rows = _rows(_flagged(nodes, solved), percent, F.col("free"), None, "free").drop("free")
-    a, b = rows.alias("a"), rows.alias("b")
-    free = F.col("a.pack").bitwiseOR(F.col("b.pack")).bitwiseAND(F.lit(1)) == 1
-    full = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & free & _similar("a.", "b.", percent))
-    full = C.cut(full.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
-    C.release(spark)
-    full = _placed(full, nodes)
-    matches = _verified(docs, leads.unionByName(full).distinct(), percent)
-    C.release(spark)
+    """Verified pairs of nodes: one or more earlier matches ``a`` of every node
+    ``b`` that has any, with their ``jaccard``."""
+    leads = C.cut(_leads(nodes, percent))
+    solved = leads.select(F.col("b").alias("node"))
+    rows = _rows(_flagged(nodes, solved), percent, F.col("free"))
+    full = _joined(rows, rows, percent, True)
+    matches = _verified(docs, nodes, leads.select("a", "b").unionByName(full), percent)
     # Nodes whose likely match was none, and that no other pair settled.
     open_ = C.cut(solved.join(matches.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
     if not open_.isEmpty():
-        a, b = _rows(nodes.join(open_, "node"), percent, F.lit(1)).alias("a"), _rows(nodes, percent, F.lit(1)).alias("b")
-        rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _similar("a.", "b.", percent))
-        rest = _placed(C.cut(rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()), nodes)
-        matches = matches.unionByName(_verified(docs, rest, percent))
+        rest = _joined(_rows(nodes, percent, F.lit(1)), _rows(nodes.join(open_, "node"), percent, F.lit(1)), percent, False)
+        matches = matches.unionByName(_verified(docs, nodes, rest, percent))
     return matches
 
 
@@ -249,28 +288,31 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes, nodes_path = C.stage(_nodes(full))
     sets, sets_path = C.stage(full.select("at", "d1", "d2"))
     C.drop(spark, full_path)
-    C.release(spark)
     matches = similar_lines(docs, nodes, percent)
     late = matches.select(F.col("b").alias("node")).distinct()
-    marked = _flagged(nodes, late).where("free = 0 OR lines > 1")
+    marked = _flagged(nodes.select("node", "d1", "d2", "at", "lines"), late).where("free = 0 OR lines > 1")
     marked = C.cut(marked.select("d1", "d2", F.when(F.col("free") == 1, F.col("at")).alias("keep")))
-    places = sets.select("d1", "d2", "at").where(_maybe(_bitmap(marked, F.col("d1")), F.col("d1")))
+    places = sets.where(_maybe(_bitmap(marked, F.col("d1")), F.col("d1")))
     gone = places.join(marked, ["d1", "d2"]).where("keep IS NULL OR at <> keep").select("at.*")
     gone = C.cut(gone.groupBy(C.DOC_ID, KEY).agg(F.collect_set(NO).alias(GONE)))
     C.drop(spark, sets_path, nodes_path)
-    C.release(spark)
     return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with its removed lines taken out of ``text``, and two further
     columns ``__lines`` and ``__removed`` (numbers of lines)."""
-    gone = removed_lines(docs, percent).select(F.col(C.DOC_ID).alias("__id"), F.col(KEY).alias("__key"), GONE)
-    rows = docs.withColumn(KEY, C.text_hash())
-    changed = _maybe(_bitmap(gone, F.xxhash64("__id", "__key")), F.xxhash64(C.DOC_ID, KEY))
-    same = F.col(C.DOC_ID).eqNullSafe(F.col("__id")) & (F.col(KEY) == F.col("__key"))
+    docs = docs.drop("__lines", "__removed")
+    gone = removed_lines(docs, percent).select(F.col(C.DOC_ID).alias("__gone_id"), F.col(KEY).alias("__gone_key"), F.col(GONE).alias("__gone_no"))
+    names = {c.lower() for c in docs.columns}
+    free = lambda c: next(x for x in (c, *(f"{c}{k}" for k in range(len(names) + 1))) if x.lower() not in names)
+    own, id_, key, no = (free(c) for c in (KEY, "__gone_id", "__gone_key", "__gone_no"))
+    gone = gone.withColumnsRenamed({"__gone_id": id_, "__gone_key": key, "__gone_no": no})
+    rows = docs.withColumn(own, C.text_hash())
+    changed = _maybe(_bitmap(gone, F.xxhash64(id_, key)), F.xxhash64(C.DOC_ID, own))
+    same = F.col(C.DOC_ID).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key))
     lines = F.split(F.col(C.TEXT).cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(GONE), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(no), i)), "\n")
     number = F.coalesce(F.size(lines), F.lit(0)).alias("__lines")
     text = F.col(C.TEXT).cast("string")
 
@@ -279,7 +321,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return part.select(*columns, number, removed.alias("__removed"))
 
     # Texts that lose nothing stay where they are.
-    some = out(rows.where(changed).join(gone, same, "left"), F.when(F.col(GONE).isNull(), text).otherwise(kept), F.coalesce(F.array_size(GONE), F.lit(0)))
+    some = out(rows.where(changed).join(gone, same, "left"), F.when(F.col(no).isNull(), text).otherwise(kept), F.coalesce(F.array_size(no), F.lit(0)))
     return out(rows.where(~changed), text, F.lit(0)).unionByName(some)
 
 

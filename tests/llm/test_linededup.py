@@ -75,3 +75,22 @@ def test_short_lines_at_lower_thresholds(spark, docs):
     for percent, left in ((75, ["a b c", ""]), (80, ["a b c", "a b c d"])):
         found = linededup.dedup_lines(docs(["a b c", "a b c d"]), percent).orderBy("doc_id").collect()
         assert [r.text for r in found] == left
+
+
+def test_heavy_tokens_and_salted_windows(spark, docs, monkeypatch):
+    """Pairs of heavy tokens as keys and salted windows give the same lines."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(14)]
+    rows = [(k, "\n".join(" ".join(rng.sample(words, rng.randint(3, 12))) for _ in range(3))) for k in range(70)]
+    monkeypatch.setattr(linededup, "WINDOW", 2)
+    for heavy in (3, 7):
+        monkeypatch.setattr(linededup, "HEAVY", heavy)
+        assert check(spark, docs(rows), rows)
+
+
+def test_own_output_again(spark, docs):
+    """Its own output, with the columns it adds, is a table like any other."""
+    once = linededup.dedup_lines(docs(["a b c d\na b c d", "x y\nx y z"]))
+    again = linededup.dedup_lines(once)
+    assert again.columns == once.columns
+    assert sorted(r.text for r in again.collect()) == sorted(r.text for r in once.collect())
