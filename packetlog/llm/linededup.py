@@ -23,10 +23,9 @@ line is removed itself plays no part. Everything runs as DataFrame functions.
 4. A line needs only one earlier match to go. So a first round compares each node
    just with three before it that share one of its ``LEADS`` rarest keys: the
    first, the last and the one with most lines. Frequent keys are salted by their
-   counts, so a window holds a bounded number of nodes. A node that finds a likely
-   match there takes part in the full join only as the earlier partner of nodes that
-   don't, so groups of m near copies give about m pairs, not m^2. Nodes whose likely
-   match fails the next step are joined in full.
+   counts, so a window holds a bounded number of nodes. A node that has a match
+   there (verified as in 5) takes part in the full join only as the earlier partner
+   of nodes that have none, so groups of m near copies give about m pairs, not m^2.
 5. Candidates are verified on the words themselves.
 6. A node with an earlier match loses all its lines, others all but the first.
    The removed line numbers are gathered per document and joined to it.
@@ -60,9 +59,8 @@ PERCENT = 80
 BUCKETS = 1 << 20
 BITS = 1 << 23
 CHUNK = 1024
-#: Rarest keys of the first round, and the share of differing bits that makes a
-#: possible match a likely one.
-LEADS, LIKELY = 3, 0.7
+#: Rarest keys of the first round.
+LEADS = 3
 #: Least class of a heavy token, and least percentage that heavy pairs are exact for.
 HEAVY, PAIRED = 12, 67
 #: Nodes that one window of the first round holds at most, as a power of two.
@@ -95,18 +93,15 @@ def _maybe(bitmap: Column, value: Column) -> Column:
     return F.getbit(F.get(bitmap, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
 
-def _split(text: Column) -> Column:
-    """Lower-cased words between white space, and empty strings. The plain split
-    at blanks is much faster than the pattern, which few texts need."""
-    low = F.lower(text)
+def _split(rows: DataFrame, text: Column, to: str) -> DataFrame:
+    """``rows`` with the lower-cased words of ``text``, and empty strings, in column
+    ``to``. The plain split at blanks is faster than the pattern, which few texts
+    need; the lower-cased text is a column of its own, so it is made once."""
+    low = F.col("__low")
     odd = F.contains(low, F.lit(ODD[0]))
     for c in ODD[1:]:
         odd = odd | F.contains(low, F.lit(c))
-    return F.when(odd, F.split(low, WORDS)).otherwise(F.split(low, " "))
-
-
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(_split(line), lambda w: w != ""))
+    return rows.withColumn("__low", F.lower(text)).withColumn(to, F.when(odd, F.split(low, WORDS)).otherwise(F.split(low, " "))).drop("__low")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -119,7 +114,7 @@ def _classes(docs: DataFrame) -> tuple[Column, int]:
     """Class of each bucket's word count (a scalar subquery of BUCKETS small
     numbers), and the least class of heavy tokens."""
     text = F.replace(F.col(C.TEXT).cast("string"), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode_outer(_split(text)).alias("w"))
+    words = _split(docs.select(text.alias("text")), F.col("text"), "w").select(F.explode_outer("w").alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
     counts = C.cut(words.groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
@@ -149,9 +144,8 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
         return F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", own(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
     small = lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")
-    hashes = F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))
-    known = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
-    rows = _lines(docs).where(F.col("line").rlike(r"\S")).select(C.DOC_ID, KEY, NO, known.alias("h")).withColumn("classes", classes)
+    known = F.array_distinct(F.array_remove(F.transform("w", lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    rows = _split(_lines(docs), F.col("line"), "w").select(C.DOC_ID, KEY, NO, known.alias("h")).where(F.size("h") > 0).withColumn("classes", classes)
     rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), F.sort_array(F.transform("h", key)).alias("keys"))
     n = F.size("keys")
     rows = rows.withColumn("length", n - F.ceil(n * percent / 100).cast("int") + 1)
@@ -198,10 +192,9 @@ def _rows(nodes: DataFrame, percent: int, free: Column) -> DataFrame:
         two.select(F.col("pair.token").alias("token"), "node", "p1", "p2", packed(F.col("pair.i"), 1)))
 
 
-def _similar(a: str, b: str, percent: int, share: float = 1.0) -> Column:
+def _similar(a: str, b: str, percent: int) -> Column:
     """Length, positional and bit filter on the columns of two rows (name prefixes
-    ``a`` and ``b``) with one key. A smaller share of the bits that may differ makes
-    a likely match of a possible one."""
+    ``a`` and ``b``) with one key."""
     n = [F.shiftright(x + "pack", 33) for x in (a, b)]
     i = [F.shiftright(x + "pack", 2).bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b)]
     shared = [F.shiftright(x + "pack", 1).bitwiseAND(F.lit(1)) for x in (a, b)]
@@ -210,12 +203,12 @@ def _similar(a: str, b: str, percent: int, share: float = 1.0) -> Column:
     length = F.least(*n) * 100 >= F.greatest(*n) * percent
     position = shared[0] + 1 + F.least(n[0] - i[0] - 1, n[1] - i[1] - 1) >= overlap
     differ = sum(F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in ("p1", "p2"))
-    return (shared[0] == shared[1]) & length & position & (differ <= (both - 2 * overlap) * F.lit(share))
+    return (shared[0] == shared[1]) & length & position & (differ <= both - 2 * overlap)
 
 
 def _leads(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): one likely earlier match ``a`` of each node ``b`` that has one in the
-    first round."""
+    """(a, b): one possible earlier match ``a`` of each node ``b`` that has one in
+    the first round."""
     used = nodes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
     keys = used.select("node", "lines", "n", "p1", "p2", "salts", F.posexplode(F.slice("light", 1, LEADS)).alias("i", "token"))
     salt = F.pmod(F.xxhash64("node"), F.call_function("shiftleft", F.lit(1).cast("long"), F.get("salts", F.col("i")).cast("int")))
@@ -226,7 +219,7 @@ def _leads(nodes: DataFrame, percent: int) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     keys = keys.select("row", F.first("row").over(before).alias("first"), F.lag("row").over(order).alias("last"),
                        F.max(F.struct("lines", "row")).over(before)["row"].alias("most"))
-    found = [F.when(_similar(f"{x}.", "row.", percent, LIKELY), F.col(f"{x}.node")) for x in ("most", "first", "last")]
+    found = [F.when(_similar(f"{x}.", "row.", percent), F.col(f"{x}.node")) for x in ("most", "first", "last")]
     pairs = keys.select(F.col("row.node").alias("b"), F.coalesce(*found).alias("a")).where("a IS NOT NULL")
     return pairs.groupBy("b").agg(F.min("a").alias("a"))
 
@@ -249,35 +242,23 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     ends = ends.withColumnRenamed("at", "place")
     texts = C.cut(lines.join(ends, F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["node"]).select("node", "line"))
     found = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    found = found.select("a", "b", _words(F.col("la")).alias("wa"), _words(F.col("lb")).alias("wb"))
+    found = _split(_split(found, F.col("la"), "wa"), F.col("lb"), "wb")
+    known = lambda c: F.array_distinct(F.array_remove(c, F.lit("")))
+    found = found.select("a", "b", known("wa").alias("wa"), known("wb").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     found = found.select("a", "b", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
     return C.cut(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")))
 
 
-def _joined(earlier: DataFrame, later: DataFrame, percent: int, free: bool) -> DataFrame:
-    """(a, b): possible matches of the rows ``later`` among ``earlier`` ones."""
-    a, b = earlier.alias("a"), later.alias("b")
-    wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _similar("a.", "b.", percent)
-    if free:
-        wanted = wanted & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
-    return C.cut(a.join(b, wanted).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-
-
 def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified pairs of nodes: one or more earlier matches ``a`` of every node
     ``b`` that has any, with their ``jaccard``."""
-    leads = C.cut(_leads(nodes, percent))
-    solved = leads.select(F.col("b").alias("node"))
-    rows = _rows(_flagged(nodes, solved), percent, F.col("free"))
-    full = _joined(rows, rows, percent, True)
-    matches = _verified(docs, nodes, leads.select("a", "b").unionByName(full), percent)
-    # Nodes whose likely match was none, and that no other pair settled.
-    open_ = C.cut(solved.join(matches.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
-    if not open_.isEmpty():
-        rest = _joined(_rows(nodes, percent, F.lit(1)), _rows(nodes.join(open_, "node"), percent, F.lit(1)), percent, False)
-        matches = matches.unionByName(_verified(docs, nodes, rest, percent))
-    return matches
+    easy = _verified(docs, nodes, C.cut(_leads(nodes, percent)), percent)
+    rows = _rows(_flagged(nodes, easy.select(F.col("b").alias("node"))), percent, F.col("free"))
+    a, b = rows.alias("a"), rows.alias("b")
+    wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
+    full = a.join(b, wanted & _similar("a.", "b.", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return easy.unionByName(_verified(docs, nodes, C.cut(full.distinct()), percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
