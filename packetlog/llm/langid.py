@@ -7,10 +7,16 @@ frequent n-grams are compared with each profile by the out-of-place distance:
 the sum of rank differences, with ``depth`` for an n-gram that the profile
 lacks. The smallest distance wins; ties go to the alphabetically first name.
 
-Fitting uses a bounded sample: per language the ``SAMPLE`` documents whose ids
-have the smallest hashes, read by whole text; ``MAX_LANGUAGES`` bounds the
-profiles (about 6 kB each), which are the only broadcast. Prediction is one pass
-over whole texts without a shuffle.
+Fitting uses a bounded sample: per language at most ``SAMPLE`` different documents,
+those with the smallest hashes of id and text, read by whole text. Where to cut the
+hashes follows from counts by their leading bits, in a few rounds, so no task sees a
+language's rows together. ``MAX_LANGUAGES`` bounds the profiles (about 6 kB each),
+which are the only broadcast. Prediction is one pass over whole texts without a
+shuffle.
+
+As a filter (``keep_known``) it rejects documents without a letter, and documents
+whose score lies clearly (by ``MARGIN``) below all that the sample of the predicted
+language reached at like length: those are in no learned language.
 
 The score is the share of the largest possible distance that the document
 saves: 1 for a document ordered like the profile, 0 for one without any n-gram
@@ -40,6 +46,11 @@ SAMPLE = 2000
 MAX_LANGUAGES = 1000
 HELD_OUT = (4, 2)  # modulus and remainder of the fold that teaches nothing
 BITS = 21  # of a code point; three fit one 64-bit code
+#: Bits of a hash that one round of the cut counts, and the share of the sample at
+#: which it stops.
+ROUND, ENOUGH = 8, 0.9
+#: Share of the least score of a language's sample that a document must reach.
+MARGIN = 0.8
 
 
 def letter_table() -> np.ndarray:
@@ -102,20 +113,58 @@ def held_out() -> Column:
     return C.id_remainder(HELD_OUT[0]) == F.lit(HELD_OUT[1])
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> dict[str, list[int]]:
-    """Profiles: language to the codes of its ``depth`` most frequent n-grams."""
-    hashed = F.xxhash64(F.col(C.DOC_ID).cast("string"))
+def _cuts(rows: DataFrame, sample: int) -> dict[str, int]:
+    """For each language the bound up to which lie at most ``sample`` different
+    hashes ``h`` (and nearly as many, if there are): counts by leading bits say in
+    which slice of the hashes the bound lies, the next round cuts that slice."""
+    known = rows.select("lang", F.shiftrightunsigned("h", 1).alias("u")).distinct()
+    names = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    bounds, taken, slices, width = {n: -1 for n in names}, {n: 0 for n in names}, {n: 0 for n in names}, 63
+    while slices and width:
+        above, width = width, max(0, width - ROUND)
+        at = F.create_map(*[x for n, k in slices.items() for x in (F.lit(n), F.lit(k).cast("long"))])
+        inside = known if above == 63 else known.where(F.shiftright("u", above) == F.try_element_at(at, F.col("lang")))
+        counts: dict[str, Counter] = {n: Counter() for n in slices}
+        for r in inside.groupBy("lang", F.shiftright("u", width).alias("k")).count().collect():  # at most 2^ROUND a language
+            if r["lang"] in counts:
+                counts[r["lang"]][r["k"]] = r["count"]
+        left = {}
+        for name, own in counts.items():
+            first, steps = slices[name] << (above - width), 1 << (above - width)
+            for k in range(first, first + steps):
+                if taken[name] + own[k] > sample:
+                    if taken[name] < ENOUGH * sample:
+                        left[name] = k
+                    break
+                taken[name] += own[k]
+                bounds[name] = ((k + 1) << width) - 1
+        slices = left
+    return bounds
+
+
+def _teachers(docs: DataFrame, sample: int) -> DataFrame | None:
+    """The sample: ``lang`` and ``text``, or None if there is no language."""
+    hashed = F.xxhash64(F.col(C.DOC_ID).cast("string"), F.col(C.TEXT).cast("string"))
     rows = docs.where(F.col("lang").isNotNull() & F.col(C.TEXT).isNotNull() & ~held_out()).select(
         F.col("lang").cast("string").alias("lang"), hashed.alias("h"), F.col(C.TEXT).cast("string").alias("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    bounds = (rows.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-              .groupBy("lang").agg(F.max("h").alias("last")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(bounds) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    bounds = _cuts(rows, sample)
     if not bounds:
-        return {}
+        return None
+    last = F.create_map(*[x for n, b in bounds.items() for x in (F.lit(n), F.lit(b).cast("long"))])
+    chosen = rows.where(F.shiftrightunsigned("h", 1) <= F.try_element_at(last, F.col("lang")))
+    return chosen.dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> dict[str, list[int]]:
+    """Profiles: language to the codes of its ``depth`` most frequent n-grams."""
+    taught = _teachers(docs, sample)
+    return _profiles(taught, depth) if taught is not None else {}
+
+
+def _profiles(taught: DataFrame, depth: int) -> dict[str, list[int]]:
     letters = letter_table()
-    last = F.create_map(*[F.lit(x) for b in bounds for x in (b["lang"], b["last"])])
 
     def count(batches):
         grams = Grams(letters)
@@ -129,7 +178,6 @@ def fit(docs: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> dict[str,
                     [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())],
                     names=["lang", "code", "n"])
 
-    taught = rows.where(F.col("h") <= F.try_element_at(last, F.col("lang"))).select("lang", "text")
     sums = taught.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).collect()
@@ -162,23 +210,58 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], depth: int = DEPTH)
     return rows.mapInArrow(classify, f"doc_id {kind}, text_key long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, accept: float = 0.0) -> DataFrame:
-    """``docs`` without the documents that language ID rejects: those of no
-    language (``und``) or with a score below ``accept``. Fitted on ``docs``. Scores
-    depend on the size of the alphabet and the length of the text, short texts of
-    a known language with many letters score low, so no limit suits all."""
-    shared = docs.sparkSession.sparkContext.broadcast((letter_table(), fit(docs)))
+def _length(grams: np.ndarray) -> int:
+    """Length class of a text by the number of its different n-grams."""
+    return int(len(grams)).bit_length()
+
+
+def _least(taught: DataFrame, profiles: dict[str, list[int]], depth: int) -> dict[tuple[str, int], float]:
+    """The least score of each language's sample, by length class."""
+    shared = taught.sparkSession.sparkContext.broadcast((letter_table(), profiles))
+
+    def scores(batches):
+        letters, known = shared.value
+        grams, model = Grams(letters), Profiles(known, depth)
+        for batch in batches:
+            found: dict[tuple[str, int], float] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                top = grams.top(text, depth)
+                name, score = model.best(top) if len(top) else (UNKNOWN, 0.0)
+                if name == lang:
+                    at = (name, _length(top))
+                    found[at] = min(score, found.get(at, 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.float64())],
+                                             names=["lang", "length", "score"])
+
+    rows = taught.mapInArrow(scores, "lang string, length int, score double").groupBy("lang", "length").agg(F.min("score").alias("score"))
+    return {(r["lang"], r["length"]): r["score"] for r in rows.collect()}  # a few classes a language
+
+
+def keep_known(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """``docs`` without the documents that language ID rejects: those without a
+    letter, and those whose score is below ``margin`` times the least score that the
+    predicted language's sample has in their length class. Classes that the sample
+    lacks reject nothing. Fitted on ``docs``."""
+    taught = _teachers(docs, SAMPLE)
+    profiles = _profiles(taught, DEPTH) if taught is not None else {}
+    least = _least(taught, profiles, DEPTH) if profiles else {}
+    shared = docs.sparkSession.sparkContext.broadcast((letter_table(), profiles, least))
     plain = [f.name for f in docs.schema.fields]
 
     def known(batches):
-        letters, profiles = shared.value
-        grams, model = Grams(letters), Profiles(profiles, DEPTH)
+        letters, own, limits = shared.value
+        grams, model = Grams(letters), Profiles(own, DEPTH)
+
+        def passes(text):
+            top = grams.top(text, DEPTH) if model.names else ()
+            if not len(top):
+                return False
+            name, score = model.best(top)
+            return score >= margin * limits.get((name, _length(top)), 0.0)
+
         for batch in batches:
-            mask = []
-            for text in batch.column(len(plain)).to_pylist():
-                top = grams.top(text, DEPTH) if model.names else ()
-                mask.append(bool(len(top)) and model.best(top)[1] >= accept)
-            yield batch.slice(0).filter(pa.array(mask, pa.bool_())).select(range(len(plain)))
+            mask = pa.array([passes(t) for t in batch.column(len(plain)).to_pylist()], pa.bool_())
+            yield batch.filter(mask).select(range(len(plain)))
 
     text = F.coalesce(F.col(C.TEXT).cast("string"), F.lit(""))
     return docs.select(*docs.columns, text.alias("__text")).mapInArrow(known, docs.schema)

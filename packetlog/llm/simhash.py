@@ -21,7 +21,8 @@ codeword is within 3 bits of z, so within 4 of both. With at most 4 wrong bits:
 So the keys miss no link; every candidate is verified by its bit distance.
 Equal fingerprints are folded into one node first. Inside a group of equal keys
 a breadth-first search emits a spanning forest of the links, never all pairs; a
-group above ``block`` members is dealt into pairs of blocks over many tasks.
+group above ``block`` members is not held by its task but passed on as it streams
+by, and dealt into pairs of blocks over many tasks.
 
 Edge cases: null text is the empty text; all texts without words share
 fingerprint zero and are linked like any other. A null ``doc_id`` takes part;
@@ -206,17 +207,29 @@ def link_sorted(batches, max_bits: int, block: int):
             yield emit(np.concatenate(edges[0]), np.concatenate(edges[1]))
 
     held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows may go on
+    large = None  # the last key, once it is too large: its rows pass by unheld
     for batch in batches:
         keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if large is not None and len(keys):
+            n = int(np.searchsorted(keys, large, side="right"))
+            if n:
+                yield emit(fps[:n], None, keys[:n])
+            keys, fps = keys[n:], fps[n:]
         if not len(keys):
             continue
+        large = None
         if keys[0] == keys[-1] and held and held[0][0][-1] == keys[0]:
             held.append((keys, fps))
-            continue
-        keys, fps = (np.concatenate(x) for x in zip(*held, (keys, fps)))
-        stop = int(np.searchsorted(keys, keys[-1]))
-        yield from groups(keys[:stop], fps[:stop])
-        held = [(keys[stop:], fps[stop:])]
+        else:
+            keys, fps = (np.concatenate(x) for x in zip(*held, (keys, fps)))
+            stop = int(np.searchsorted(keys, keys[-1]))
+            yield from groups(keys[:stop], fps[:stop])
+            held = [(keys[stop:], fps[stop:])]
+        if sum(len(k) for k, _ in held) > block:
+            large = int(held[0][0][0])
+            for k, f in held:
+                yield emit(f, None, k)
+            held = []
     if held:
         yield from groups(*(np.concatenate(x) for x in zip(*held)))
 
@@ -239,7 +252,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLO
     def link(batches):
         yield from link_sorted(batches, max_bits, block)
 
-    found = (fps.select("fp").mapInArrow(key_rows, "key long, fp long")
+    # Each fingerprint becomes some dozens of rows, so they are spread first.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (fps.select("fp").repartition(parts, "fp").mapInArrow(key_rows, "key long, fp long")
              .repartition("key").sortWithinPartitions("key").mapInArrow(link, "key long, a long, b long"))
     found = C.cut(found)
     links = found.where("key IS NULL").select("a", "b")

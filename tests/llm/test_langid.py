@@ -80,3 +80,21 @@ def test_short_texts_of_a_large_alphabet_are_kept(spark):
 
 def corpus_with_ids(first):
     return [(first + k, text, lang) for k, text, lang in corpus()]
+
+
+def test_texts_of_an_unknown_language_are_rejected(spark):
+    rng = random.Random(8)
+    strange = ["zzyqx", "qwyzj", "xxqzv", "jjwqy"]
+    rows = [(5000 + k, " ".join(rng.choice(strange) for _ in range(20)), None) for k in range(30)]
+    docs = table(spark, [*corpus(), *rows])
+    assert {r.doc_id for r in langid.keep_known(docs).collect()} == {k for k, _, _ in corpus()}
+
+
+def test_sample_is_bounded_and_nearly_full(spark):
+    """Copies count once; null ids with different texts are different documents."""
+    rows = [(k, f"text {k}", "aa") for k in range(3000)] + [(7, "text 7", "aa")] * 500 + [(None, f"more {k}", "bb") for k in range(900)] + [(9, "x", "cc")] * 700
+    docs = table(spark, rows).where(~langid.held_out())
+    for sample in (10, 100, 400):
+        n = {r["lang"]: r["count"] for r in langid._teachers(docs, sample).groupBy("lang").count().collect()}
+        assert n["cc"] == 1 and all(0.8 * sample <= n[k] <= sample for k in ("aa", "bb"))
+    assert langid._teachers(docs, 5000).count() == docs.select("doc_id", "text").distinct().count()

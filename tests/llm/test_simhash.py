@@ -108,3 +108,18 @@ def test_operator(spark, docs, empty):
     kept = simhash.drop_near_duplicates(table)
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
     assert simhash.near_duplicates(empty).count() == 0 == simhash.drop_near_duplicates(empty).count()
+
+
+def test_large_keys_stream_past(monkeypatch):
+    """Members of a key above the block size come out as members, whatever the
+    batches, and the other keys' links stay the same."""
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(3)
+    rows = sorted((key, rng.getrandbits(40)) for key in (1, 2, 3, 4) for _ in range({2: 90, 4: 40}.get(key, 5)))
+    for size in (1, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k:k + size]]), pa.array([r[1] for r in rows[k:k + size]])], names=["key", "fp"])
+                   for k in range(0, len(rows), size)]
+        out = [tuple(r.values()) for b in simhash.link_sorted(iter(batches), 4, 30) for r in b.to_pylist()]
+        assert sorted((k, a) for k, a, _ in out if k is not None) == sorted(r for r in rows if r[0] in (2, 4))
+        assert all(k is None and np.bitwise_count(np.int64(a) ^ np.int64(b)) <= 4 for k, a, b in out if k is None)
