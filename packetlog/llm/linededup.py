@@ -21,9 +21,11 @@ line is removed itself plays no part. Everything runs as DataFrame functions.
    the token hashes in 128 bits: each token that two lines don't share changes at
    most one), so a join emits hardly more than the true matches.
 4. A line needs only one earlier match to go. So a first round compares each node
-   just with three before it that share one of its ``LEADS`` rarest keys: the
-   first, the last and the one with most lines. Frequent keys are salted by their
-   counts, so a window holds a bounded number of nodes. A node that has a match
+   just with three before it that share one of four pairs of its tokens: the first,
+   the last and the one with most lines. The pairs are those with the least and the
+   greatest hashes, in two orders, which similar sets mostly share whatever words
+   were changed. A pair's nodes are at most as many as its rarer token's count says;
+   above ``2^WINDOW`` they are salted, so a window holds a bounded number of nodes. A node that has a match
    there (verified as in 5) takes part in the full join only as the earlier partner
    of nodes that have none, so groups of m near copies give about m pairs, not m^2.
 5. Candidates are verified on the words themselves.
@@ -56,16 +58,18 @@ from pyspark.sql import functions as F
 from packetlog.llm import common as C
 
 PERCENT = 80
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 BITS = 1 << 23
 CHUNK = 1024
-#: Rarest keys of the first round.
-LEADS = 3
+#: The second order of the first round: hashes with these bits flipped.
+FLIPPED = 0x5555555555555555
 #: Least class of a heavy token, and least percentage that heavy pairs are exact for.
 HEAVY, PAIRED = 12, 67
 #: Nodes that one window of the first round holds at most, as a power of two.
-WINDOW = 15
+WINDOW = 17
 WORDS, ODD = r"\s+", ("\t", "\x0b", "\f", "\r")
+#: The byte of class 0.
+ZERO = 48
 #: Names of helper columns, unlikely to clash with a table's own.
 KEY, NO, GONE = "__text_key", "__line_no", "__gone"
 
@@ -111,15 +115,17 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[Column, int]:
-    """Class of each bucket's word count (a scalar subquery of BUCKETS small
-    numbers), and the least class of heavy tokens."""
+    """Class of each bucket's word count, as a literal of BUCKETS bytes (as a column
+    of its own it would be copied with every row), and the least class of heavy
+    tokens."""
     text = F.replace(F.col(C.TEXT).cast("string"), F.lit("\n"), F.lit(" "))
     words = _split(docs.select(text.alias("text")), F.col("text"), "w").select(F.explode_outer("w").alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
     counts = C.cut(words.groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
     heavy = max(HEAVY, math.floor(math.log2(max(1, mean))) + 3)
-    return _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).scalar(), heavy
+    table = _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).first()["v"]
+    return F.lit(bytes(ZERO + c for c in table)), heavy
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
@@ -127,15 +133,19 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     token set, the set's size ``n``, the parities ``p1`` and ``p2`` (64 bits each),
     and its join keys, rare ones first: ``light`` (32-bit token hashes, the first
     one at position ``skip``), ``pairs`` of heavy tokens (hash, position of the
-    later one), and ``salts`` (for each of the first keys, the binary logarithm of
-    how many windows its nodes are dealt to)."""
+    later one). ``leads``: the pairs of the first round, each with the binary
+    logarithm of how many windows its nodes are dealt to."""
     classes, heavy = _classes(docs)
     if percent < PAIRED:
         heavy = 64
     first = lambda c: F.lit(min(c << 56, (1 << 63) - 1)).cast("long")  # noqa: E731  least key of a class
 
+    def class_of(h: Column) -> Column:
+        letter = F.substring(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
+        return (F.ascii(letter.cast("string")) - ZERO).cast("long")
+
     def key(h: Column) -> Column:
-        return F.shiftleft(F.get(F.col("classes"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(class_of(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     def parity(half: int) -> Column:
         """Half of the 128 bits: those that an odd number of tokens fall on. Seven
@@ -145,8 +155,21 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
 
     small = lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")
     known = F.array_distinct(F.array_remove(F.transform("w", lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    rows = _split(_lines(docs), F.col("line"), "w").select(C.DOC_ID, KEY, NO, known.alias("h")).where(F.size("h") > 0).withColumn("classes", classes)
-    rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), F.sort_array(F.transform("h", key)).alias("keys"))
+    rows = _split(_lines(docs), F.col("line"), "w").select(C.DOC_ID, KEY, NO, known.alias("h")).where(F.size("h") > 0)
+    rows = rows.withColumns({"up": F.sort_array("h"), "across": F.sort_array(F.transform("h", lambda x: x.bitwiseXOR(F.lit(FLIPPED))))})
+
+    ends = lambda order, back: [F.try_element_at(order, F.lit(k)).bitwiseXOR(F.lit(back)) for k in (1, 2, -1, -2)]
+    rows = rows.select(C.DOC_ID, KEY, NO, "h", F.array(*ends("up", 0), *ends("across", FLIPPED)).alias("ends"))
+    rows = rows.withColumn("kinds", F.transform("ends", class_of))
+
+    def lead(k: int) -> Column:
+        most = F.least(F.get("kinds", F.lit(k)), F.get("kinds", F.lit(k + 1)))
+        token = F.xxhash64(F.lit(k), F.get("ends", F.lit(k)), F.get("ends", F.lit(k + 1)))
+        return F.struct(token.alias("token"), F.greatest(most - WINDOW, F.lit(0)).cast("tinyint").alias("salt"))
+
+    leads = F.array(*[lead(k) for k in (0, 2, 4, 6)])
+    keys = F.sort_array(F.transform("h", key))
+    rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), keys.alias("keys"), leads.alias("leads"))
     n = F.size("keys")
     rows = rows.withColumn("length", n - F.ceil(n * percent / 100).cast("int") + 1)
     prefix = F.slice("keys", F.lit(1), F.col("length"))
@@ -157,14 +180,13 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     later = lambda i: F.transform(F.sequence(i + 1, F.size(longer) - 1), lambda j: F.struct(
         small(F.xxhash64(F.get("keys", i), F.get("keys", j))).alias("token"), j.alias("i")))
     pairs = F.when(F.element_at(longer, -1) >= first(heavy), F.when(F.size(longer) - behind >= 2, F.flatten(F.transform(F.sequence(behind, F.size(longer) - 2), later))))
-    hot = F.transform(F.slice("prefix", 1, LEADS), lambda k: F.greatest(F.shiftrightunsigned(k, 56) - max(WINDOW, heavy if heavy < 64 else 0), F.lit(0)).cast("tinyint"))
     # The class of a token that occurs once is 0: such tokens stand in front.
     skip = F.size(F.filter(prefix, lambda k: k < first(1)))
     return rows.select("at", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), n.alias("n"), parity(0).alias("p1"), parity(1).alias("p2"),
-                       skip.alias("skip"), F.transform("prefix", small).alias("light"), pairs.alias("pairs"), hot.alias("salts"))
+                       skip.alias("skip"), F.transform("prefix", small).alias("light"), pairs.alias("pairs"), "leads")
 
 
-FACTS = ("n", "p1", "p2", "skip", "light", "pairs", "salts")
+FACTS = ("n", "p1", "p2", "skip", "light", "pairs", "leads")
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
@@ -210,9 +232,9 @@ def _leads(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): one possible earlier match ``a`` of each node ``b`` that has one in
     the first round."""
     used = nodes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    keys = used.select("node", "lines", "n", "p1", "p2", "salts", F.posexplode(F.slice("light", 1, LEADS)).alias("i", "token"))
-    salt = F.pmod(F.xxhash64("node"), F.call_function("shiftleft", F.lit(1).cast("long"), F.get("salts", F.col("i")).cast("int")))
-    # Any position: the filter by positions does not hold for a chance key.
+    keys = used.select("node", "lines", "n", "p1", "p2", F.explode("leads").alias("lead")).withColumn("token", F.col("lead.token"))
+    salt = F.pmod(F.xxhash64("node"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lead.salt").cast("int")))
+    # Position 0: the filter by positions holds for the first shared token only.
     row = F.struct("node", "p1", "p2", F.shiftleft(F.col("n").cast("long"), 33).alias("pack")).alias("row")
     keys = keys.select("token", salt.alias("salt"), "node", "lines", row)
     order = Window.partitionBy("token", "salt").orderBy("node")
