@@ -65,11 +65,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over and cut: it does
-    so once their plans are garbage, which a long job may not collect in time.
-    Plans go in one round and what only they held in the next; the cleaner works
-    in the background, so each round leaves it a moment."""
-    for _ in range(2):
+    """Let Spark delete the shuffle files of finished steps now. It does so once their
+    plans are garbage, and a driver with a large heap may not collect that for hours,
+    while the executors' disks fill; only operators with large shuffles ask for it."""
+    for _ in range(2):  # plans go first, then what only they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)

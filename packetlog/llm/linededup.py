@@ -21,10 +21,10 @@ line is removed itself plays no part. Everything runs as DataFrame functions.
    the token hashes in 128 bits: each token that two lines don't share changes at
    most one), so a join emits hardly more than the true matches.
 4. A line needs only one earlier match to go. So a first round compares each node
-   just with three before it that share one of four pairs of its tokens: the first,
+   just with three before it that share one of three pairs of its tokens: the first,
    the last and the one with most lines. The pairs are those with the least and the
-   greatest hashes, in two orders, which similar sets mostly share whatever words
-   were changed. A pair's nodes are at most as many as its rarer token's count says;
+   greatest hashes, and the least in a second order, which similar sets mostly share
+   whatever words were changed. A pair's nodes are at most as many as its rarer token's count says;
    above ``2^WINDOW`` they are salted, so a window holds a bounded number of nodes. A node that has a match
    there (verified as in 5) takes part in the full join only as the earlier partner
    of nodes that have none, so groups of m near copies give about m pairs, not m^2.
@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumns({"up": F.sort_array("h"), "across": F.sort_array(F.transform("h", lambda x: x.bitwiseXOR(F.lit(FLIPPED))))})
 
     ends = lambda order, back: [F.try_element_at(order, F.lit(k)).bitwiseXOR(F.lit(back)) for k in (1, 2, -1, -2)]
-    rows = rows.select(C.DOC_ID, KEY, NO, "h", F.array(*ends("up", 0), *ends("across", FLIPPED)).alias("ends"))
+    rows = rows.select(C.DOC_ID, KEY, NO, "h", F.array(*ends("up", 0), *ends("across", FLIPPED)[:2]).alias("ends"))
     rows = rows.withColumn("kinds", F.transform("ends", class_of))
 
     def lead(k: int) -> Column:
@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
         token = F.xxhash64(F.lit(k), F.get("ends", F.lit(k)), F.get("ends", F.lit(k + 1)))
         return F.struct(token.alias("token"), F.greatest(most - WINDOW, F.lit(0)).cast("tinyint").alias("salt"))
 
-    leads = F.array(*[lead(k) for k in (0, 2, 4, 6)])
+    leads = F.array(*[lead(k) for k in (0, 2, 4)])
     keys = F.sort_array(F.transform("h", key))
     rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), keys.alias("keys"), leads.alias("leads"))
     n = F.size("keys")
@@ -276,6 +276,7 @@ def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     """Verified pairs of nodes: one or more earlier matches ``a`` of every node
     ``b`` that has any, with their ``jaccard``."""
     easy = _verified(docs, nodes, C.cut(_leads(nodes, percent)), percent)
+    C.release(docs.sparkSession)
     rows = _rows(_flagged(nodes, easy.select(F.col("b").alias("node"))), percent, F.col("free"))
     a, b = rows.alias("a"), rows.alias("b")
     wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
@@ -291,6 +292,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes, nodes_path = C.stage(_nodes(full))
     sets, sets_path = C.stage(full.select("at", "d1", "d2"))
     C.drop(spark, full_path)
+    C.release(spark)
     matches = similar_lines(docs, nodes, percent)
     late = matches.select(F.col("b").alias("node")).distinct()
     marked = _flagged(nodes.select("node", "d1", "d2", "at", "lines"), late).where("free = 0 OR lines > 1")
