@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.fields import shown_interface
 from ..functions.ipaddr import long_to_ip
 
+# Limits up to this are a bounded top-n of one task; ranges of one round of ``nth_id``.
+SORTED_LIMIT, ID_RANGES = 10_000, 4096
+
 FEED_COLUMNS = ["packet_no", "iface", "src_ip", "src_prt", "dst_ip", "dst_prt", "proto", "action"]
 
 
@@ -22,17 +25,42 @@ def feed_filter(packets: DataFrame, no_lo: bool = False, no_accept: bool = False
     return out
 
 
+def nth_id(packets: DataFrame, n: int) -> int | None:
+    """The n-th smallest id (ids are unique), or None if there are fewer: counts
+    per id range say which range holds it, the next round divides that range."""
+    ends = packets.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if ends["n"] < n:
+        return None
+    low, high = int(ends["a"]), int(ends["b"])
+    while low < high:
+        width = -(-(high - low + 1) // ID_RANGES)
+        inside = packets.where(F.col("id").between(low, high))
+        counts = inside.groupBy(F.floor((F.col("id") - low) / F.lit(width)).alias("k")).count().orderBy("k").collect()  # at most ID_RANGES rows
+        for row in counts:
+            if row["count"] >= n:
+                low, high = low + row["k"] * width, min(high, low + (row["k"] + 1) * width - 1)
+                break
+            n -= row["count"]
+    return low
+
+
 def scan_feed(packets: DataFrame, no_lo: bool = False, no_accept: bool = False,
               limit: int | None = None, numeric_ips: bool = False, ordered: bool = False) -> DataFrame:
     """Feed rows of a packet DataFrame (parsed log or stored table).
 
     ``packet_no`` is the packet's id: it counts every marker line before the
     display filters, so filtered feeds show gaps, as the original's counter.
-    ``limit`` keeps the first packets in file order. ``ordered`` sorts the
-    output by ``packet_no`` (a distributed range sort).
+    ``limit`` keeps the first packets in file order; a large one by the id of the
+    last packet wanted, so no task holds them together (their order is then that
+    of the table). ``ordered`` sorts the output by ``packet_no`` (a distributed
+    range sort).
     """
     out = feed_filter(packets, no_lo, no_accept)
-    if limit is not None:
+    if limit is not None and int(limit) > SORTED_LIMIT:
+        last = nth_id(out, int(limit))
+        out = out if last is None else out.where(F.col("id") <= last)
+        out = out.orderBy("id") if ordered else out
+    elif limit is not None:
         out = out.orderBy("id").limit(int(limit))
     elif ordered:
         out = out.orderBy("id")

@@ -9,6 +9,7 @@ size-checked broadcast or a skew-safe shuffle for whole feeds.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 # Addresses whose packets are joined through a broadcast of their names instead
 # of the shuffle: every other address holds at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
+# Lookups of one task, unless more tasks than allowed would be needed.
+LOOKUPS = 32
 # Number of shuffle keys a hot (or NULL) address is spread over.
 HOT_SPREAD = 4096
 
@@ -153,29 +156,45 @@ def hosts_to_resolve(logs: DataFrame, cache: DataFrame, now=None,
 
     ``distinct`` combines map-side, so a hot address costs nothing; both sides
     of the anti join are unique per address."""
-    ips = (logs.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
-               .where(F.col("ip").isNotNull()).distinct())
+    return unknown_addresses(logs.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")), cache, now, max_age_hours)
+
+
+def unknown_addresses(addresses: DataFrame, cache: DataFrame, now=None,
+                      max_age_hours: int = READ_MAX_AGE_HOURS) -> DataFrame:
+    """The distinct non-null ``ip`` of ``addresses`` with no fresh host entry."""
+    ips = addresses.select("ip").where(F.col("ip").isNotNull()).distinct()
     return ips.join(fresh_hosts(cache, now, max_age_hours).select("ip"), "ip", "left_anti")
 
 
 def resolve_hosts(missing: DataFrame, resolver: Callable[[list[str]], list[str | None]], now=None,
-                  parallel: int = 64) -> DataFrame:
+                  parallel: int = 64, retries: int = 2) -> DataFrame:
     """Name addresses with a caller-supplied resolver, in Arrow batches on the
     executors. ``resolver`` maps a list of dotted addresses to host names
-    (None = failed). Lookups wait on the network, so they run in ``parallel``
-    tasks whatever the few bytes they hold. A failed lookup becomes a negative entry: host = the
-    dotted address, as the original stored it. Result: ``ip, host, ttl``."""
+    (None = failed). Lookups wait on the network, so they are spread over tasks of
+    ``LOOKUPS`` addresses, up to ``parallel`` tasks at once. A failed lookup becomes a
+    negative entry: host = the dotted address, as the original stored it. A resolver
+    that raises is asked again ``retries`` times; after that the batch gives no
+    entries, so the next run asks once more. Result: ``ip, host, ttl``."""
     import pandas as pd
 
     now = now if now is not None else utc_now()
 
+    def ask(addresses):
+        for _ in range(retries + 1):
+            with contextlib.suppress(Exception):
+                return resolver(addresses)
+        return None
+
     def run(batches):
         for pdf in batches:
-            names = resolver(pdf["ip_text"].tolist())
-            host = pd.Series(names, index=pdf.index, dtype=object)
-            yield pd.DataFrame({"ip": pdf["ip"], "host": host.where(host.notna(), pdf["ip_text"])})
-
-    texts = missing.repartition(parallel).select("ip", long_to_ip("ip").alias("ip_text"))
+            names = ask(pdf["ip_text"].tolist())
+            if names is not None:
+                host = pd.Series(names, index=pdf.index, dtype=object)
+                yield pd.DataFrame({"ip": pdf["ip"], "host": host.where(host.notna(), pdf["ip_text"])})
+
+    missing = missing.select("ip").checkpoint(eager=True)
+    tasks = max(1, min(parallel, -(-missing.count() // LOOKUPS)))
+    texts = missing.repartition(tasks).select("ip", long_to_ip("ip").alias("ip_text"))
     named = texts.mapInPandas(run, "ip long, host string").withColumn("ttl", ntz_literal(now))
     # Written once: every address is looked up exactly once even though the
     # upsert reads the result twice (and a retried task would repeat lookups).

@@ -1,6 +1,6 @@
 """Dense file-order sequence numbers without a global sort of the rows.
 
-Rows carry (file, split, ``monotonically_increasing_id`` taken in the scan).
+Rows carry (list entry, file, split, ``monotonically_increasing_id`` taken in the scan).
 One aggregate counts rows per split and records each split's smallest id; a
 running sum over the splits (one row per split) gives each split's offset,
 which is materialised and joined back. Up to SINGLE_TASK_SPLITS splits the
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.syslog import ORDER_COLUMNS
+from ..sources.syslog import ORDER_COLUMNS, file_order
 
 # A split table larger than this is joined by shuffle instead of broadcast
 # (at 128 MiB splits this is ~250 TiB of text).
@@ -36,21 +36,21 @@ def split_offsets(splits: DataFrame, order_cols: list[str], n: int, path: str |
     """``_off`` = number of rows in all earlier splits, for a materialised
     split table of ``n`` rows with ``_n`` rows per split. Deterministic: the
     input is fixed and the order columns are unique."""
-    before = Window.unboundedPreceding
+    before, order = Window.unboundedPreceding, file_order(order_cols)
     if n <= SINGLE_TASK_SPLITS:
-        w = Window.orderBy(*order_cols).rowsBetween(before, -1)
+        w = Window.orderBy(*order).rowsBetween(before, -1)
         return splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     slices = -(-n // SINGLE_TASK_SPLITS)
     # Range partitions are contiguous and ordered; materialising fixes which
     # split falls into which slice.
-    ranged = _materialise(splits.repartitionByRange(slices, *order_cols)
+    ranged = _materialise(splits.repartitionByRange(slices, *order)
                                 .withColumn("_slice", F.spark_partition_id()),
                           path and path + "/slices")
     totals = ranged.groupBy("_slice").agg(F.sum("_n").alias("_sn"))            # one row per slice
     slice_off = totals.select("_slice", F.coalesce(F.sum("_sn").over(
         Window.orderBy("_slice").rowsBetween(before, -1)), F.lit(0)).alias("_soff"))
     local = ranged.withColumn("_loff", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_slice").orderBy(*order_cols).rowsBetween(before, -1)), F.lit(0)))
+        Window.partitionBy("_slice").orderBy(*order).rowsBetween(before, -1)), F.lit(0)))
     return (local.join(F.broadcast(slice_off), "_slice")
                  .withColumn("_off", F.col("_soff") + F.col("_loff"))
                  .drop("_slice", "_soff", "_loff"))

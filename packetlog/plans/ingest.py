@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.ids import number_rows
 from ..operators.parse import parse_lines, packets, rejects
 from ..session import jit_sized_codegen, scratch_path
-from ..sources.syslog import marker_lines, MARKER
+from ..sources.syslog import marker_lines, MARKER, ORDER_COLUMNS
 
 
 def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False) -> DataFrame:
@@ -23,7 +23,7 @@ def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False
     how a later job would split the files (split sizes follow the number of
     cores, which changes when executors come and go)."""
     marked = marker_lines(lines).withColumn("_seq", F.monotonically_increasing_id())
-    keep = ("file_path", "file_block_start", "_seq", "value")
+    keep = (*ORDER_COLUMNS, "_seq", "value")
     if isinstance(year, str) and year == "auto":
         keep += ("file_modification_time",)
     parsed = parse_lines(marked, year=year, keep=keep)
@@ -40,8 +40,8 @@ def number_staged(staged: DataFrame, base=0, with_total: bool = False, offsets_p
     """Ids for a staged table (its position columns, no second text scan)."""
     out = number_rows(staged, "id", base=base, seq_col="_seq", with_total=with_total, offsets_path=offsets_path)
     if with_total:
-        return out[0].drop("file_path", "file_block_start"), out[1]
-    return out.drop("file_path", "file_block_start")
+        return out[0].drop(*ORDER_COLUMNS), out[1]
+    return out.drop(*ORDER_COLUMNS)
 
 
 def parse_log(lines: DataFrame, year=None, base=0, with_total: bool = False,

@@ -14,9 +14,12 @@ from ..schema import DEFAULT_DNS_TABLE, DEFAULT_LOGS_TABLE, DNS_SCHEMA, LOGS_COL
 from ..sources.syslog import read_syslog
 import uuid
 
+from ..functions.eventtime import utc_now
+from ..operators.hosts import PRUNE_MAX_AGE_HOURS, prune_hosts, upsert_hosts
 from ..session import delete_path, scratch_path
 from ..operators.parse import rejects
 from .ingest import number_staged, stage_lines
+from .versions import KEPT_VERSIONS, VersionedTable
 
 
 def _quote(name: str) -> str:
@@ -69,21 +72,30 @@ def import_log(spark: SparkSession, paths, name: str = DEFAULT_LOGS_TABLE, clear
     ``clear`` replaces the table's rows: the new files are committed first and
     the old ones deleted after that, so a write that fails leaves the old rows.
     (A driver lost between the two steps leaves both; importing again mends
-    it.) Returns the one-row import summary.
+    it. ``import_packets`` does it in one commit, and lets imports run at the same
+    time.) Returns the one-row import summary.
     """
     lines = read_syslog(spark, paths)
     base = 0 if clear else _next_base(spark.table(name))
     with _staged(spark, lines, year, base) as staged:
         old = spark.table(name).inputFiles() if clear else []
         staged.rows.write.insertInto(name)
-        for path in old:
-            delete_path(spark, path)
+        _delete_files(spark, old)
         spark.catalog.refreshTable(name)
         if rejects_path:
             staged.write_rejects(rejects_path)
         return staged.summary()
 
 
+def _delete_files(spark: SparkSession, files: list[str]) -> None:
+    """Delete input files by the names that Spark reports: encoded URIs."""
+    jvm = spark.sparkContext._jvm
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False):
+            raise OSError(f"could not delete {file}: the table holds old and new rows")
+
+
 class _staged:
     """Packet rows of ``lines`` through a staging table in the shared scratch
     folder: the text is scanned and parsed once; ids come from the staged
@@ -97,8 +109,12 @@ class _staged:
         # Lines read are counted during the staging scan itself (no extra pass).
         self.observation = Observation("import")
         observed = self.lines.observe(self.observation, F.count(F.lit(1)).alias("lines_read"))
-        self.staged = stage_lines(observed, self.path + "/rows", self.year)
-        self.numbered = number_staged(self.staged, self.base, offsets_path=self.path + "/offsets")
+        try:
+            self.staged = stage_lines(observed, self.path + "/rows", self.year)
+            self.numbered = number_staged(self.staged, self.base, offsets_path=self.path + "/offsets")
+        except Exception:
+            delete_path(self.spark, self.path)
+            raise
         self.rows = self.numbered.where("ok").select(*LOGS_COLUMNS)
         return self
 
@@ -131,8 +147,7 @@ def import_log_to_path(spark: SparkSession, lines: DataFrame, path: str, clear:
     old = spark.read.schema(LOGS_SCHEMA).parquet(path).inputFiles() if clear and path_exists(spark, path) else []
     with _staged(spark, lines, year, base) as staged:
         staged.rows.write.mode("append").parquet(path)
-        for file in old:
-            delete_path(spark, file)
+        _delete_files(spark, old)
         if rejects_path:
             staged.write_rejects(rejects_path)
         return staged.summary()
@@ -143,53 +158,71 @@ def empty_table_at(spark: SparkSession, path: str, schema=LOGS_SCHEMA) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-# Host table kept as numbered snapshots under one folder: a change (upsert,
-# prune, clear) is written as the next snapshot and readers take the newest
-# committed one, so nothing is ever overwritten while it is being read.
+# Packet table and host table as versions behind a commit log: an import, a clear, an
+# upsert or a prune is one commit, whatever other writers do (see ``versions``).
 
-KEPT_SNAPSHOTS = 2
+KEPT_SNAPSHOTS = KEPT_VERSIONS
 
 
-def _snapshots(spark: SparkSession, root: str) -> dict[int, bool]:
-    """Snapshot numbers in order, and whether each is committed."""
-    jvm = spark.sparkContext._jvm
-    hroot = jvm.org.apache.hadoop.fs.Path(root)
-    fs = hroot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hroot):
-        return {}
-    out = {}
-    for st in fs.listStatus(hroot):
-        name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit():
-            out[int(name[2:])] = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-    return dict(sorted(out.items()))
+def packet_table(spark: SparkSession, root: str) -> VersionedTable:
+    return VersionedTable(spark, root, LOGS_SCHEMA)
+
+
+def read_packets(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of the packet table at ``root``."""
+    return packet_table(spark, root).read()
+
+
+def import_packets(spark: SparkSession, lines: DataFrame, root: str, clear: bool = False, year=None,
+                   rejects_path: str | None = None) -> DataFrame:
+    """Import ``lines`` (from ``read_syslog``) into the versioned packet table at
+    ``root``. Ids follow those given out before, from a range that is reserved
+    first, so imports may run at the same time. ``clear`` puts the new rows in place
+    of all others in one commit: readers see the old rows or the new ones, and a
+    failed import changes nothing. Returns the import summary."""
+    table = packet_table(spark, root)
+    with _staged(spark, lines, year, 0) as staged:
+        n = staged.staged.count()
+        (table.renew if clear else table.append)(staged.rows, n)
+        if rejects_path:
+            staged.write_rejects(rejects_path)
+        return staged.summary()
+
+
+def clear_packets(spark: SparkSession, root: str) -> None:
+    packet_table(spark, root).clear()
+
+
+def host_table(spark: SparkSession, root: str) -> VersionedTable:
+    return VersionedTable(spark, root, DNS_SCHEMA)
 
 
 def read_host_table(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed snapshot (an empty table when there is none)."""
-    versions = [v for v, done in _snapshots(spark, root).items() if done]
-    if not versions:
-        return spark.createDataFrame([], DNS_SCHEMA)
-    return spark.read.schema(DNS_SCHEMA).parquet(f"{root}/v={versions[-1]:08d}")
+    """The newest committed version (an empty table when there is none)."""
+    return host_table(spark, root).read()
 
 
 def write_host_table(spark: SparkSession, root: str, table: DataFrame) -> str:
-    """Write ``table`` as the next snapshot and return its path. A failed write
-    leaves an uncommitted folder that readers ignore and later writes number
-    past; older snapshots than the newest two are removed after the commit."""
-    versions = _snapshots(spark, root)
-    path = f"{root}/v={max(versions, default=0) + 1:08d}"
-    table.select("ip", "host", "ttl").write.mode("errorifexists").parquet(path)
-    kept = [v for v, done in versions.items() if done][1 - KEPT_SNAPSHOTS:]
-    for old in versions:
-        if old not in kept:
-            delete_path(spark, f"{root}/v={old:08d}")
-    return path
-
-
-def clear_host_table(spark: SparkSession, root: str) -> str:
-    """Empty snapshot (the host-cache clear)."""
-    return write_host_table(spark, root, spark.createDataFrame([], DNS_SCHEMA))
+    """Write ``table`` as the next version and return its path, whatever the
+    current one holds. A failed write changes nothing."""
+    return host_table(spark, root).replace(lambda _: table)
+
+
+def upsert_host_table(spark: SparkSession, root: str, new: DataFrame) -> str:
+    """Add or replace entries by address; concurrent upserts all take effect.
+    ``new`` may be computed again if another writer commits meanwhile."""
+    return host_table(spark, root).replace(lambda current: upsert_hosts(current, new))
+
+
+def prune_host_table(spark: SparkSession, root: str, hours: int = PRUNE_MAX_AGE_HOURS, now=None) -> str:
+    """Drop entries older than ``hours``."""
+    now = now if now is not None else utc_now()
+    return host_table(spark, root).replace(lambda current: prune_hosts(current, hours, now))
+
+
+def clear_host_table(spark: SparkSession, root: str) -> None:
+    """No entries (the host-cache clear)."""
+    host_table(spark, root).clear()
 
 
 def register_views(spark: SparkSession, logs: DataFrame, hosts: DataFrame | None = None,

@@ -2,15 +2,18 @@
 
 A growing single file is not a Spark stream source: the feed follows a
 directory that rotated log files land in. Each micro-batch is parsed by the
-same batch code, numbered in file order and continued from the packet count of
-all earlier batches, which is stored per batch id. Both writes of a batch are
-overwrites keyed by the batch id, so a retried batch gives the same result.
+same batch code, numbered in file order and continued from the running packet
+count, which every batch stores with its id and takes from its predecessor. Both
+writes of a batch are overwrites keyed by the batch id, so a retried batch gives the
+same result. Host names come from the newest host table at the time of the batch, of
+which only the batch's own addresses are taken.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,7 @@ def stream_lines(spark: SparkSession, directory: str, from_start: bool = False,
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     df = (reader.load(directory)
           .select(without_cr("value").alias("value"),
+                  F.lit(0).alias("file_entry"),
                   F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("file_block_start"),
                   F.col("_metadata.file_modification_time").alias("file_modification_time")))
@@ -48,23 +52,38 @@ def stream_lines(spark: SparkSession, directory: str, from_start: bool = False,
     return df
 
 
-def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache: DataFrame | None, now):
+def _packets_before(spark: SparkSession, counts_path: str, batch_id: int) -> int:
+    """The running count of the batch before: one small file."""
+    before = f"{counts_path}/batch_id={batch_id - 1}"
+    if batch_id == 0:
+        return 0
+    if path_exists(spark, before):
+        row = spark.read.parquet(before).first()
+        if "total" in row.asDict():
+            return row["total"]
+    # A sink without running counts, or with a gap: sum what is there.
+    if not path_exists(spark, counts_path):
+        return 0
+    earlier = spark.read.option("mergeSchema", "true").parquet(counts_path).where(F.col("batch_id") < batch_id)
+    return earlier.agg(F.coalesce(F.sum("packets"), F.lit(0))).first()[0]
+
+
+def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache, now):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counts_path = f"{sink}/_counts"
-        base = 0
-        if path_exists(spark, counts_path):
-            base = (spark.read.parquet(counts_path).where(F.col("batch_id") < batch_id)
-                    .agg(F.coalesce(F.sum("packets"), F.lit(0))).first()[0])
+        base = _packets_before(spark, counts_path, batch_id)
         parsed, n_marker = parse_log(batch, year=year, base=int(base), with_total=True,
                                      staging=f"{sink}/_staging/batch_id={batch_id}")
         rows = accepted(parsed)
         rows = feed_filter(rows, no_lo, no_accept)
         if cache is not None:
-            rows = name_feed(rows, cache, now=now, width=FEED_HOST_WIDTH)
+            table = cache(spark) if callable(cache) else cache
+            wanted = rows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+            rows = name_feed(rows, table.join(wanted, "ip", "left_semi"), now=now, width=FEED_HOST_WIDTH)
         rows = rows.withColumn("arrival", F.current_timestamp())
         rows.write.mode("overwrite").parquet(f"{sink}/feed/batch_id={batch_id}")
-        (spark.createDataFrame([(int(n_marker),)], "packets long")
+        (spark.createDataFrame([(int(n_marker), int(base + n_marker))], "packets long, total long")
               .write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}"))
         # Both outputs are committed: the batch's staging data is no longer needed
         # (a retried batch stages again).
@@ -74,11 +93,13 @@ def _feed_batch(sink: str, no_lo: bool, no_accept: bool, year, cache: DataFrame
 
 def follow(spark: SparkSession, directory: str, sink: str | None = None, checkpoint: str | None = None,
            from_start: bool = False, no_lo: bool = False, no_accept: bool = False, year=None,
-           cache: DataFrame | None = None, now=None, available_now: bool = False,
+           cache: DataFrame | Callable[[SparkSession], DataFrame] | None = None, now=None, available_now: bool = False,
            start_time: _dt.datetime | None = None, max_files_per_trigger: int | None = None):
     """Start the feed; returns ``(query, sink)``. Rows land in ``sink/feed``
     (partitioned by batch id) with ``packet_no`` = ``id`` and an ``arrival``
-    time. ``available_now`` processes what is there and stops (scan mode)."""
+    time. ``cache`` is a host table, or a function of the session that reads one: it
+    is asked for every batch, so names stored meanwhile show in the next batch.
+    ``available_now`` processes what is there and stops (scan mode)."""
     run_id = uuid.uuid4().hex[:12]
     sink = sink or scratch_path(spark, "feeds", run_id)
     checkpoint = checkpoint or f"{sink}/_checkpoint"
