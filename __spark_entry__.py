@@ -581,8 +581,8 @@ def _more_oracles() -> dict[str, str]:
         "host_table_cycle": _hosts_with(
             ", " + missing + ", " + new + ", up AS (SELECT * FROM h WHERE ip NOT IN (SELECT ip FROM new) UNION ALL SELECT * FROM new), "
             "renamed AS (SELECT ip, 'renamed-' || CAST(ip AS VARCHAR) AS host, TIMESTAMP '2024-01-31 00:00:00' AS ttl FROM h WHERE ip % 7 = 0), "
-            "both AS (SELECT * FROM up WHERE ip NOT IN (SELECT ip FROM renamed) UNION ALL SELECT * FROM renamed) "
-            "SELECT " + _dotted("ip") + " AS ip, host, ttl FROM both WHERE coalesce(ttl >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 336 HOUR, true)"),
+            "merged AS (SELECT * FROM up WHERE ip NOT IN (SELECT ip FROM renamed) UNION ALL SELECT * FROM renamed) "
+            "SELECT " + _dotted("ip") + " AS ip, host, ttl FROM merged WHERE coalesce(ttl >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 336 HOUR, true)"),
         "scan_feed_limit": _with(_FEED_SQL + " WHERE id <= CAST(floor((SELECT count(*) FROM packets) * 0.4) AS BIGINT)"),
         "follow_feed": _with(_FEED_SQL),
         "catalog_cycle": _with("SELECT s.step, CAST(CASE WHEN s.k < 0 THEN -s.k - 1 ELSE s.k * " + n_packets + " END AS BIGINT) AS n "
