@@ -124,6 +124,7 @@ def _classes(docs: DataFrame) -> tuple[Column, int]:
     counts = C.cut(words.groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
     heavy = max(HEAVY, math.floor(math.log2(max(1, mean))) + 3)
+    C.release(docs.sparkSession)
     table = _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).first()["v"]
     return F.lit(bytes(ZERO + c for c in table)), heavy
 
@@ -281,7 +282,9 @@ def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     a, b = rows.alias("a"), rows.alias("b")
     wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
     full = a.join(b, wanted & _similar("a.", "b.", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    return easy.unionByName(_verified(docs, nodes, C.cut(full.distinct()), percent))
+    full = C.cut(full.distinct())
+    C.release(docs.sparkSession)
+    return easy.unionByName(_verified(docs, nodes, full, percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -289,6 +292,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     document that loses lines."""
     spark = docs.sparkSession
     full, full_path = C.stage(_sets(docs, percent))
+    C.release(spark)
     nodes, nodes_path = C.stage(_nodes(full))
     sets, sets_path = C.stage(full.select("at", "d1", "d2"))
     C.drop(spark, full_path)
@@ -301,6 +305,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = places.join(marked, ["d1", "d2"]).where("keep IS NULL OR at <> keep").select("at.*")
     gone = C.cut(gone.groupBy(C.DOC_ID, KEY).agg(F.collect_set(NO).alias(GONE)))
     C.drop(spark, sets_path, nodes_path)
+    C.release(spark)
     return gone
 
 
