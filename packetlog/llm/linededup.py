@@ -60,7 +60,6 @@ from packetlog.llm import common as C
 PERCENT = 80
 BUCKETS = 1 << 18
 BITS = 1 << 23
-CHUNK = 1024
 #: The second order of the first round: hashes with these bits flipped.
 FLIPPED = 0x5555555555555555
 #: Least class of a heavy token, and least percentage that heavy pairs are exact for.
@@ -76,11 +75,10 @@ KEY, NO, GONE = "__text_key", "__line_no", "__gone"
 
 def _dense(rows: DataFrame, size: int) -> DataFrame:
     """One row with ``v``: the array of values ``v`` at ``i`` (0 <= i < size, 0
-    where there is none). ``size`` is fixed: at most 8 MB."""
-    spark = rows.sparkSession
-    full = spark.range(size).withColumnRenamed("id", "i").join(rows, "i", "left").select("i", F.coalesce("v", F.lit(0)).alias("v"))
-    parts = full.groupBy((F.col("i") / CHUNK).cast("int").alias("c")).agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("v"))
-    return C.cut(parts.agg(F.flatten(F.array_sort(F.collect_list(F.struct("c", "v")))["v"]).alias("v")))
+    where there is none). ``size`` is fixed, at most 2^18, and bounds the rows that
+    are broadcast and the one task that lines them up."""
+    full = rows.sparkSession.range(0, size, 1, 8).withColumnRenamed("id", "i").join(F.broadcast(rows), "i", "left")
+    return C.cut(full.agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0)).alias("v"))))["v"].alias("v")))
 
 
 def _bitmap(rows: DataFrame, value: Column) -> Column:

@@ -257,6 +257,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLO
     found = (fps.select("fp").repartition(parts, "fp").mapInArrow(key_rows, "key long, fp long")
              .repartition("key").sortWithinPartitions("key").mapInArrow(link, "key long, a long, b long"))
     found = C.cut(found)
+    C.release(fps.sparkSession)
     links = found.where("key IS NULL").select("a", "b")
     large = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
     if not large.isEmpty():
