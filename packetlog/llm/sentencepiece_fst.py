@@ -57,7 +57,9 @@ from packetlog.llm import common as C
 SPACE = "▁"
 MAX_MODEL_BYTES = 64 << 20
 #: Words of one generation of the memo, which keeps two; pairs of pieces.
-MEMO, PAIRS = 300_000, 1_000_000
+MEMO, PAIRS = 200_000, 500_000
+#: Rows whose ids are held at once.
+ROWS = 512
 #: Field numbers and piece types of the model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -336,10 +338,12 @@ def _mapped(rows: DataFrame, path: str, work, schema: str, kinds: list) -> DataF
         model = shared.value  # the worker's copy keeps its transducer between tasks
         fst = model.get("fst") or model.setdefault("fst", Transducer(model))
         for batch in batches:
-            out = [work(fst, x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(_column([x[i] for x in out], t) for i, t in enumerate(kinds))],
-                names=[f.strip().split(" ")[0] for f in schema.split(",")])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                out = [work(fst, x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(_column([x[i] for x in out], t) for i, t in enumerate(kinds))],
+                    names=[f.strip().split(" ")[0] for f in schema.split(",")])
 
     return rows.mapInArrow(run, schema)
 
