@@ -14,7 +14,7 @@ runs as DataFrame functions.
 | ip | four octets up to 255 | the 32-bit address | dots |
 | phone | 10 digits of a North American number, or + and 8 to 15 digits | area, exchange and line within their ranges; else all digits after the country code | country code, grouping |
 | email | a local part and a domain | letters and digits of the local part, by class | domain, punctuation |
-| secret | AKIA keys; values of 8 or more characters (letters, digits, + / _ - = and inner dots) after names that end in password, token and the like | characters by class (hexadecimal stays so) | name, quotes |
+| secret | AKIA keys; values of 8 or more characters after names that end in password, token and the like (a parameter), quoted or not, and after Authorization: Bearer | letters and digits (ASCII) by class (hexadecimal stays so) | name, quotes, punctuation |
 
 Numbers use two halves modulo a and b, where a * b is exactly the number of valid
 values, so no value falls outside its format. Texts use halves of characters,
@@ -33,6 +33,8 @@ names pass through ``pseudonymise``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +48,20 @@ FIRST_DAY = "1800-01-01"
 
 _START, _STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _AKIA = r"AKIA[0-9A-Z]{16}"
-#: A name may be the end of a longer one (DB_PASSWORD); a dot may not end a value.
-_NAMED = r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{8,}(?<!\.)"
-_SECRET = f"(?:{_AKIA}|{_NAMED})"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+#: What names a secret; a blank stands for an optional _, - or blank.
+SECRET_NAMES = ("password", "passwd", "passphrase", "pwd", "token", "secret", "secret key", "api key", "access key", "private key")
+_QUOTE = r"\\?[\"']"
+_IS = rf"(?:{_QUOTE})?\s*+(?::=|=>|[=:])\s*+"
+#: Quoted values run to their closing quote (\" does not close), others to a blank, a
+#: closing quote or the next parameter of a URL. Repeated parts are single characters:
+#: Java's matcher needs no stack for those, however long the value.
+_QUOTED = [rf"{q}(?!(?:[^{q}\\\r\n]|\\[^\r\n]){{0,7}}{q})(?=[^{q}\r\n]*?[\p{{L}}\p{{N}}])[^\r\n]{{8,}}?(?<!\\)(?={q})" for q in "\"'"]
+_ESCAPED = r"\\\"[^\"\\\r\n]{8,}+(?=\\\")"
+_ENDS = r"[\"'](?![\p{L}\p{N}_])|&\w{1,64}="
+_CLOSING = ".,;:!?)]}>\"'\\"
+_BARE = (rf"(?:{_QUOTE})?(?![\"']|\\[\"'])(?!\S{{0,7}}?(?:{_ENDS}))(?=\S{{7,}}?[^\s.,;:!?)\]}}>\"'\\])(?=\S*?[\p{{L}}\p{{N}}])"
+         rf"\S{{8,}}?(?=\s|\z|{_ENDS})")
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*+[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _DATE = r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}(?!\.\d)"
@@ -65,9 +77,22 @@ _CARD = r"\d(?:[ -]?\d){12}(?:(?:[ -](?!" + _NEXT + _STOP + r"))?\d){0,6}"
 _DATED = f"{_DATE}(?:{_STOP}|(?=[Tt]\\d))"
 #: What every match has at least one of.
 NEEDED = "[0-9@=:]|AKIA"
-_FIRST = [_START + _AKIA + _STOP, _NAMED, _EMAIL + _STOP, f"{_START}(?:{_DATED}|(?:{_SSN}|{_IP}){_STOP})"]
-PATTERN = "|".join([*_FIRST, f"{_FREE}(?:{_NANP}|{_CARD}|{_PHONE}){_STOP}"])
-NO_CARDS = "|".join([*_FIRST, f"{_FREE}(?:{_NANP}|{_PHONE}){_STOP}"])
+_DATES = f"{_START}(?:{_DATED}|(?:{_SSN}|{_IP}){_STOP})"
+
+
+def _lead(names) -> str:
+    """Pattern of what stands before a secret's value. A name may be the end of a
+    longer one (DB_PASSWORD) and stand in quotes."""
+    words = "|".join("[ _-]?".join(re.escape(w) for w in n.split()) for n in names)
+    scheme = rf"(?i:authorization){_IS}(?:{_QUOTE})?(?i:bearer|basic|token)\s++"
+    return f"(?:{scheme}|(?i:{words}){_IS})" if words else f"(?:{scheme})"
+
+
+def value_pattern(names=SECRET_NAMES, cards: bool = True) -> str:
+    """The pattern that finds values, with secrets behind these names."""
+    named = f"{_lead(names)}(?:{'|'.join([*_QUOTED, _ESCAPED, _BARE])})"
+    numbers = [_NANP, _CARD, _PHONE] if cards else [_NANP, _PHONE]
+    return "|".join([_START + _AKIA + _STOP, named, _EMAIL, _DATES, f"{_FREE}(?:{'|'.join(numbers)}){_STOP}"])
 
 
 def _let(value: Column, use) -> Column:
@@ -218,13 +243,22 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-def _secret(m: Column, key: str) -> Column:
-    name = F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.lit("AKIA")).otherwise(F.regexp_extract(m, "^([A-Za-z_]+\\s*[=:]\\s*[\"']?)", 1))
-    value = F.substring(m, F.length(name) + 1, F.length(m))
-    return F.concat(name, F.when(value.rlike("^[0-9a-f]+$"), _text(value, key, "hex")).otherwise(_text(value, key, "secret")))
+def _secrets(names):
+    """Kind, pattern and pseudonym of secrets behind these names."""
+    lead = f"^{_lead(names)}(?:{_QUOTE})?"
+
+    def work(m: Column, key: str) -> Column:
+        name = F.when(m.rlike(f"^{_AKIA}$"), F.lit("AKIA")).otherwise(F.regexp_extract(m, lead, 0))
+        rest = F.substring(m, F.length(name) + 1, F.length(m))
+        # Punctuation behind a value is none of it: the same secret stays linked.
+        value = F.rtrim(rest, F.lit(_CLOSING))
+        tail = F.substring(rest, F.length(value) + 1, F.length(rest))
+        return F.concat(name, F.when(value.rlike("^[0-9a-f]+$"), _text(value, key, "hex")).otherwise(_text(value, key, "secret")), tail)
+
+    return ("secret", f"{lead}|^{_AKIA}$", work)
 
 
-_KINDS = (("secret", f"^{_SECRET}$", _secret), ("email", "@", _email), ("date", f"^{_DATE}$", _date), ("ssn", f"^{_SSN}$", _ssn),
+_KINDS = (("email", "@", _email), ("date", f"^{_DATE}$", _date), ("ssn", f"^{_SSN}$", _ssn),
           ("ip", r"^\d{1,3}(?:\.\d{1,3}){3}$", _ip), ("phone", f"^(?:{_NANP}|{_PHONE})$", _phone), ("card", f"^{_CARD}$", _card))
 
 
@@ -264,7 +298,7 @@ def _within(pieces: Column, use) -> Column:
     return F.flatten(F.transform(pieces, lambda p: F.when(p["pseudonym"].isNull(), use(p["value"])).otherwise(F.array(p))))
 
 
-def _cards_inside(text: Column, key: str) -> Column:
+def _cards_inside(text: Column, key: str, names) -> Column:
     """Pieces of a text whose longest runs of digits are no card (or other value),
     but may hold some: card and CVV, an expiry or a number before."""
     # Every place where a form fits, overlaps included; years don't start cards.
@@ -273,23 +307,24 @@ def _cards_inside(text: Column, key: str) -> Column:
     # Digits, blanks and dashes only: as a pattern they mean themselves.
     own = lambda c: F.concat(F.lit(f"{_FREE}(?:"), F.array_join(F.reverse(F.array_sort(c)), "|"), F.lit(f"){_STOP}"))
     some = _let(cards, lambda c: F.when(F.size(c) > 0, _pieces(text, own(c), key, _KINDS[-1])))
-    return _within(F.coalesce(some, F.array(_plain(text))), lambda t: _pieces(t, F.lit(NO_CARDS), key, *_KINDS[:-1]))
+    return _within(F.coalesce(some, F.array(_plain(text))), lambda t: _pieces(t, F.lit(value_pattern(names, cards=False)), key, _secrets(names), *_KINDS[:-1]))
 
 
-def find_values(docs: DataFrame, key: str, column: str = C.TEXT) -> Column:
+def find_values(docs: DataFrame, key: str, column: str = C.TEXT, names=SECRET_NAMES) -> Column:
     """The text in order as an array of struct(kind, value, pseudonym): its values
     and, with a null pseudonym, what stands between them. Null without values."""
     text = F.col(column).cast("string")
     long_run = r"\d(?:[ -]?\d){12}"
-    found = _within(_pieces(text, F.lit(PATTERN), key, *_KINDS), lambda t: F.when(t.rlike(long_run), _cards_inside(t, key)).otherwise(F.array(_plain(t))))
+    first = _pieces(text, F.lit(value_pattern(names)), key, _secrets(names), *_KINDS)
+    found = _within(first, lambda t: F.when(t.rlike(long_run), _cards_inside(t, key, names)).otherwise(F.array(_plain(t))))
     return F.when(text.rlike(NEEDED), found)
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, names=SECRET_NAMES) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``__values``: the replaced values
-    as an array of struct(kind, value, pseudonym)."""
+    as an array of struct(kind, value, pseudonym). ``names`` name the secrets."""
     text = F.col(C.TEXT).cast("string")
-    rows = docs.withColumn("__found", find_values(docs, key))
+    rows = docs.withColumn("__found", find_values(docs, key, names=names))
     joined = F.array_join(F.transform("__found", lambda m: F.coalesce(m["pseudonym"], m["value"])), "")
     valid = F.filter("__found", lambda m: m["pseudonym"].isNotNull())
     rows = rows.withColumn("__values", F.coalesce(valid, F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"), F.lit("").alias("pseudonym"))), lambda m: F.lit(False))))

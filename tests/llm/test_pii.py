@@ -102,3 +102,48 @@ def test_cards_beside_digits_and_timestamps(docs):
         assert got[k][0] == want and "1111 1111" not in got[k][0]
     assert got[1][0][:16] == got[2][0][:16] == got[0][0][:19].replace(" ", "") and luhn(got[1][0][:16]) and got[1][0][16:] == " 737"
     assert got[13][0].endswith("T10:00:00Z")
+
+
+def test_secrets_in_json_quotes_and_with_punctuation(docs):
+    cases = {'{"password": "hunter2hunter2", "user": "bob"}': "hunter2hunter2", "password    = hunter2hunter2": "hunter2hunter2",
+             "password=p@ssw0rd99": "p@ssw0rd99", "password=Tr0ub4dor&3x": "Tr0ub4dor&3x", "api-key: abcdefgh12": "abcdefgh12", "pwd=abcdefgh12,": "abcdefgh12",
+             "Authorization: Bearer abc.def-123456 end": "abc.def-123456", '"Authorization": "Bearer abcdefgh12"': "abcdefgh12",
+             "secret: 'correct horse battery' kept": "correct horse battery", 'token: "say \\"hello there\\" now" kept': 'say \\"hello there\\" now',
+             '{\\"token\\":\\"abcdefgh12\\",\\"a\\":\\"bcdefghijk\\"}': "abcdefgh12", "?token=abcdefgh12&user=bobbobbob": "abcdefgh12", "password=it's4secret99": "it's4secret99",
+             "(API KEY: abcdefgh12)": "abcdefgh12", "token" + " " * 2000 + "=abcdefgh12": "abcdefgh12", 'token="' + "q7 & " * 20_000 + '" kept': "q7 & " * 20_000}
+    clean = ['"password": "short", "user": "longlonglong"', "token=ab&user=longlonglong", "authorization: required", "token: ----------", 'secret=""  longlonglong', "no secret here"]
+    got = run(docs, [*cases, *clean])
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+    for k, (text, value) in enumerate(cases.items()):
+        before, _, after = text.partition(value)
+        new = got[k][0][len(before):len(text) - len(after)]
+        assert [v[0] for v in got[k][1]] == ["secret"] and got[k][0] == before + new + after, text
+        assert new != value and shape(new) == shape(value)
+    for k, text in enumerate(clean):
+        assert got[len(cases) + k] == (text, []), text
+    assert got[4][0][9:] == got[5][0][4:-1] == got[13][0][10:-1]  # one secret, linked
+    named = {r.doc_id: r.text for r in pii.pseudonymise(docs(["pin code: abcdefgh12", "token=abcdefgh12"]), "k", names=["pin code"]).collect()}
+    assert "abcdefgh12" not in named[0] and named[1] == "token=abcdefgh12"
+
+
+def test_local_parts_and_domains(docs):
+    texts = ["_bob@example.com", "+bob@example.com", "a" * 70 + "@example.com", "jörg@example.com", "x@" + ".".join("abcdefghijkl") + ".org", "bob@münchen.de", "+_.@example.com", "@example.com"]
+    got = run(docs, texts)
+    assert [[(v[0], v[1]) for v in got[k][1]] for k in range(6)] == [[("email", t)] for t in texts[:6]] and got[6][1] == got[7][1] == []
+    assert re.fullmatch(r"[a-z]ö[a-z]{2}@example\.com", got[3][0]) and re.fullmatch(r"_[a-z]{3}@example\.com", got[0][0])
+
+
+def test_addresses_against_an_independent_network(docs):
+    import hashlib
+    values = [f"{a}.{b}.7.{255 - a}" for a in (0, 10, 255) for b in (0, 9, 200)]
+
+    def network(value):
+        n = [int(x) for x in value.split(".")]
+        half = [n[0] << 8 | n[1], n[2] << 8 | n[3]]
+        for r in range(1, 9):
+            other = half[1] if r % 2 == 0 else half[0]
+            half[r % 2] = (half[r % 2] + int(hashlib.md5(f"key|ip|{r}|{other}".encode()).hexdigest()[:15], 16)) % 65536
+        return ".".join(str(x) for h in half for x in (h >> 8, h & 255))
+
+    got = run(docs, values, "key")
+    assert [got[k][0] for k in range(len(values))] == [network(v) for v in values]
