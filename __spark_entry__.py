@@ -60,6 +60,24 @@ def _packet_event_time(spark, sf):
     return TD.fixture_logs(spark, sf).select("id", F.col("timestamp").alias("event_time"))
 
 
+def _packet_event_time_auto(spark, sf):
+    """Times of a log of three years, from the order of its lines and the time of its
+    last change; the events are spread over those years, in their order."""
+    import uuid
+    from packetlog.plans.ingest import packets_from_log
+    from packetlog.sources import read_syslog
+    from packetlog.sources.fixtures import render_syslog
+    root, events = scratch_path(spark, "years", uuid.uuid4().hex), spark.read.parquet(f"{sf}/events.parquet")
+    end = events.agg(F.max("event_id")).first()[0] + 1
+    after = F.floor(F.col("event_id") * 100_000_000 / F.lit(end)).cast("decimal(18,6)")
+    zero = F.lit(0)
+    spread = events.withColumn("ts", F.lit("2022-01-10").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, after))
+    render_syslog(spread).repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("value").write.text(root)
+    changed = spread.agg(F.max("ts").alias("t")).first()["t"]
+    lines = read_syslog(spark, root).withColumn("file_modification_time", F.lit(str(changed)).cast("timestamp_ntz"))
+    return packets_from_log(lines, year="order").select("id", F.col("timestamp").alias("event_time"))
+
+
 def _packet_ids(spark, sf):
     logs = TD.fixture_logs(spark, sf)
     return logs.agg(F.count(F.lit(1)).alias("packets"), F.min("id").alias("min_id"),
@@ -317,6 +335,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "parse_packets": _parse_packets,
         "packet_event_time": _packet_event_time,
+        "packet_event_time_auto": _packet_event_time_auto,
         "packet_ids": _packet_ids,
         "import_summary": _import_summary,
         "analysis_all": _analysis_all,
@@ -450,6 +469,8 @@ def oracle_sql() -> dict[str, str]:
     o = {
         "parse_packets": _with("SELECT id, if_in, if_out, src_ip, src_prt, dst_ip, dst_prt, proto, action, mac FROM packets"),
         "packet_event_time": _with("SELECT id, event_time FROM packets"),
+        "packet_event_time_auto": _with("SELECT id, CAST(TIMESTAMP '2022-01-10' + to_seconds(CAST(floor(e * 100000000 / (SELECT max(event_id) + 1 "
+                                        "FROM events)) AS BIGINT)) AS TIMESTAMP) AS event_time FROM packets"),
         "packet_ids": _with("SELECT CAST(count(*) AS BIGINT) AS packets, min(id) AS min_id, max(id) AS max_id, "
                             "CAST(count(DISTINCT id) AS BIGINT) AS distinct_ids FROM packets"),
         "import_summary": ("SELECT CAST(count(*) AS BIGINT) AS lines_read, "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ids import number_rows
 from ..operators.parse import parse_lines, packets, rejects
+from ..operators.years import ANY_YEAR, years_by_order
 from ..session import jit_sized_codegen, scratch_path
 from ..sources.syslog import marker_lines, MARKER, ORDER_COLUMNS
 
@@ -17,17 +18,20 @@ def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False
     """Parse the log in one text scan and write the compact result to ``path``:
     packet columns, ``ok``, the raw line (of rejects only, unless
     ``keep_lines``), and the position columns (file, split, sequence taken in
-    that same scan) from which ids are derived. Returns the staged table.
+    that same scan) from which ids are derived. ``year`` is that of ``parse_lines``, or
+    ``"order"``: years by the order of the lines (``years_by_order``), filled in by
+    ``number_staged``. Returns the staged table.
 
     Recording positions in the scan that parses makes the ids independent of
     how a later job would split the files (split sizes follow the number of
     cores, which changes when executors come and go)."""
     marked = marker_lines(lines).withColumn("_seq", F.monotonically_increasing_id())
     keep = (*ORDER_COLUMNS, "_seq", "value")
-    if isinstance(year, str) and year == "auto":
+    by_order = isinstance(year, str) and year == "order"
+    if by_order or isinstance(year, str) and year == "auto":
         keep += ("file_modification_time",)
-    parsed = parse_lines(marked, year=year, keep=keep)
-    if "file_modification_time" in parsed.columns:
+    parsed = parse_lines(marked, year=ANY_YEAR if by_order else year, keep=keep)
+    if not by_order and "file_modification_time" in parsed.columns:
         parsed = parsed.drop("file_modification_time")
     if not keep_lines:
         parsed = parsed.withColumn("value", F.when(~F.col("ok"), F.col("value")))
@@ -37,7 +41,10 @@ def stage_lines(lines: DataFrame, path: str, year=None, keep_lines: bool = False
 
 
 def number_staged(staged: DataFrame, base=0, with_total: bool = False, offsets_path: str | None = None):
-    """Ids for a staged table (its position columns, no second text scan)."""
+    """Ids for a staged table (its position columns, no second text scan), and years
+    for one that was staged with ``year="order"``."""
+    if "file_modification_time" in staged.columns:
+        staged = years_by_order(staged, offsets_path and offsets_path + "/years")
     out = number_rows(staged, "id", base=base, seq_col="_seq", with_total=with_total, offsets_path=offsets_path)
     if with_total:
         return out[0].drop(*ORDER_COLUMNS), out[1]
