@@ -224,18 +224,41 @@ def _import_versions(spark, sf):
     return _id_summary(store.read_packets(spark, root))
 
 
-def _packet_ids_by_list(spark, sf):
-    """Ids of a log in three parts, given oldest first under names that sort the
-    other way, and the newest part once more."""
+def _log_in_three_parts(spark, sf):
+    """Folder of a log in three parts, from the oldest: c, b, a."""
     import uuid
-    from packetlog.plans.ingest import packets_from_log
-    from packetlog.sources import read_syslog
     from packetlog.sources.fixtures import render_syslog
     root, events = scratch_path(spark, "rotated", uuid.uuid4().hex), spark.read.parquet(f"{sf}/events.parquet")
     end = events.agg(F.max("event_id")).first()[0] + 1
     for k, name in enumerate("cba"):
         part = events.where(F.floor(F.col("event_id") * 3 / F.lit(end)) == k)
         render_syslog(part).repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("value").write.text(f"{root}/{name}")
+    return root
+
+
+def _analysis_incremental(spark, sf):
+    """The six reports from the stored roll-ups of three imports, after an import that
+    was cleared; two of the roll-ups are merged before the third import."""
+    import uuid
+    from packetlog.plans import store
+    from packetlog.sources import read_syslog
+    log, root = _log_in_three_parts(spark, sf), scratch_path(spark, "imports", uuid.uuid4().hex)
+    load = lambda name: store.import_packets(spark, read_syslog(spark, f"{log}/{name}"), root, rollup=True)
+    load("a")
+    store.clear_packets(spark, root)
+    load("c")
+    load("b")
+    store.packet_table(spark, root, rollup=True).merge_derived(R.merge_rollups)
+    load("a")
+    return R.union_reports(R.analysis_from_rollup(store.read_rollup(spark, root), REPORT_LIMIT, with_rank=True))
+
+
+def _packet_ids_by_list(spark, sf):
+    """Ids of a log in three parts, given oldest first under names that sort the
+    other way, and the newest part once more."""
+    from packetlog.plans.ingest import packets_from_log
+    from packetlog.sources import read_syslog
+    root = _log_in_three_parts(spark, sf)
     lines = read_syslog(spark, [f"{root}/{name}" for name in "cbaa"])
     return packets_from_log(lines, year=FIXTURE_YEAR).select("id", F.col("timestamp").alias("event_time"), "src_prt")
 
@@ -339,6 +362,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "packet_ids": _packet_ids,
         "import_summary": _import_summary,
         "analysis_all": _analysis_all,
+        "analysis_incremental": _analysis_incremental,
         "packet_rollup": _packet_rollup,
         "ip_functions": _ip_functions,
         "trim_host": _trim_host,
@@ -478,6 +502,7 @@ def oracle_sql() -> dict[str, str]:
                            "CAST(count(*) FILTER (WHERE event_id % 101 <> 0) AS BIGINT) AS parsed, "
                            "CAST(0 AS BIGINT) AS rejected FROM events"),
         "analysis_all": _analysis_all_sql(),
+        "analysis_incremental": _analysis_all_sql(),
         "packet_rollup": _with("SELECT if_in, if_out, src_ip, dst_prt, proto, action, CAST(count(*) AS BIGINT) AS count, "
                                "min(id) AS min_id, arg_min(src_prt, id) AS rep_src_prt, arg_min(dst_ip, id) AS rep_dst_ip "
                                "FROM packets GROUP BY ALL"),

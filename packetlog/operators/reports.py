@@ -117,6 +117,20 @@ def packet_rollup(logs: DataFrame) -> DataFrame:
         F.min_by("dst_ip", "id").alias("dst_ip"))
 
 
+def report_rollup(logs: DataFrame) -> DataFrame:
+    """The roll-up of all packets that are in any report (accepted ones other than
+    ICMP are in none)."""
+    return packet_rollup(logs.where((F.col("action") != "ACCEPT") | (F.col("proto") == "ICMP")))
+
+
+def merge_rollups(rollups: DataFrame) -> DataFrame:
+    """One row per key from the roll-ups of several parts of a table."""
+    return rollups.groupBy(*ROLLUP_KEYS).agg(
+        F.sum("count").alias("count"), F.min("min_id").alias("_least"),
+        F.min_by("src_prt", "min_id").alias("src_prt"),
+        F.min_by("dst_ip", "min_id").alias("dst_ip")).withColumnRenamed("_least", "min_id")
+
+
 def report_from_rollup(rollup: DataFrame, name: str, limit: int = DEFAULT_LIMIT,
                        numeric_ips: bool = False, with_rank: bool = False) -> DataFrame:
     """The same report computed from the roll-up (sum of counts, representative
@@ -163,18 +177,27 @@ def analysis(logs: DataFrame, limit: int = DEFAULT_LIMIT, use_rollup: bool = Tru
     Catalyst would push each report's filter below the roll-up and plan six
     different scans.)"""
     if use_rollup:
-        # Accepted packets other than ICMP are in no report: they are dropped
-        # before the shuffle.
-        rollup = packet_rollup(logs.where((F.col("action") != "ACCEPT") | (F.col("proto") == "ICMP"))).checkpoint(eager=True)
-        return {n: report_from_rollup(rollup, n, limit, numeric_ips, with_rank) for n in REPORT_ORDER}
+        rollup = report_rollup(logs).checkpoint(eager=True)
+        return analysis_from_rollup(rollup, limit, numeric_ips, with_rank)
     return {n: report(logs, n, limit, numeric_ips=numeric_ips, with_rank=with_rank) for n in REPORT_ORDER}
 
 
+def analysis_from_rollup(rollup: DataFrame, limit: int = DEFAULT_LIMIT, numeric_ips: bool = False,
+                         with_rank: bool = False) -> dict[str, DataFrame]:
+    """All six reports from a stored roll-up (or those of several imports, not merged)."""
+    return {n: report_from_rollup(rollup, n, limit, numeric_ips, with_rank) for n in REPORT_ORDER}
+
+
 def analysis_union(logs: DataFrame, limit: int = DEFAULT_LIMIT, use_rollup: bool = True) -> DataFrame:
     """The six result sets as one DataFrame: ``report`` names the set, ``rank``
     is the position inside it, absent columns are NULL."""
+    return union_reports(analysis(logs, limit, use_rollup, with_rank=True))
+
+
+def union_reports(reports: dict[str, DataFrame]) -> DataFrame:
+    """Reports made ``with_rank`` as one DataFrame."""
     parts = []
-    for name, df in analysis(logs, limit, use_rollup, with_rank=True).items():
+    for name, df in reports.items():
         cols = []
         for c in ALL_COLUMNS:
             if c == "report":

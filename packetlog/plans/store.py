@@ -18,6 +18,7 @@ from ..functions.eventtime import utc_now
 from ..operators.hosts import PRUNE_MAX_AGE_HOURS, prune_hosts, upsert_hosts
 from ..session import delete_path, scratch_path
 from ..operators.parse import rejects
+from ..operators.reports import merge_rollups, report_rollup
 from .ingest import number_staged, stage_lines
 from .versions import KEPT_VERSIONS, VersionedTable
 
@@ -164,8 +165,18 @@ def empty_table_at(spark: SparkSession, path: str, schema=LOGS_SCHEMA) -> None:
 KEPT_SNAPSHOTS = KEPT_VERSIONS
 
 
-def packet_table(spark: SparkSession, root: str) -> VersionedTable:
-    return VersionedTable(spark, root, LOGS_SCHEMA)
+#: Roll-ups of imports that are kept side by side before they are merged.
+MERGE_ROLLUPS = 8
+
+
+def packet_table(spark: SparkSession, root: str, rollup: bool = False) -> VersionedTable:
+    return VersionedTable(spark, root, LOGS_SCHEMA, derive=report_rollup if rollup else None)
+
+
+def read_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """The stored roll-up of the newest version, for ``reports.analysis_from_rollup``.
+    Imports made without one are rolled up from their packets."""
+    return packet_table(spark, root, rollup=True).read_derived()
 
 
 def read_packets(spark: SparkSession, root: str) -> DataFrame:
@@ -174,16 +185,20 @@ def read_packets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def import_packets(spark: SparkSession, lines: DataFrame, root: str, clear: bool = False, year=None,
-                   rejects_path: str | None = None) -> DataFrame:
+                   rejects_path: str | None = None, rollup: bool = False) -> DataFrame:
     """Import ``lines`` (from ``read_syslog``) into the versioned packet table at
     ``root``. Ids follow those given out before, from a range that is reserved
     first, so imports may run at the same time. ``clear`` puts the new rows in place
     of all others in one commit: readers see the old rows or the new ones, and a
-    failed import changes nothing. Returns the import summary."""
-    table = packet_table(spark, root)
+    failed import changes nothing. With ``rollup`` the new packets' roll-up is stored in
+    the same commit, and every ``MERGE_ROLLUPS`` of them are merged: reports then read
+    no packets. Returns the import summary."""
+    table = packet_table(spark, root, rollup)
     with _staged(spark, lines, year, 0) as staged:
         n = staged.staged.count()
         (table.renew if clear else table.append)(staged.rows, n)
+        if rollup:
+            table.merge_derived(merge_rollups, MERGE_ROLLUPS)
         if rejects_path:
             staged.write_rejects(rejects_path)
         return staged.summary()

@@ -12,6 +12,11 @@ data folder that no version names.
 Ids are reserved in the log before rows are written: concurrent imports get disjoint
 ranges without reading old rows. A range whose import fails stays unused, as with a
 database's counter.
+
+A table may keep a derived one (a roll-up): rows made from each data folder, written
+once and committed with it. The log names the derived folders and the data folders they
+cover, so readers get both of one version, and data that an other writer added without
+is derived when read.
 """
 
 from __future__ import annotations
@@ -87,8 +92,9 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
 class VersionedTable:
     """A table of ``schema`` at ``root``; the last ``kept`` versions stay readable."""
 
-    def __init__(self, spark: SparkSession, root: str, schema, kept: int = KEPT_VERSIONS):
-        self.spark, self.root, self.schema, self.kept = spark, root.rstrip("/"), schema, kept
+    def __init__(self, spark: SparkSession, root: str, schema, kept: int = KEPT_VERSIONS,
+                 derive: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.root, self.schema, self.kept, self.derive = spark, root.rstrip("/"), schema, kept, derive
 
     # -------------------------------------------------------------- versions
 
@@ -128,17 +134,21 @@ class VersionedTable:
         first = newest - self.kept + 1
         if first <= 1:
             return
-        kept = {f for v in range(first, newest + 1) for f in self.state(v)["folders"]}
-        for folder in set(self.state(first - 1)["folders"]) - kept:
+        named = lambda v: {f for key in ("folders", "derived") for f in self.state(v).get(key, [])}
+        kept = {f for v in range(first, newest + 1) for f in named(v)}
+        for folder in named(first - 1) - kept:
             self.discard(folder)
 
     # ------------------------------------------------------------------ data
 
     def write(self, rows: DataFrame) -> str:
         """Write rows as a data folder that no version names yet."""
-        folder = f"v={uuid.uuid4().hex}"
+        return self._write(rows.select(*self.schema.names), "v")
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        folder = f"{kind}={uuid.uuid4().hex}"
         try:
-            rows.select(*self.schema.names).write.parquet(f"{self.root}/{folder}")
+            rows.write.parquet(f"{self.root}/{folder}")
         except Exception:
             self.discard(folder)
             raise
@@ -155,6 +165,37 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(self.state(version))
 
+    # --------------------------------------------------------------- derived
+
+    def _derived(self, folder: str) -> list[str]:
+        """The folder of the rows derived from a data folder, if this table keeps any."""
+        return [self._write(self.derive(self._rows({"folders": [folder]})), "d")] if self.derive else []
+
+    def _read_derived(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def read_derived(self, version: int | None = None) -> DataFrame:
+        """Derived rows of every data folder of a version, not merged."""
+        state = self.state(version)
+        folders, covers = state["folders"], state.get("covers", [])
+        kept = state.get("derived", []) if set(covers) <= set(folders) else []
+        if not kept:
+            return self.derive(self._rows(state))
+        rest = [f for f in folders if f not in covers]
+        rows = self._read_derived(kept)
+        return rows.unionByName(self.derive(self._rows({"folders": rest}))) if rest else rows
+
+    def merge_derived(self, merge: Callable[[DataFrame], DataFrame], least: int = 2) -> None:
+        """Put one folder in place of the derived ones, if there are ``least`` of them."""
+        while True:
+            now = self.state()
+            if len(now.get("derived", [])) < max(least, 2) or not set(now["covers"]) <= set(now["folders"]):
+                return
+            folder = self._write(merge(self._read_derived(now["derived"])), "d")
+            if self.commit(now, derived=[folder]):
+                return
+            self.discard(folder)
+
     # --------------------------------------------------------------- changes
 
     def replace(self, make: Callable[[DataFrame], DataFrame]) -> str:
@@ -163,7 +204,7 @@ class VersionedTable:
         while True:
             now = self.state()
             folder = self.write(make(self._rows(now)))
-            if self.commit(now, folders=[folder]):
+            if self.commit(now, folders=[folder], derived=[], covers=[]):
                 return f"{self.root}/{folder}"
             self.discard(folder)
 
@@ -171,7 +212,7 @@ class VersionedTable:
         """No rows; ids start again."""
         while True:
             now = self.state()
-            if self.commit(now, folders=[], next_id=0, epoch=now["epoch"] + 1):
+            if self.commit(now, folders=[], derived=[], covers=[], next_id=0, epoch=now["epoch"] + 1):
                 return
 
     def append(self, rows: DataFrame, n: int, id_col: str = "id") -> None:
@@ -182,15 +223,19 @@ class VersionedTable:
             if not self.commit(now, next_id=now["next_id"] + n):
                 continue  # another writer took the range
             folder = self.write(rows.withColumn(id_col, F.col(id_col) + now["next_id"]))
+            derived = self._derived(folder)
             while (state := self.state())["epoch"] == now["epoch"]:
-                if self.commit(state, folders=[*state["folders"], folder]):
+                more = {"derived": [*state.get("derived", []), *derived], "covers": [*state.get("covers", []), folder]} if derived else {}
+                if self.commit(state, folders=[*state["folders"], folder], **more):
                     return
-            self.discard(folder)  # cleared meanwhile: the ids start again
+            for f in (folder, *derived):
+                self.discard(f)  # cleared meanwhile: the ids start again
 
     def renew(self, rows: DataFrame, n: int) -> None:
         """These rows, ids 1 to at most ``n``, in place of all others, in one step."""
         folder = self.write(rows)
+        derived = self._derived(folder)
         while True:
             now = self.state()
-            if self.commit(now, folders=[folder], next_id=n, epoch=now["epoch"] + 1):
+            if self.commit(now, folders=[folder], derived=derived, covers=[folder] if derived else [], next_id=n, epoch=now["epoch"] + 1):
                 return
