@@ -26,7 +26,7 @@ from packetlog.operators import hosts as H
 from packetlog.operators import render as RT
 from packetlog.plans.store import import_log_to_path
 from packetlog.session import scratch_path
-from packetlog.streaming.follow import follow, read_feed
+from packetlog.streaming.follow import follow, follow_file, read_feed
 
 # The corpus operators are an optional part: where they can't be imported, the rest works.
 def _optional(name: str):
@@ -354,6 +354,36 @@ def _follow_feed(spark, sf):
     return FD.scan_feed(read_feed(spark, sink).withColumnRenamed("packet_no", "id"))
 
 
+def _append_to(path: str, folder: str) -> None:
+    """Append the text files of a folder, in the order of their names, to one file."""
+    import shutil
+    from pyarrow.fs import FileSelector
+    from packetlog.streaming.tail import file_system
+    (store, plain), (_, parts) = file_system(path), file_system(folder)
+    store.create_dir(plain.rsplit("/", 1)[0])
+    files = sorted(i.path for i in store.get_file_info(FileSelector(parts)) if i.base_name.startswith("part-"))
+    with store.open_append_stream(plain) as out:
+        for name in files:
+            with store.open_input_stream(name) as part:
+                shutil.copyfileobj(part, out, 1 << 20)
+
+
+def _follow_growing(spark, sf):
+    """The feed of a growing log file: begun at the end of its first third, stopped
+    and started again after the second was appended and the file was then rotated, and
+    once more after the third was appended to the new file."""
+    from packetlog.session import rename_path
+    parts = _log_in_three_parts(spark, sf)
+    log, sink = f"{parts}/live/fw.log", f"{parts}/sink"
+    for name in "cba":
+        _append_to(log, f"{parts}/{name}")
+        query, _ = follow_file(spark, log, sink=sink, available_now=True, split_bytes=1 << 18)
+        query.awaitTermination()
+        if name == "b":
+            rename_path(spark, log, log + ".1")
+    return FD.scan_feed(read_feed(spark, sink).withColumnRenamed("packet_no", "id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "parse_packets": _parse_packets,
@@ -388,6 +418,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "host_table_cycle": _host_table_cycle,
         "scan_feed_limit": _scan_feed_limit,
         "follow_feed": _follow_feed,
+        "follow_growing": _follow_growing,
         "catalog_cycle": _catalog_cycle,
         "feed_text_full": _feed_text_full,
         "host_lookup": _host_lookup,
@@ -631,6 +662,8 @@ def _more_oracles() -> dict[str, str]:
             "SELECT " + _dotted("ip") + " AS ip, host, ttl FROM merged WHERE coalesce(ttl >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 336 HOUR, true)"),
         "scan_feed_limit": _with(_FEED_SQL + " WHERE id <= CAST(floor((SELECT count(*) FROM packets) * 0.4) AS BIGINT)"),
         "follow_feed": _with(_FEED_SQL),
+        "follow_growing": _with(_FEED_SQL.replace("FROM packets", "FROM (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS id) "
+                                "FROM packets WHERE e * 3 // (SELECT max(event_id) + 1 FROM events) >= 1) later")),
         "catalog_cycle": _with("SELECT s.step, CAST(CASE WHEN s.k < 0 THEN -s.k - 1 ELSE s.k * " + n_packets + " END AS BIGINT) AS n "
                                "FROM (VALUES ('created', 0), ('listed', -2), ('imported', 1), ('appended', 2), ('cleared', 0), "
                                "('imported again', 1), ('clear then import', 1), ('dropped', 0)) s(step, k)"),

@@ -89,6 +89,16 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(draft, False)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file, such as one of ``create_once``."""
+    hpath, fs = _file_system(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class VersionedTable:
     """A table of ``schema`` at ``root``; the last ``kept`` versions stay readable."""
 
@@ -114,12 +124,7 @@ class VersionedTable:
             version = max(self.versions(), default=0)
         if version == 0:
             return {"version": 0, "folders": [], "next_id": 0, "epoch": 0}
-        path, fs = _file_system(self.spark, self._entry(version))
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(read_text(self.spark, self._entry(version)))
 
     def commit(self, now: dict, **changes) -> bool:
         """Make the version after ``now``; false if another writer has made it."""

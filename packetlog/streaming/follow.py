@@ -1,8 +1,8 @@
 """Live packet feed as a Structured Streaming query.
 
-A growing single file is not a Spark stream source: the feed follows a
-directory that rotated log files land in. Each micro-batch is parsed by the
-same batch code, numbered in file order and continued from the running packet
+The feed follows a directory that rotated log files land in (``follow``), or log
+files that grow, through their rotations (``follow_file``). Each micro-batch is parsed
+by the same batch code, numbered in file order and continued from the running packet
 count, which every batch stores with its id and takes from its predecessor. Both
 writes of a batch are overwrites keyed by the batch id, so a retried batch gives the
 same result. Host names come from the newest host table at the time of the batch, of
@@ -12,6 +12,7 @@ which only the batch's own addresses are taken.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import uuid
 from collections.abc import Callable
 
@@ -22,9 +23,11 @@ from pyspark.sql import types as T
 from ..operators.feed import feed_filter
 from ..operators.hosts import FEED_HOST_WIDTH, name_feed
 from ..plans.ingest import parse_log
+from ..plans.versions import create_once, read_text
 from ..operators.parse import packets as accepted
 from ..sources.syslog import without_cr
 from ..session import delete_path, path_exists, scratch_path
+from .tail import FORMAT, SPLIT_BYTES, GrowingLog, start_offsets
 
 POLL_SECONDS = 1
 
@@ -100,11 +103,44 @@ def follow(spark: SparkSession, directory: str, sink: str | None = None, checkpo
     time. ``cache`` is a host table, or a function of the session that reads one: it
     is asked for every batch, so names stored meanwhile show in the next batch.
     ``available_now`` processes what is there and stops (scan mode)."""
-    run_id = uuid.uuid4().hex[:12]
-    sink = sink or scratch_path(spark, "feeds", run_id)
-    checkpoint = checkpoint or f"{sink}/_checkpoint"
+    sink, checkpoint = _places(spark, sink, checkpoint)
     lines = stream_lines(spark, directory, from_start, start_time, max_files_per_trigger)
-    writer = (lines.writeStream.foreachBatch(_feed_batch(sink, no_lo, no_accept, year, cache, now))
+    return _start(lines, sink, checkpoint, available_now, no_lo, no_accept, year, cache, now)
+
+
+def grown_lines(spark: SparkSession, paths: str | list[str], checkpoint: str, from_start: bool = False,
+                split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Lines appended to the given files (columns of ``read_syslog``). The place where
+    the feed begins is kept with the checkpoint, so every later start with it goes on
+    from there, also if no batch was finished before."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    kept = f"{checkpoint}/_tail_start.json"
+    if not path_exists(spark, kept):
+        create_once(spark, kept, json.dumps(start_offsets(paths, from_start)))
+    spark.dataSource.register(GrowingLog)
+    lines = (spark.readStream.format(FORMAT).option("paths", json.dumps(paths))
+             .option("start", read_text(spark, kept)).option("splitBytes", str(split_bytes)).load())
+    return lines.withColumn("value", without_cr("value"))
+
+
+def follow_file(spark: SparkSession, paths: str | list[str], sink: str | None = None, checkpoint: str | None = None,
+                from_start: bool = False, no_lo: bool = False, no_accept: bool = False, year=None,
+                cache: DataFrame | Callable[[SparkSession], DataFrame] | None = None, now=None,
+                available_now: bool = False, split_bytes: int = SPLIT_BYTES):
+    """The feed of log files that grow, from their end or ``from_start``; the other
+    parameters and the result are those of ``follow``."""
+    sink, checkpoint = _places(spark, sink, checkpoint)
+    lines = grown_lines(spark, paths, checkpoint, from_start, split_bytes)
+    return _start(lines, sink, checkpoint, available_now, no_lo, no_accept, year, cache, now)
+
+
+def _places(spark: SparkSession, sink: str | None, checkpoint: str | None) -> tuple[str, str]:
+    sink = sink or scratch_path(spark, "feeds", uuid.uuid4().hex[:12])
+    return sink, checkpoint or f"{sink}/_checkpoint"
+
+
+def _start(lines: DataFrame, sink: str, checkpoint: str, available_now: bool, *batch_options):
+    writer = (lines.writeStream.foreachBatch(_feed_batch(sink, *batch_options))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{POLL_SECONDS} seconds")
     return writer.start(), sink
