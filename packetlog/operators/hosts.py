@@ -4,7 +4,7 @@ of addresses still to resolve, upsert, prune, dump.
 The original looked hosts up one printed row at a time (a new connection per
 lookup). Here naming is an outer equi-join, done after the top-N cut for
 reports (so both sides of that join are bounded by the limit) and with a
-size-checked broadcast or a skew-safe shuffle for whole feeds.
+size-checked broadcast or, for whole feeds, a shuffle of the rarer addresses alone.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_KEYS = 1000
 # Lookups of one task, unless more tasks than allowed would be needed.
 LOOKUPS = 32
-# Number of shuffle keys a hot (or NULL) address is spread over.
-HOT_SPREAD = 4096
 
 
 def fresh_hosts(cache: DataFrame, now=None, max_age_hours: int = READ_MAX_AGE_HOURS) -> DataFrame:
@@ -87,12 +85,6 @@ def name_report(report: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"
     return out
 
 
-def _row_spread(df: DataFrame, row_key: str | None) -> Column:
-    """A deterministic per-row number in [0, HOT_SPREAD)."""
-    basis = F.col(row_key) if row_key else F.xxhash64(*[F.col(c) for c in df.columns])
-    return F.pmod(F.xxhash64(basis), F.lit(HOT_SPREAD))
-
-
 def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), now=None,
               width: int = FEED_HOST_WIDTH, max_age_hours: int = READ_MAX_AGE_HOURS,
               suffix: str = "_name", row_key: str | None = "id",
@@ -102,19 +94,22 @@ def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), n
     * Fresh host table of at most ``max_broadcast`` rows and MAX_BROADCAST_BYTES
       (both measured first, in one aggregate): broadcast hash join, the feed
       is not shuffled.
-    * Larger: shuffle join that is safe against hot addresses. The HOT_KEYS
-      most frequent addresses (found by a map-side combined count, so the
-      count itself is skew-safe) get their names through a broadcast of at most
-      HOT_KEYS rows; their rows, and rows with a NULL address, are sent to
-      HOT_SPREAD distinct dummy keys that match nothing, so no address lands
-      whole in one task. Every remaining address holds at most 1/HOT_KEYS of
-      the rows (``hot_keys`` overrides HOT_KEYS).
+    * Larger: the table is first reduced to the addresses that occur in the feed
+      (``distinct`` combines map-side) and measured again; if that fits, as above.
+    * Larger still: the HOT_KEYS most frequent addresses of a column (found by a
+      map-side combined count) get their names through a broadcast of at most
+      HOT_KEYS rows; their rows, and rows with a NULL address, stay where they are.
+      Only the other rows are shuffled: each of their addresses holds at most
+      1/HOT_KEYS of the rows (``hot_keys`` overrides HOT_KEYS).
+
+    ``row_key`` has no effect any more: no row needs a key to be spread by.
     """
     fresh = fresh_hosts(cache, now, max_age_hours)
-    size = fresh.agg(F.count(F.lit(1)).alias("rows"),
-                     F.coalesce(F.sum(F.length("host")), F.lit(0)).alias("chars")).first()
-    est_bytes = size["rows"] * 32 + size["chars"]
-    small = size["rows"] <= max_broadcast and est_bytes <= MAX_BROADCAST_BYTES
+    small = _broadcastable(fresh, max_broadcast)
+    if not small:
+        present = feed.select(F.explode(F.array(*[F.col(c) for c in ip_cols])).alias("ip")).where("ip IS NOT NULL").distinct()
+        fresh = fresh.join(present, "ip", "left_semi").checkpoint(eager=True)
+        small = _broadcastable(fresh, max_broadcast)
     # Hot addresses per column, counted on the feed itself (not on a partly
     # joined result, which would repeat the earlier joins).
     hots = {} if small else {
@@ -126,30 +121,28 @@ def name_feed(feed: DataFrame, cache: DataFrame, ip_cols=("src_ip", "dst_ip"), n
     out = feed
     for c in ip_cols:
         ipc, hostc = f"_ip_{c}", f"_host_{c}"
+        n = fresh.select(F.col("ip").alias(ipc), F.col("host").alias(hostc))
         if small:
-            n = fresh.select(F.col("ip").alias(ipc), F.col("host").alias(hostc))
             out = out.join(F.broadcast(n), out[c] == n[ipc], "left")
-            host = F.col(hostc)
         else:
             hot = hots[c]
             hot_hosts = fresh.join(F.broadcast(hot), "ip", "inner")        # at most HOT_KEYS rows
             hot_names = (hot.join(F.broadcast(hot_hosts), "ip", "left")
-                              .select(F.col("ip").alias(ipc + "_hot"), F.col("host").alias(hostc + "_hot"),
-                                      F.lit(True).alias("_is_hot")))
-            cold = (fresh.join(F.broadcast(hot), "ip", "left_anti")
-                         .select(F.col("ip").alias(ipc), F.col("host").alias(hostc)))
-            tagged = out.join(F.broadcast(hot_names), out[c] == hot_names[ipc + "_hot"], "left")
-            spread = F.lit(-1) - _row_spread(feed, row_key)
-            key = F.when(F.col("_is_hot").isNull() & F.col(c).isNotNull(), F.col(c)).otherwise(spread)
-            tagged = tagged.withColumn("_key", key)
-            out = tagged.join(cold, tagged["_key"] == cold[ipc], "left")
-            host = F.coalesce(F.col(hostc + "_hot"), F.col(hostc))
-            out = out.withColumn(hostc, host).drop("_key", "_is_hot", ipc + "_hot", hostc + "_hot")
-            host = F.col(hostc)
-        out = out.withColumn(c + suffix, display_name(host, F.col(c), width)).drop(ipc, hostc)
+                            .select(F.col("ip").alias(ipc), F.col("host").alias(hostc), F.lit(True).alias("_is_hot")))
+            marked = out.join(F.broadcast(hot_names), out[c] == hot_names[ipc], "left")
+            here = marked.where(F.col("_is_hot") | F.col(c).isNull()).drop("_is_hot")
+            rest = marked.where(F.col("_is_hot").isNull() & F.col(c).isNotNull()).select(*out.columns)
+            cold = n.join(F.broadcast(hot.withColumnRenamed("ip", ipc)), ipc, "left_anti")
+            out = here.unionByName(rest.join(cold, rest[c] == cold[ipc], "left"))
+        out = out.withColumn(c + suffix, display_name(F.col(hostc), F.col(c), width)).drop(ipc, hostc)
     return out
 
 
+def _broadcastable(hosts: DataFrame, max_rows: int) -> bool:
+    size = hosts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("host")), F.lit(0)).alias("chars")).first()
+    return size["rows"] <= max_rows and size["rows"] * 32 + size["chars"] <= MAX_BROADCAST_BYTES
+
+
 def hosts_to_resolve(logs: DataFrame, cache: DataFrame, now=None,
                      max_age_hours: int = READ_MAX_AGE_HOURS) -> DataFrame:
     """Distinct source and destination addresses with no fresh host entry.
