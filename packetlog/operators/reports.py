@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ipaddr import long_to_ip
@@ -72,6 +72,9 @@ REPORT_ORDER = list(REPORTS)
 
 # Every filter and key column of the six reports: the roll-up grain.
 ROLLUP_KEYS = ["if_in", "if_out", "src_ip", "dst_prt", "proto", "action"]
+# Registers of the sketch of those keys (2^9: within 5 % in most cases, 1 KB of text in a
+# log); how often a group is handled: shuffled, written, and read by each report.
+SKETCH_LG, ROLLUP_PASSES = 9, 2 + len(REPORTS)
 
 
 def _finish(grouped: DataFrame, spec: dict, limit: int, numeric_ips: bool,
@@ -117,10 +120,43 @@ def packet_rollup(logs: DataFrame) -> DataFrame:
         F.min_by("dst_ip", "id").alias("dst_ip"))
 
 
+def _in_reports() -> Column:
+    # Accepted packets other than ICMP are in no report.
+    return (F.col("action") != "ACCEPT") | (F.col("proto") == "ICMP")
+
+
+def rollup_facts() -> list[Column]:
+    """Aggregates that tell how far a roll-up shrinks the packets: their number, that
+    of those in reports, and a mergeable distinct-count sketch of their keys (text)."""
+    keys = F.when(_in_reports(), F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in ROLLUP_KEYS]))
+    return [F.count(F.lit(1)).alias("packets"), F.count_if(_in_reports()).alias("reported"),
+            F.base64(F.hll_sketch_agg(keys, SKETCH_LG)).alias("sketch")]
+
+
+def merge_facts(spark: SparkSession, a: dict, b: dict) -> dict:
+    """Facts about the packets of two tables together."""
+    union = F.base64(F.hll_union(F.unbase64(F.lit(a["sketch"])), F.unbase64(F.lit(b["sketch"]))))
+    return {"packets": a["packets"] + b["packets"], "reported": a["reported"] + b["reported"],
+            "sketch": spark.range(1).select(union).first()[0]}
+
+
+def rollup_groups(spark: SparkSession, facts: dict) -> int:
+    """Estimated rows of the roll-up."""
+    return spark.range(1).select(F.hll_sketch_estimate(F.unbase64(F.lit(facts["sketch"])))).first()[0]
+
+
+def rollup_pays(spark: SparkSession, facts: dict) -> bool:
+    """Whether six reports by way of a roll-up handle fewer rows than six scans: one
+    scan, its groups shuffled, written and read six times."""
+    if not facts["reported"]:
+        return True
+    return facts["packets"] + ROLLUP_PASSES * rollup_groups(spark, facts) <= len(REPORTS) * facts["packets"]
+
+
 def report_rollup(logs: DataFrame) -> DataFrame:
     """The roll-up of all packets that are in any report (accepted ones other than
     ICMP are in none)."""
-    return packet_rollup(logs.where((F.col("action") != "ACCEPT") | (F.col("proto") == "ICMP")))
+    return packet_rollup(logs.where(_in_reports()))
 
 
 def merge_rollups(rollups: DataFrame) -> DataFrame:
@@ -169,13 +205,16 @@ def inbound_port_actions(logs, limit=DEFAULT_LIMIT, **kw):
 ALL_COLUMNS = ["report", "rank", "count", "src_ip", "src_prt", "dst_ip", "dst_prt", "proto", "action", "if_in"]
 
 
-def analysis(logs: DataFrame, limit: int = DEFAULT_LIMIT, use_rollup: bool = True,
+def analysis(logs: DataFrame, limit: int = DEFAULT_LIMIT, use_rollup: bool | str = True,
              numeric_ips: bool = False, with_rank: bool = False) -> dict[str, DataFrame]:
-    """All six reports, in the original order. With ``use_rollup`` they are
+    """All six reports, in the original order. With ``use_rollup`` (or ``"auto"``, if a
+    sketch of the keys, taken in one scan without a shuffle, says it pays) they are
     read from one shared roll-up, written once to the checkpoint folder: the
     packet table is scanned and shuffled once instead of six times. (Left lazy,
     Catalyst would push each report's filter below the roll-up and plan six
     different scans.)"""
+    if use_rollup == "auto":
+        use_rollup = rollup_pays(logs.sparkSession, logs.agg(*rollup_facts()).first().asDict())
     if use_rollup:
         rollup = report_rollup(logs).checkpoint(eager=True)
         return analysis_from_rollup(rollup, limit, numeric_ips, with_rank)

@@ -18,9 +18,10 @@ from ..functions.eventtime import utc_now
 from ..operators.hosts import PRUNE_MAX_AGE_HOURS, prune_hosts, upsert_hosts
 from ..session import delete_path, scratch_path
 from ..operators.parse import rejects
+from ..operators import reports
 from ..operators.reports import merge_rollups, report_rollup
 from .ingest import number_staged, stage_lines
-from .versions import KEPT_VERSIONS, VersionedTable
+from .versions import KEPT_VERSIONS, Measure, VersionedTable
 
 
 def _quote(name: str) -> str:
@@ -169,8 +170,24 @@ KEPT_SNAPSHOTS = KEPT_VERSIONS
 MERGE_ROLLUPS = 8
 
 
-def packet_table(spark: SparkSession, root: str, rollup: bool = False) -> VersionedTable:
-    return VersionedTable(spark, root, LOGS_SCHEMA, derive=report_rollup if rollup else None)
+def packet_table(spark: SparkSession, root: str, rollup: bool | str = False) -> VersionedTable:
+    measure = Measure(reports.rollup_facts(), lambda a, b: reports.merge_facts(spark, a, b),
+                      lambda facts: reports.rollup_pays(spark, facts)) if rollup == "auto" else None
+    return VersionedTable(spark, root, LOGS_SCHEMA, derive=report_rollup if rollup else None, measure=measure)
+
+
+def stored_analysis(spark: SparkSession, root: str, limit: int = reports.DEFAULT_LIMIT, numeric_ips: bool = False,
+                    with_rank: bool = False) -> dict[str, DataFrame]:
+    """The six reports of the newest version: from the stored roll-ups where all
+    packets have one, else by a roll-up made now or by six scans, as the sketch in the
+    log says (or one taken now, if some imports left none)."""
+    table = packet_table(spark, root, rollup=True)
+    state = table.state()
+    if state["folders"] and set(state.get("covers", [])) == set(state["folders"]):
+        return reports.analysis_from_rollup(table.read_derived(state["version"]), limit, numeric_ips, with_rank)
+    facts = table.facts(state)
+    plan = "auto" if facts is None else reports.rollup_pays(spark, facts)
+    return reports.analysis(table.read(state["version"]), limit, plan, numeric_ips, with_rank)
 
 
 def read_rollup(spark: SparkSession, root: str) -> DataFrame:
@@ -185,14 +202,16 @@ def read_packets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def import_packets(spark: SparkSession, lines: DataFrame, root: str, clear: bool = False, year=None,
-                   rejects_path: str | None = None, rollup: bool = False) -> DataFrame:
+                   rejects_path: str | None = None, rollup: bool | str = False) -> DataFrame:
     """Import ``lines`` (from ``read_syslog``) into the versioned packet table at
     ``root``. Ids follow those given out before, from a range that is reserved
     first, so imports may run at the same time. ``clear`` puts the new rows in place
     of all others in one commit: readers see the old rows or the new ones, and a
     failed import changes nothing. With ``rollup`` the new packets' roll-up is stored in
     the same commit, and every ``MERGE_ROLLUPS`` of them are merged: reports then read
-    no packets. Returns the import summary."""
+    no packets. ``rollup="auto"`` takes a distinct-count sketch of the roll-up's keys while
+    the packets are written, keeps it in the log, and stores the roll-up only if that
+    pays. Returns the import summary."""
     table = packet_table(spark, root, rollup)
     with _staged(spark, lines, year, 0) as staged:
         n = staged.staged.count()

@@ -27,7 +27,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import delete_path
@@ -99,12 +99,23 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+class Measure:
+    """Facts about rows, taken while they are written and kept in the log.
+
+    ``columns``: named aggregates; ``merge``: the facts of two sets of rows as those of
+    both; ``pays``: whether rows with such facts get derived rows stored."""
+
+    def __init__(self, columns: list[Column], merge: Callable[[dict, dict], dict], pays: Callable[[dict], bool]):
+        self.columns, self.merge, self.pays = columns, merge, pays
+
+
 class VersionedTable:
     """A table of ``schema`` at ``root``; the last ``kept`` versions stay readable."""
 
     def __init__(self, spark: SparkSession, root: str, schema, kept: int = KEPT_VERSIONS,
-                 derive: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.root, self.schema, self.kept, self.derive = spark, root.rstrip("/"), schema, kept, derive
+                 derive: Callable[[DataFrame], DataFrame] | None = None, measure: "Measure | None" = None):
+        self.spark, self.root, self.schema, self.kept = spark, root.rstrip("/"), schema, kept
+        self.derive, self.measure = derive, measure
 
     # -------------------------------------------------------------- versions
 
@@ -172,9 +183,25 @@ class VersionedTable:
 
     # --------------------------------------------------------------- derived
 
-    def _derived(self, folder: str) -> list[str]:
+    def _write_measured(self, rows: DataFrame) -> tuple[str, dict | None]:
+        """A new data folder and the facts about its rows."""
+        if not self.measure:
+            return self.write(rows), None
+        seen = Observation()
+        folder = self.write(rows.select(*self.schema.names).observe(seen, *self.measure.columns))
+        return folder, seen.get
+
+    def facts(self, state: dict | None = None) -> dict | None:
+        """Facts about all rows of a version, or None if some were not measured."""
+        state = state or self.state()
+        known = state.get("measured", {})
+        return known["facts"] if state["folders"] and known.get("folders") == state["folders"] else None
+
+    def _derived(self, folder: str, facts: dict | None) -> list[str]:
         """The folder of the rows derived from a data folder, if this table keeps any."""
-        return [self._write(self.derive(self._rows({"folders": [folder]})), "d")] if self.derive else []
+        if not self.derive or facts is not None and not self.measure.pays(facts):
+            return []
+        return [self._write(self.derive(self._rows({"folders": [folder]})), "d")]
 
     def _read_derived(self, folders: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
@@ -227,10 +254,13 @@ class VersionedTable:
             now = self.state()
             if not self.commit(now, next_id=now["next_id"] + n):
                 continue  # another writer took the range
-            folder = self.write(rows.withColumn(id_col, F.col(id_col) + now["next_id"]))
-            derived = self._derived(folder)
+            folder, facts = self._write_measured(rows.withColumn(id_col, F.col(id_col) + now["next_id"]))
+            derived = self._derived(folder, facts)
             while (state := self.state())["epoch"] == now["epoch"]:
                 more = {"derived": [*state.get("derived", []), *derived], "covers": [*state.get("covers", []), folder]} if derived else {}
+                if facts is not None and (not state["folders"] or self.facts(state)):
+                    both = self.measure.merge(self.facts(state), facts) if state["folders"] else facts
+                    more["measured"] = {"folders": [*state["folders"], folder], "facts": both}
                 if self.commit(state, folders=[*state["folders"], folder], **more):
                     return
             for f in (folder, *derived):
@@ -238,9 +268,11 @@ class VersionedTable:
 
     def renew(self, rows: DataFrame, n: int) -> None:
         """These rows, ids 1 to at most ``n``, in place of all others, in one step."""
-        folder = self.write(rows)
-        derived = self._derived(folder)
+        folder, facts = self._write_measured(rows)
+        derived = self._derived(folder, facts)
+        measured = {} if facts is None else {"folders": [folder], "facts": facts}
         while True:
             now = self.state()
-            if self.commit(now, folders=[folder], derived=derived, covers=[folder] if derived else [], next_id=n, epoch=now["epoch"] + 1):
+            if self.commit(now, folders=[folder], derived=derived, covers=[folder] if derived else [], measured=measured,
+                           next_id=n, epoch=now["epoch"] + 1):
                 return
