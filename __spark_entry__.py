@@ -253,6 +253,48 @@ def _analysis_incremental(spark, sf):
     return R.union_reports(R.analysis_from_rollup(store.read_rollup(spark, root), REPORT_LIMIT, with_rank=True))
 
 
+def _analysis_stored_auto(spark, sf):
+    """The six reports of a table of three imports, each of which stored its roll-up
+    only if the sketch of its keys said that it pays."""
+    import uuid
+    from packetlog.plans import store
+    from packetlog.sources import read_syslog
+    log, root = _log_in_three_parts(spark, sf), scratch_path(spark, "imports", uuid.uuid4().hex)
+    for name in "cba":
+        store.import_packets(spark, read_syslog(spark, f"{log}/{name}"), root, rollup="auto")
+    return R.union_reports(store.stored_analysis(spark, root, REPORT_LIMIT, with_rank=True))
+
+
+def _import_rejects(spark, sf):
+    """Summary and rejected lines of an import in which the marker of some lines is
+    glued to the word before, so that it is no token."""
+    import uuid
+    from packetlog.plans import store
+    from packetlog.sources import read_syslog
+    from packetlog.sources.fixtures import render_syslog
+    root, events = scratch_path(spark, "rejects", uuid.uuid4().hex), spark.read.parquet(f"{sf}/events.parquet")
+    lines = render_syslog(events).withColumn("value", F.when(F.col("event_id") % 13 == 0, F.replace("value", F.lit(" IPT: "), F.lit(" xIPT: "))).otherwise(F.col("value")))
+    lines.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(f"{root}/log")
+    total = store.import_packets(spark, read_syslog(spark, f"{root}/log"), f"{root}/table", rejects_path=f"{root}/rejected")
+    stored = store.read_packets(spark, f"{root}/table").agg(F.count(F.lit(1)).alias("stored"), F.max("id").alias("max_id"))
+    # After " kernel: [" comes the event's number.
+    number = F.regexp_extract("line", r" kernel: \[(\d+)\.", 1).cast("bigint")
+    kept = spark.read.parquet(f"{root}/rejected").agg(F.count(F.lit(1)).alias("rejected_lines"), F.sum(number).alias("sum_of_numbers"))
+    parts = [df.unpivot([], df.columns, "what", "n") for df in (total, stored, kept)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _follow_arrival(spark, sf):
+    """Whether each packet of a feed arrived between its start and its end."""
+    import datetime as dt
+    from packetlog.sources.fixtures import fixture_log_path
+    started = dt.datetime.now(dt.timezone.utc)
+    query, sink = follow(spark, fixture_log_path(spark, sf), from_start=True, available_now=True)
+    query.awaitTermination()
+    ended = dt.datetime.now(dt.timezone.utc)
+    return read_feed(spark, sink).select(F.col("id").alias("packet_no"), F.col("arrival").between(F.lit(started), F.lit(ended)).alias("in_time"))
+
+
 def _packet_ids_by_list(spark, sf):
     """Ids of a log in three parts, given oldest first under names that sort the
     other way, and the newest part once more."""
@@ -393,6 +435,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "import_summary": _import_summary,
         "analysis_all": _analysis_all,
         "analysis_incremental": _analysis_incremental,
+        "analysis_stored_auto": _analysis_stored_auto,
+        "import_rejects": _import_rejects,
+        "follow_arrival": _follow_arrival,
         "packet_rollup": _packet_rollup,
         "ip_functions": _ip_functions,
         "trim_host": _trim_host,
@@ -534,6 +579,13 @@ def oracle_sql() -> dict[str, str]:
                            "CAST(0 AS BIGINT) AS rejected FROM events"),
         "analysis_all": _analysis_all_sql(),
         "analysis_incremental": _analysis_all_sql(),
+        "analysis_stored_auto": _analysis_all_sql(),
+        "import_rejects": _with(
+            "SELECT v.what, CAST(v.n AS BIGINT) AS n FROM (SELECT count(*) AS m, count(*) FILTER (WHERE e % 13 <> 0) AS p, "
+            "max(id) FILTER (WHERE e % 13 <> 0) AS x, sum(e) FILTER (WHERE e % 13 = 0) AS s FROM packets) t, "
+            "LATERAL (VALUES ('lines_read', (SELECT count(*) FROM events)), ('marker_lines', m), ('parsed', p), ('rejected', m - p), "
+            "('stored', p), ('max_id', x), ('rejected_lines', m - p), ('sum_of_numbers', s)) v(what, n)"),
+        "follow_arrival": _with("SELECT id AS packet_no, true AS in_time FROM packets"),
         "packet_rollup": _with("SELECT if_in, if_out, src_ip, dst_prt, proto, action, CAST(count(*) AS BIGINT) AS count, "
                                "min(id) AS min_id, arg_min(src_prt, id) AS rep_src_prt, arg_min(dst_ip, id) AS rep_dst_ip "
                                "FROM packets GROUP BY ALL"),
