@@ -13,7 +13,8 @@ bound of what is broadcast); for each block:
    scores: the k-th value itself.
 2. Everything above the k-th value is kept, and of the scores equal to it as
    many as are missing, by smaller vec_id; each task hands on at most k rows of
-   a query, so ties of any size are harmless.
+   a query, so ties of any size are harmless. The block's k rows of each query
+   are written to the shared folder, and what was broadcast for it goes.
 
 Nothing but k rows per query and task is shuffled, and no scores are stored.
 Work grows with queries times vectors, as an exact search must.
@@ -22,18 +23,21 @@ Edge cases: vectors that are null, or hold null or non-finite components, take
 no part, nor do rows without ``vec_id``; vectors of another length than a query
 are no candidates for it. A row is the query's own if it has its ``vec_id``.
 A query id that occurs twice is searched once, with the smaller vector;
-candidates that repeat each count, as they would in a join. Scores beyond 64 bits
-raise OverflowError. Queries with no candidate give no row.
+candidates that repeat each count, as they would in a join. A score of 2^61 or more
+either way raises OverflowError. Queries with no candidate give no row.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetlog.llm import common as C
+from packetlog.session import scratch_path
 
 K = 5
 SCALE = 256.0
@@ -41,9 +45,12 @@ QUERY_STEP = 50
 QUERY_BLOCK = 4096
 BLOCK_VALUES = 1 << 21
 BINS = 512
+RESULT = "query_id long, rank int, vec_id long, score long"
 #: Scores held at once in a task.
 CHUNK = 1 << 21
 EXACT = float(1 << 53)
+#: Scores below this leave room for the ends of a range in 64 bits.
+LIMIT = 1 << 61
 
 
 def quantised(column: str) -> Column:
@@ -67,13 +74,17 @@ class Block:
     def state(self) -> tuple:
         return self.ids, self.vectors, self.low, self.stop, self.step
 
-    def scores(self, matrix: np.ndarray) -> np.ndarray:
-        """Exact scores, queries by rows of ``matrix`` (whole numbers)."""
+    def scores(self, matrix: np.ndarray, valid=True) -> np.ndarray:
+        """Exact scores, queries by rows of ``matrix`` (whole numbers), where ``valid``."""
         peak = np.abs(matrix).max(initial=0) * np.abs(self.vectors).max(initial=0) * max(1, matrix.shape[1])
         if peak < EXACT:  # every partial sum is a whole number that doubles hold
             return (self.vectors @ matrix.T).astype(np.int64)
-        if peak >= 2.0 ** 63:
-            raise OverflowError("an inner product may exceed 64 bits")
+        if peak >= LIMIT:  # Python's integers tell whether a score really gets there
+            whole = np.frompyfunc(int, 1, 1)
+            scores = (whole(self.vectors) @ whole(matrix).T) * valid
+            if max(abs(s) for s in scores.flat) >= LIMIT:
+                raise OverflowError("an inner product is 2^61 or more")
+            return scores.astype(np.int64)
         return self.vectors.astype(np.int64) @ matrix.astype(np.int64).T
 
 
@@ -89,8 +100,8 @@ def _chunks(batches, block: Block):
         for k in range(0, len(fits), most):
             rows = fits[k:k + most]
             matrix = values[starts[rows][:, None] + np.arange(width)]
-            scores = block.scores(matrix)
-            yield ids[rows], scores, block.ids[:, None] != ids[rows][None, :]
+            valid = block.ids[:, None] != ids[rows][None, :]
+            yield ids[rows], block.scores(matrix, valid), valid
 
 
 def _count(batches, block: Block, k: int):
@@ -128,8 +139,10 @@ def _collect(batches, block: Block, k: int):
 def _kth_values(vectors: DataFrame, block: Block, bound: float, k: int) -> None:
     """Refine the block's ranges until each is the single k-th best score (or
     the lowest possible score, for queries with fewer than k candidates)."""
-    norms = np.sqrt((block.vectors ** 2).sum(axis=1))
-    reach = np.ceil(norms * bound * (1 + 1e-9)).astype(np.int64) + 1
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt((block.vectors ** 2).sum(axis=1))
+        reach = np.ceil(np.where(norms == 0, 0, norms * bound * (1 + 1e-9)))
+    reach = np.minimum(np.nan_to_num(reach, nan=LIMIT, posinf=LIMIT), LIMIT).astype(np.int64) + 1
     block.low, block.stop = -reach, reach + 1
     queries, need, few = np.arange(len(block.ids)), np.full(len(block.ids), k, np.int64), np.zeros(len(block.ids), bool)
     while True:
@@ -137,7 +150,7 @@ def _kth_values(vectors: DataFrame, block: Block, bound: float, k: int) -> None:
         shared = vectors.sparkSession.sparkContext.broadcast(block.state())
         rows = (vectors.mapInArrow(lambda it: _count(it, Block(*shared.value), k), "query long, bin long, n long")
                 .groupBy("query", "bin").agg(F.sum("n").alias("n")).toPandas())  # at most BINS rows a query
-        shared.unpersist()
+        shared.destroy()
         counts = np.zeros((len(block.ids), BINS), np.int64)
         counts[rows["query"], rows["bin"]] = rows["n"]
         total = counts[:, ::-1].cumsum(axis=1)[:, ::-1]  # of this bin and all above
@@ -160,7 +173,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, column: str = "embed
     queries = C.cut(rows.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v")))
     rows = rows.select("vec_id", "v")
     widths = queries.groupBy(F.size("v").alias("width")).count().orderBy("width").toLocalIterator()
-    found = None
+    found = scratch_path(spark, "llm", uuid.uuid4().hex)
     for width, n in [(r["width"], r["count"]) for r in widths]:
         bound = rows.where(F.size("v") == width).agg(
             F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
@@ -174,27 +187,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, column: str = "embed
             for row in part:
                 held.append(row)
                 if len(held) == size:
-                    found = _add(found, _search(rows, held, bound, k))
+                    _search(rows, held, bound, k, found)
                     held = []
             if held:
-                found = _add(found, _search(rows, held, bound, k))
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                _search(rows, held, bound, k, found)
+    # The schema also holds for a folder without a block.
+    spark.createDataFrame([], RESULT).write.mode("append").parquet(found)
+    return spark.read.schema(RESULT).parquet(found)
 
 
-def _search(rows: DataFrame, queries: list, bound: float, k: int) -> DataFrame:
-    """Candidate rows for one block of queries: the k best of every task."""
+def _search(rows: DataFrame, queries: list, bound: float, k: int, folder: str) -> None:
+    """Append the result of one block of queries: the k best of every task's k best."""
     block = Block(np.array([r["vec_id"] for r in queries], np.int64), np.array([r["v"] for r in queries], np.float64).reshape(len(queries), -1))
     _kth_values(rows, block, bound, k)
     shared = rows.sparkSession.sparkContext.broadcast(block.state())
-    return rows.mapInArrow(lambda it: _collect(it, Block(*shared.value), k), "query_id long, vec_id long, score long")
-
-
-def _add(found: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if found is None else found.unionByName(more)
+    found = rows.mapInArrow(lambda it: _collect(it, Block(*shared.value), k), "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+    shared.destroy()
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,20 @@ def test_scores_beyond_doubles_are_exact_and_beyond_longs_raise():
     assert block.scores(np.array([[2.0 ** 30, 1.0]])).tolist() == [[2 ** 60 + 1]]
     with pytest.raises(OverflowError):
         block.scores(np.array([[2.0 ** 40, 1.0]]))
+    assert block.scores(np.array([[1.0, 2.0 ** 40]])).tolist() == [[2 ** 30 + 2 ** 40]]
+
+
+def test_large_components_whose_scores_fit(spark):
+    rows = [(i, [2.0 ** 30 if i % 2 else 0.0, float(i), 0.0 if i % 2 else 2.0 ** 30]) for i in range(20)]
+    kept = [r for r in rows if r[0] % 2 == 0][:1] + [r for r in rows if r[0] % 2]
+    assert run(spark, kept, 3, 10) == sorted(brute(kept, 3, 10))
+
+
+def test_blocks_leave_no_broadcast_and_a_plan_of_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    alive, make = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: alive.append(make(v)) or alive[-1])
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    found = topk.top_k(df, F.col("vec_id") % 10 == 0)
+    assert found.count() == 15 and found._jdf.queryExecution().toString().count("FileScan") <= 2
+    assert len(alive) >= 6 and not any(b._jbroadcast.isValid() for b in alive)
