@@ -7,16 +7,18 @@ frequent n-grams are compared with each profile by the out-of-place distance:
 the sum of rank differences, with ``depth`` for an n-gram that the profile
 lacks. The smallest distance wins; ties go to the alphabetically first name.
 
-Fitting uses a bounded sample: per language at most ``SAMPLE`` different documents,
+Fitting for ``op5`` uses a bounded sample: per language at most ``SAMPLE`` different documents,
 those with the smallest hashes of id and text, read by whole text. Where to cut the
 hashes follows from counts by their leading bits, in a few rounds, so no task sees a
 language's rows together. ``MAX_LANGUAGES`` bounds the profiles (about 6 kB each),
 which are the only broadcast. Prediction is one pass over whole texts without a
 shuffle.
 
-As a filter (``keep_known``) it rejects documents without a letter, and documents
-whose score lies clearly (by ``MARGIN``) below all that the sample of the predicted
-language reached at like length: those are in no learned language.
+As a filter (``keep_known``) it learns from all labelled documents outside the
+held-out fold, without a sample: profiles are counted over all their texts, and so
+is the least score of each language. It rejects documents without a letter, and
+documents whose score lies clearly (by ``MARGIN``) below all that the predicted
+language's own documents reached at like length: those are in no learned language.
 
 The score is the share of the largest possible distance that the document
 saves: 1 for a document ordered like the profile, 0 for one without any n-gram
@@ -49,8 +51,10 @@ BITS = 21  # of a code point; three fit one 64-bit code
 #: Bits of a hash that one round of the cut counts, and the share of the sample at
 #: which it stops.
 ROUND, ENOUGH = 8, 0.9
-#: Share of the least score of a language's sample that a document must reach.
+#: Share of the least score of a language's documents that a document must reach.
 MARGIN = 0.8
+#: Codes that a task counts at once, and rows whose texts it holds at once.
+CHUNK, ROWS = 1 << 20, 512
 
 
 def letter_table() -> np.ndarray:
@@ -113,14 +117,19 @@ def held_out() -> Column:
     return C.id_remainder(HELD_OUT[0]) == F.lit(HELD_OUT[1])
 
 
+def _languages(rows: DataFrame) -> list[str]:
+    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return names
+
+
 def _cuts(rows: DataFrame, sample: int) -> dict[str, int]:
     """For each language the bound up to which lie at most ``sample`` different
     hashes ``h`` (and nearly as many, if there are): counts by leading bits say in
     which slice of the hashes the bound lies, the next round cuts that slice."""
     known = rows.select("lang", F.shiftrightunsigned("h", 1).alias("u")).distinct()
-    names = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = _languages(known)
     bounds, taken, slices, width = {n: -1 for n in names}, {n: 0 for n in names}, {n: 0 for n in names}, 63
     while slices and width:
         above, width = width, max(0, width - ROUND)
@@ -144,11 +153,16 @@ def _cuts(rows: DataFrame, sample: int) -> dict[str, int]:
     return bounds
 
 
-def _teachers(docs: DataFrame, sample: int) -> DataFrame | None:
-    """The sample: ``lang`` and ``text``, or None if there is no language."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """All rows that may teach: ``lang``, ``text`` and the hash ``h`` of id and text."""
     hashed = F.xxhash64(F.col(C.DOC_ID).cast("string"), F.col(C.TEXT).cast("string"))
-    rows = docs.where(F.col("lang").isNotNull() & F.col(C.TEXT).isNotNull() & ~held_out()).select(
+    return docs.where(F.col("lang").isNotNull() & F.col(C.TEXT).isNotNull() & ~held_out()).select(
         F.col("lang").cast("string").alias("lang"), hashed.alias("h"), F.col(C.TEXT).cast("string").alias("text"))
+
+
+def _teachers(docs: DataFrame, sample: int) -> DataFrame | None:
+    """The sample: ``lang`` and ``text``, or None if there is no language."""
+    rows = _labelled(docs)
     bounds = _cuts(rows, sample)
     if not bounds:
         return None
@@ -163,20 +177,34 @@ def fit(docs: DataFrame, depth: int = DEPTH, sample: int = SAMPLE) -> dict[str,
     return _profiles(taught, depth) if taught is not None else {}
 
 
+def _slices(batches):
+    """The rows (lang, text) of all batches, few of them as Python strings at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            part = batch.slice(k, ROWS)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def _profiles(taught: DataFrame, depth: int) -> dict[str, list[int]]:
     letters = letter_table()
 
+    def counted(held):
+        for lang, parts in held.items():
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
+                                             names=["lang", "code", "n"])
+
     def count(batches):
         grams = Grams(letters)
-        for batch in batches:
-            sums: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, n = np.unique(grams.codes(text), return_counts=True)
-                sums.setdefault(lang, Counter()).update(dict(zip(codes.tolist(), n.tolist())))
-            for lang, c in sums.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())],
-                    names=["lang", "code", "n"])
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+        for lang, text in _slices(batches):
+            held.setdefault(lang, []).append(codes := grams.codes(text))
+            size += len(codes) + 1
+            if size >= CHUNK:
+                yield from counted(held)
+                held, size = {}, 0
+        yield from counted(held)
 
     sums = taught.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -216,22 +244,21 @@ def _length(grams: np.ndarray) -> int:
 
 
 def _least(taught: DataFrame, profiles: dict[str, list[int]], depth: int) -> dict[tuple[str, int], float]:
-    """The least score of each language's sample, by length class."""
+    """The least score that each language's rows in ``taught`` reach, by length class."""
     shared = taught.sparkSession.sparkContext.broadcast((letter_table(), profiles))
 
     def scores(batches):
         letters, known = shared.value
         grams, model = Grams(letters), Profiles(known, depth)
-        for batch in batches:
-            found: dict[tuple[str, int], float] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                top = grams.top(text, depth)
-                name, score = model.best(top) if len(top) else (UNKNOWN, 0.0)
-                if name == lang:
-                    at = (name, _length(top))
-                    found[at] = min(score, found.get(at, 1.0))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.float64())],
-                                             names=["lang", "length", "score"])
+        found: dict[tuple[str, int], float] = {}
+        for lang, text in _slices(batches):
+            top = grams.top(text, depth)
+            name, score = model.best(top) if len(top) else (UNKNOWN, 0.0)
+            if name == lang:
+                at = (name, _length(top))
+                found[at] = min(score, found.get(at, 1.0))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.float64())],
+                                         names=["lang", "length", "score"])
 
     rows = taught.mapInArrow(scores, "lang string, length int, score double").groupBy("lang", "length").agg(F.min("score").alias("score"))
     return {(r["lang"], r["length"]): r["score"] for r in rows.collect()}  # a few classes a language
@@ -240,11 +267,13 @@ def _least(taught: DataFrame, profiles: dict[str, list[int]], depth: int) -> dic
 def keep_known(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """``docs`` without the documents that language ID rejects: those without a
     letter, and those whose score is below ``margin`` times the least score that the
-    predicted language's sample has in their length class. Classes that the sample
-    lacks reject nothing. Fitted on ``docs``."""
-    taught = _teachers(docs, SAMPLE)
-    profiles = _profiles(taught, DEPTH) if taught is not None else {}
-    least = _least(taught, profiles, DEPTH) if profiles else {}
+    predicted language's documents have in their length class. Classes that they lack
+    reject nothing. Fitted on all labelled rows of ``docs`` outside the held-out fold;
+    rows equal in language, id and text count once."""
+    rows = _labelled(docs)
+    profiles = _profiles(rows.dropDuplicates(["lang", "h"]).select("lang", "text"), DEPTH) if _languages(rows) else {}
+    # Copies have the score of their first, so the least score needs no shuffle of texts.
+    least = _least(rows.select("lang", "text"), profiles, DEPTH) if profiles else {}
     shared = docs.sparkSession.sparkContext.broadcast((letter_table(), profiles, least))
     plain = [f.name for f in docs.schema.fields]
 
@@ -260,11 +289,17 @@ def keep_known(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
             return score >= margin * limits.get((name, _length(top)), 0.0)
 
         for batch in batches:
-            mask = pa.array([passes(t) for t in batch.column(len(plain)).to_pylist()], pa.bool_())
-            yield batch.filter(mask).select(range(len(plain)))
-
-    text = F.coalesce(F.col(C.TEXT).cast("string"), F.lit(""))
-    return docs.select(*docs.columns, text.alias("__text")).mapInArrow(known, docs.schema)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                mask = pa.array([passes(t or "") for t in part.column(at).to_pylist()], pa.bool_())
+                yield part.filter(mask).select(range(len(plain)))
+
+    # Texts are sent to the workers once; only one of another type gets a column as string.
+    if dict(docs.dtypes).get(C.TEXT) == "string":
+        at, sent = plain.index(C.TEXT), docs
+    else:
+        at, sent = len(plain), docs.withColumn("__text", F.col(C.TEXT).cast("string"))
+    return sent.mapInArrow(known, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

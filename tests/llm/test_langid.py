@@ -98,3 +98,21 @@ def test_sample_is_bounded_and_nearly_full(spark):
         n = {r["lang"]: r["count"] for r in langid._teachers(docs, sample).groupBy("lang").count().collect()}
         assert n["cc"] == 1 and all(0.8 * sample <= n[k] <= sample for k in ("aa", "bb"))
     assert langid._teachers(docs, 5000).count() == docs.select("doc_id", "text").distinct().count()
+
+
+def test_filter_learns_from_all_rows(spark, monkeypatch):
+    """Profiles and least scores of the filter come from every labelled row, whatever
+    the sample of op5 is; repeated rows count once."""
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    monkeypatch.setattr(langid, "CHUNK", 100, raising=False)
+    rng = random.Random(3)
+    strange = ["zzyqx", "qwyzj", "xxqzv", "jjwqy"]
+    odd = [(6000 + k, " ".join(rng.choice(strange) for _ in range(20)), "aa") for k in range(8)]
+    rows = [(k, text, "aa") for k, text, lang in corpus() if lang == "aa"] + odd
+    docs = table(spark, [*rows, *odd * 50, (7000, "12 !", "aa"), (7001, None, "aa")])
+    assert {zlib.crc32(str(k).encode()) % 4 == 2 for k, _, _ in odd} == {True, False}
+    assert {r.doc_id for r in langid.keep_known(docs).collect()} == {k for k, _, _ in rows}
+    seen = []
+    monkeypatch.setattr(langid, "_least", lambda taught, profiles, depth: seen.append(profiles) or {})
+    langid.keep_known(docs)
+    assert seen == [langid.fit(docs, sample=10**6)]
