@@ -56,7 +56,7 @@ def stage(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, "llm", uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:

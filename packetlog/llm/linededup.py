@@ -18,8 +18,8 @@ line is removed itself plays no part. Everything runs as DataFrame functions.
    in both prefixes extended by one token, so pairs of heavy tokens are keys.
    The join condition holds the length filter, the positional filter (shared
    tokens up to the match, plus what can follow it) and a bit filter (parity of
-   the token hashes in 128 bits: each token that two lines don't share changes at
-   most one), so a join emits hardly more than the true matches.
+   the token hashes in 64 bits, 128 for ``LONG`` sets: each token that two lines
+   don't share changes at most one), so a join emits hardly more than the true matches.
 4. A line needs only one earlier match to go. So a first round compares each node
    just with three before it that share one of three pairs of its tokens: the first,
    the last and the one with most lines. The pairs are those with the least and the
@@ -66,6 +66,8 @@ FLIPPED = 0x5555555555555555
 HEAVY, PAIRED = 12, 67
 #: Nodes that one window of the first round holds at most, as a power of two.
 WINDOW = 17
+#: Sets of more tokens have 128 bits of parities, others 64.
+LONG = 64
 WORDS, ODD = r"\s+", ("\t", "\x0b", "\f", "\r")
 #: The byte of class 0.
 ZERO = 48
@@ -74,11 +76,13 @@ KEY, NO, GONE = "__text_key", "__line_no", "__gone"
 
 
 def _dense(rows: DataFrame, size: int) -> DataFrame:
-    """One row with ``v``: the array of values ``v`` at ``i`` (0 <= i < size, 0
-    where there is none). ``size`` is fixed, at most 2^18, and bounds the rows that
-    are broadcast and the one task that lines them up."""
-    full = rows.sparkSession.range(0, size, 1, 8).withColumnRenamed("id", "i").join(F.broadcast(rows), "i", "left")
-    return C.cut(full.agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0)).alias("v"))))["v"].alias("v")))
+    """One row with ``v``: the array of values ``v`` at ``i`` (0 <= i < size; those
+    of one ``i`` are joined by OR, 0 where there is none). ``size`` is fixed, at most
+    2^18, and bounds the one task that lines them up. Nothing is broadcast."""
+    kind = rows.schema["v"].dataType
+    every = rows.sparkSession.range(0, size, 1, 8).select(F.col("id").cast(rows.schema["i"].dataType).alias("i"), F.lit(0).cast(kind).alias("v"))
+    full = rows.select("i", "v").unionByName(every).groupBy("i").agg(F.bit_or("v").alias("v"))
+    return C.cut(full.agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("v")))
 
 
 def _bitmap(rows: DataFrame, value: Column) -> Column:
@@ -86,8 +90,7 @@ def _bitmap(rows: DataFrame, value: Column) -> Column:
     hash on the other side. Returned as a scalar subquery of the bitmap."""
     bit = F.pmod(value, F.lit(BITS))
     words = rows.select((bit / 64).cast("int").alias("i"), (bit % 64).cast("int").alias("b"))
-    words = words.groupBy("i").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
-    return _dense(words, BITS // 64).scalar()
+    return _dense(words.select("i", F.expr("shiftleft(1L, b)").alias("v")), BITS // 64).scalar()
 
 
 def _maybe(bitmap: Column, value: Column) -> Column:
@@ -129,7 +132,7 @@ def _classes(docs: DataFrame) -> tuple[Column, int]:
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
     """Each line with words: its place ``at``, the 128-bit digest (d1, d2) of its
-    token set, the set's size ``n``, the parities ``p1`` and ``p2`` (64 bits each),
+    token set, the set's size ``n``, the parities ``p1`` and ``p2`` (see ``LONG``),
     and its join keys, rare ones first: ``light`` (32-bit token hashes, the first
     one at position ``skip``), ``pairs`` of heavy tokens (hash, position of the
     later one). ``leads``: the pairs of the first round, each with the binary
@@ -146,11 +149,18 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     def key(h: Column) -> Column:
         return F.shiftleft(class_of(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
+    n = F.size("keys")
+    flip = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("long")
+
     def parity(half: int) -> Column:
-        """Half of the 128 bits: those that an odd number of tokens fall on. Seven
-        bits of its key say on which bit a token falls."""
-        own = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("long")
-        return F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", own(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+        """The bits that an odd number of tokens fall on, by six bits of the token's
+        key. A long set has 128, and a seventh bit says in which half a token falls;
+        a short one has both halves folded in the first, the second is 0."""
+        own = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half
+        long = F.aggregate("keys", none, lambda s, k: F.when(own(k), s.bitwiseXOR(flip(k))).otherwise(s))
+        short = none if half else F.aggregate("keys", none, lambda s, k: s.bitwiseXOR(flip(k)))
+        return F.when(n > LONG, long).otherwise(short)
 
     small = lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")
     known = F.array_distinct(F.array_remove(F.transform("w", lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
@@ -169,7 +179,6 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     leads = F.array(*[lead(k) for k in (0, 2, 4)])
     keys = F.sort_array(F.transform("h", key))
     rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), keys.alias("keys"), leads.alias("leads"))
-    n = F.size("keys")
     rows = rows.withColumn("length", n - F.ceil(n * percent / 100).cast("int") + 1)
     prefix = F.slice("keys", F.lit(1), F.col("length"))
     rows = rows.withColumn("prefix", F.filter(prefix, lambda k: (k >= first(1)) & (k < first(heavy))))
@@ -223,7 +232,8 @@ def _similar(a: str, b: str, percent: int) -> Column:
     overlap = F.ceil(both * percent / (100 + percent))
     length = F.least(*n) * 100 >= F.greatest(*n) * percent
     position = shared[0] + 1 + F.least(n[0] - i[0] - 1, n[1] - i[1] - 1) >= overlap
-    differ = sum(F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in ("p1", "p2"))
+    apart = [F.col(a + p).bitwiseXOR(F.col(b + p)) for p in ("p1", "p2")]
+    differ = F.when(F.least(*n) > LONG, F.bit_count(apart[0]) + F.bit_count(apart[1])).otherwise(F.bit_count(apart[0].bitwiseXOR(apart[1])))
     return (shared[0] == shared[1]) & length & position & (differ <= both - 2 * overlap)
 
 
@@ -253,36 +263,47 @@ def _flagged(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     return nodes.where(~maybe).withColumn("free", F.lit(1)).unionByName(some)
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar by their words, with ``jaccard``."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) that are similar by their words, with ``jaccard``, staged."""
+    spark = docs.sparkSession
     place = F.xxhash64(f"at.{C.DOC_ID}", f"at.{KEY}", f"at.{NO}")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = C.cut(nodes.select("node", "at").join(ends, "node"))
+    ends, ends_path = C.stage(nodes.select("node", "at").join(ends, "node"))
     lines = _lines(docs).select(F.struct(C.DOC_ID, KEY, NO).alias("at"), "line").where(_maybe(_bitmap(ends, place), place))
     # Equal documents give a place twice; its words are the same.
     ends = ends.withColumnRenamed("at", "place")
-    texts = C.cut(lines.join(ends, F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["node"]).select("node", "line"))
+    texts, texts_path = C.stage(lines.join(ends, F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["node"]).select("node", "line"))
+    C.drop(spark, ends_path)
     found = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
     found = _split(_split(found, F.col("la"), "wa"), F.col("lb"), "wb")
     known = lambda c: F.array_distinct(F.array_remove(c, F.lit("")))
     found = found.select("a", "b", known("wa").alias("wa"), known("wb").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     found = found.select("a", "b", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
-    return C.cut(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")))
+    found = C.stage(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")))
+    C.drop(spark, texts_path)
+    C.release(spark)
+    return found
 
 
-def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[str]]:
     """Verified pairs of nodes: one or more earlier matches ``a`` of every node
-    ``b`` that has any, with their ``jaccard``."""
-    easy = _verified(docs, nodes, C.cut(_leads(nodes, percent)), percent)
-    C.release(docs.sparkSession)
+    ``b`` that has any, with their ``jaccard``; and the folders that hold them, for
+    ``drop``."""
+    spark = docs.sparkSession
+    pairs, pairs_path = C.stage(_leads(nodes, percent))
+    C.release(spark)
+    easy, easy_path = _verified(docs, nodes, pairs, percent)
+    C.drop(spark, pairs_path)
     rows = _rows(_flagged(nodes, easy.select(F.col("b").alias("node"))), percent, F.col("free"))
     a, b = rows.alias("a"), rows.alias("b")
     wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
     full = a.join(b, wanted & _similar("a.", "b.", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    full = C.cut(full.distinct())
-    C.release(docs.sparkSession)
-    return easy.unionByName(_verified(docs, nodes, full, percent))
+    full, full_path = C.stage(full.distinct())
+    C.release(spark)
+    hard, hard_path = _verified(docs, nodes, full, percent)
+    C.drop(spark, full_path)
+    return easy.unionByName(hard), [easy_path, hard_path]
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -295,14 +316,15 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets, sets_path = C.stage(full.select("at", "d1", "d2"))
     C.drop(spark, full_path)
     C.release(spark)
-    matches = similar_lines(docs, nodes, percent)
+    matches, paths = similar_lines(docs, nodes, percent)
     late = matches.select(F.col("b").alias("node")).distinct()
     marked = _flagged(nodes.select("node", "d1", "d2", "at", "lines"), late).where("free = 0 OR lines > 1")
-    marked = C.cut(marked.select("d1", "d2", F.when(F.col("free") == 1, F.col("at")).alias("keep")))
+    marked, marked_path = C.stage(marked.select("d1", "d2", F.when(F.col("free") == 1, F.col("at")).alias("keep")))
+    C.drop(spark, nodes_path, *paths)
     places = sets.where(_maybe(_bitmap(marked, F.col("d1")), F.col("d1")))
     gone = places.join(marked, ["d1", "d2"]).where("keep IS NULL OR at <> keep").select("at.*")
     gone = C.cut(gone.groupBy(C.DOC_ID, KEY).agg(F.collect_set(NO).alias(GONE)))
-    C.drop(spark, sets_path, nodes_path)
+    C.drop(spark, sets_path, marked_path)
     C.release(spark)
     return gone
 

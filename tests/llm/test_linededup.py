@@ -94,3 +94,21 @@ def test_own_output_again(spark, docs):
     again = linededup.dedup_lines(once)
     assert again.columns == once.columns
     assert sorted(r.text for r in again.collect()) == sorted(r.text for r in once.collect())
+
+
+def test_parities_of_short_and_long_sets(spark, docs, monkeypatch):
+    """Short sets keep 64 bits only; the filter stays exact where both kinds meet.
+    The bitmaps need no broadcast."""
+    def refuse(_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(linededup.F, "broadcast", refuse)
+    monkeypatch.setattr(linededup, "LONG", 6, raising=False)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    lines = [rng.sample(words, rng.randint(4, 12)) for _ in range(12)]
+    rows = [(k, " ".join(line + rng.sample(words, k % 3))) for k, line in enumerate(lines * 4)]
+    assert check(spark, docs(rows), rows)
+    sets = linededup._sets(docs(rows), 80).collect()
+    assert {r.n > 6 for r in sets} == {True, False}
+    assert all(r.p2 == 0 and (r.p1 % 2**64).bit_count() <= r.n for r in sets if r.n <= 6) and any(r.p2 for r in sets if r.n > 6)
