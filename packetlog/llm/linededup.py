@@ -23,7 +23,7 @@ line is removed itself plays no part. Everything runs as DataFrame functions.
 4. A line needs only one earlier match to go. So a first round compares each node
    just with three before it that share one of three pairs of its tokens: the first,
    the last and the one with most lines. The pairs are those with the least and the
-   greatest hashes, and the least in a second order, which similar sets mostly share
+   greatest hashes, and the two that follow 0 in a circle, which similar sets mostly share
    whatever words were changed. A pair's nodes are at most as many as its rarer token's count says;
    above ``2^WINDOW`` they are salted, so a window holds a bounded number of nodes. A node that has a match
    there (verified as in 5) takes part in the full join only as the earlier partner
@@ -51,17 +51,17 @@ columns of these names in its input are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetlog.llm import common as C
+from packetlog.session import jit_sized_codegen
 
 PERCENT = 80
 BUCKETS = 1 << 18
 BITS = 1 << 23
-#: The second order of the first round: hashes with these bits flipped.
-FLIPPED = 0x5555555555555555
 #: Least class of a heavy token, and least percentage that heavy pairs are exact for.
 HEAVY, PAIRED = 12, 67
 #: Nodes that one window of the first round holds at most, as a power of two.
@@ -69,8 +69,6 @@ WINDOW = 17
 #: Sets of more tokens have 128 bits of parities, others 64.
 LONG = 64
 WORDS, ODD = r"\s+", ("\t", "\x0b", "\f", "\r")
-#: The byte of class 0.
-ZERO = 48
 #: Names of helper columns, unlikely to clash with a table's own.
 KEY, NO, GONE = "__text_key", "__line_no", "__gone"
 
@@ -116,9 +114,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[Column, int]:
-    """Class of each bucket's word count, as a literal of BUCKETS bytes (as a column
-    of its own it would be copied with every row), and the least class of heavy
-    tokens."""
+    """Class of each bucket's word count, as a constant array of BUCKETS bytes (as a
+    column of its own it would be copied with every row), and the least class of
+    heavy tokens."""
     text = F.replace(F.col(C.TEXT).cast("string"), F.lit("\n"), F.lit(" "))
     words = _split(docs.select(text.alias("text")), F.col("text"), "w").select(F.explode_outer("w").alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
@@ -127,7 +125,7 @@ def _classes(docs: DataFrame) -> tuple[Column, int]:
     heavy = max(HEAVY, math.floor(math.log2(max(1, mean))) + 3)
     C.release(docs.sparkSession)
     table = _dense(counts.select("i", F.floor(F.log2("n")).cast("tinyint").alias("v")), BUCKETS).first()["v"]
-    return F.lit(bytes(ZERO + c for c in table)), heavy
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>"), heavy
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
@@ -143,32 +141,33 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     first = lambda c: F.lit(min(c << 56, (1 << 63) - 1)).cast("long")  # noqa: E731  least key of a class
 
     def class_of(h: Column) -> Column:
-        letter = F.substring(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
-        return (F.ascii(letter.cast("string")) - ZERO).cast("long")
+        return F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
 
     def key(h: Column) -> Column:
         return F.shiftleft(class_of(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     n = F.size("keys")
-    flip = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     none = F.lit(0).cast("long")
 
-    def parity(half: int) -> Column:
+    def parity(bit: Callable[[Column], Column]) -> Column:
         """The bits that an odd number of tokens fall on, by six bits of the token's
-        key. A long set has 128, and a seventh bit says in which half a token falls;
-        a short one has both halves folded in the first, the second is 0."""
-        own = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half
-        long = F.aggregate("keys", none, lambda s, k: F.when(own(k), s.bitwiseXOR(flip(k))).otherwise(s))
-        short = none if half else F.aggregate("keys", none, lambda s, k: s.bitwiseXOR(flip(k)))
-        return F.when(n > LONG, long).otherwise(short)
+        key; ``bit`` is 0 for tokens that don't count."""
+        return F.aggregate("keys", none, lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    # A long set has 128 bits, and a seventh bit says in which half a token falls; a
+    # short one has both halves folded in the first, the second is 0.
+    every = parity(lambda k: F.lit(1).cast("long"))
+    second = F.when(n > LONG, parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(none)
 
     small = lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")
     known = F.array_distinct(F.array_remove(F.transform("w", lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    rows = _split(_lines(docs), F.col("line"), "w").select(C.DOC_ID, KEY, NO, known.alias("h")).where(F.size("h") > 0)
-    rows = rows.withColumns({"up": F.sort_array("h"), "across": F.sort_array(F.transform("h", lambda x: x.bitwiseXOR(F.lit(FLIPPED))))})
+    # Asked of the line, not of its hashes: a filter on these would make them twice.
+    rows = _split(_lines(docs).where(F.col("line").rlike(r"\S")), F.col("line"), "w").select(C.DOC_ID, KEY, NO, known.alias("h"))
+    rows = rows.withColumns({"up": F.sort_array("h"), "zero": F.array_position(F.sort_array(F.array_append("h", none)), none).cast("int")})
 
-    ends = lambda order, back: [F.try_element_at(order, F.lit(k)).bitwiseXOR(F.lit(back)) for k in (1, 2, -1, -2)]
-    rows = rows.select(C.DOC_ID, KEY, NO, "h", F.array(*ends("up", 0), *ends("across", FLIPPED)[:2]).alias("ends"))
+    size = F.size("up")
+    places = [*(F.lit(k) for k in (1, 2, -1, -2)), F.pmod(F.col("zero") - 1, size) + 1, F.pmod(F.col("zero"), size) + 1]
+    rows = rows.select(C.DOC_ID, KEY, NO, F.col("up").alias("h"), F.array(*[F.try_element_at("up", k) for k in places]).alias("ends"))
     rows = rows.withColumn("kinds", F.transform("ends", class_of))
 
     def lead(k: int) -> Column:
@@ -179,7 +178,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     leads = F.array(*[lead(k) for k in (0, 2, 4)])
     keys = F.sort_array(F.transform("h", key))
     rows = rows.select(F.struct(C.DOC_ID, KEY, NO).alias("at"), keys.alias("keys"), leads.alias("leads"))
-    rows = rows.withColumn("length", n - F.ceil(n * percent / 100).cast("int") + 1)
+    rows = rows.withColumns({"every": every, "second": second, "length": n - F.ceil(n * percent / 100).cast("int") + 1})
     prefix = F.slice("keys", F.lit(1), F.col("length"))
     rows = rows.withColumn("prefix", F.filter(prefix, lambda k: (k >= first(1)) & (k < first(heavy))))
     # Keys are in order, so heavy ones stand behind all others.
@@ -190,7 +189,7 @@ def _sets(docs: DataFrame, percent: int) -> DataFrame:
     pairs = F.when(F.element_at(longer, -1) >= first(heavy), F.when(F.size(longer) - behind >= 2, F.flatten(F.transform(F.sequence(behind, F.size(longer) - 2), later))))
     # The class of a token that occurs once is 0: such tokens stand in front.
     skip = F.size(F.filter(prefix, lambda k: k < first(1)))
-    return rows.select("at", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), n.alias("n"), parity(0).alias("p1"), parity(1).alias("p2"),
+    return rows.select("at", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), n.alias("n"), F.col("every").bitwiseXOR(F.col("second")).alias("p1"), F.col("second").alias("p2"),
                        skip.alias("skip"), F.transform("prefix", small).alias("light"), pairs.alias("pairs"), "leads")
 
 
@@ -278,12 +277,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     found = _split(_split(found, F.col("la"), "wa"), F.col("lb"), "wb")
     known = lambda c: F.array_distinct(F.array_remove(c, F.lit("")))
     found = found.select("a", "b", known("wa").alias("wa"), known("wb").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    found = found.select("a", "b", shared.alias("o"), (F.size("wa") + F.size("wb") - shared).alias("u"))
-    found = C.stage(found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")))
+    found = found.select("a", "b", (F.size("wa") + F.size("wb")).alias("n"), F.size(F.array_intersect("wa", "wb")).alias("o"))
+    found, path = C.stage(found.select("a", "b", "o", (F.col("n") - F.col("o")).alias("u")))
     C.drop(spark, texts_path)
     C.release(spark)
-    return found
+    # Only now: a filter before the words are counted would count them again.
+    return found.where(F.col("o") * 100 >= F.col("u") * percent).select("a", "b", (F.col("o") / F.col("u")).alias("jaccard")), path
 
 
 def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[str]]:
@@ -291,15 +290,22 @@ def similar_lines(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     ``b`` that has any, with their ``jaccard``; and the folders that hold them, for
     ``drop``."""
     spark = docs.sparkSession
-    pairs, pairs_path = C.stage(_leads(nodes, percent))
+    with jit_sized_codegen(spark):
+        pairs, pairs_path = C.stage(_leads(nodes, percent))
     C.release(spark)
     easy, easy_path = _verified(docs, nodes, pairs, percent)
     C.drop(spark, pairs_path)
-    rows = _rows(_flagged(nodes, easy.select(F.col("b").alias("node"))), percent, F.col("free"))
+    # Staged, so both sides of the join are one shuffle: plans with bitmaps count as different.
+    flagged = _flagged(nodes, easy.select(F.col("b").alias("node"))).select("node", "n", "p1", "p2", "skip", "light", "pairs", "free")
+    flagged, flagged_path = C.stage(flagged)
+    rows = _rows(flagged, percent, F.col("free"))
     a, b = rows.alias("a"), rows.alias("b")
-    wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("b.pack").bitwiseAND(F.lit(1)) == 1)
+    # The later node is free, as one condition on both sides: a filter of one side
+    # would make two shuffles of the same rows.
+    wanted = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node") * F.col("b.pack").bitwiseAND(F.lit(1).cast("long")))
     full = a.join(b, wanted & _similar("a.", "b.", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     full, full_path = C.stage(full.distinct())
+    C.drop(spark, flagged_path)
     C.release(spark)
     hard, hard_path = _verified(docs, nodes, full, percent)
     C.drop(spark, full_path)

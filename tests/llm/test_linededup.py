@@ -112,3 +112,18 @@ def test_parities_of_short_and_long_sets(spark, docs, monkeypatch):
     sets = linededup._sets(docs(rows), 80).collect()
     assert {r.n > 6 for r in sets} == {True, False}
     assert all(r.p2 == 0 and (r.p1 % 2**64).bit_count() <= r.n for r in sets if r.n <= 6) and any(r.p2 for r in sets if r.n > 6)
+
+
+def test_words_are_compared_once(spark, docs, monkeypatch):
+    """No filter makes a line's token hashes, or a pair's shared words, a second time."""
+    plans, stage = [], linededup.C.stage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(linededup.C, "stage", seen)
+    found = linededup.dedup_lines(docs(["a b c d e\n \t\n\x0b", "a b c d e f", "\na\tb C d E"])).orderBy("doc_id").collect()
+    assert [(r.text, r["__lines"], r["__removed"]) for r in found] == [("a b c d e\n \t\n\x0b", 3, 0), ("", 1, 1), ("", 2, 1)]
+    assert [p.count("array_distinct(") for p in plans if "array_distinct(" in p and "array_intersect(" not in p] == [1]
+    assert [p.count("array_intersect(") for p in plans if "array_intersect(" in p] == [1, 1]
